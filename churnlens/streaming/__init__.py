@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analyses are batch computations over a closed order history (cohort grids,
+global NTILE scores, exact medians); the reference has no streaming sources,
+windows, watermarks or state, so there is nothing to express as Structured
+Streaming. The operators take ordinary DataFrames.
+"""
