@@ -54,23 +54,21 @@ def cohort_retention(activity: DataFrame, entity: str = "person", ts: str = "ts"
     index 0..max_index, where ``is_observable`` separates real zeros from the
     future.
     """
-    pm = person_months(activity, entity, ts)
-    cells = with_cohort(pm)
-    grid = cells.groupBy("cohort_month", "month_index").agg(F.count(F.lit(1)).alias("active_customers"))
-    sizes = grid.filter(F.col("month_index") == 0).select(
-        "cohort_month", F.col("active_customers").alias("cohort_size"))
-    last = pm.agg(F.max("activity_month").alias("last_month"))  # one row
-    grid = _clip(grid.filter(F.col("month_index").between(0, max_index)), clip)
-    sizes = _clip(sizes, clip)
+    cells = with_cohort(person_months(activity, entity, ts))
+    grid = _grid_windows(
+        cells.groupBy("cohort_month", "month_index").agg(F.count(F.lit(1)).alias("active_customers")),
+        "active_customers", "cohort_size")
+    grid = _clip(grid, clip)
     if dense:
-        idx = (sizes.select("cohort_month", "cohort_size",
-                            F.explode(F.sequence(F.lit(0), F.lit(max_index))).alias("month_index"))
+        idx = (grid.filter(F.col("month_index") == 0)
+               .select("cohort_month", "cohort_size", "last_month",
+                       F.explode(F.sequence(F.lit(0), F.lit(max_index))).alias("month_index"))
                .withColumn("month_index", F.col("month_index").cast("bigint")))
-        out = (idx.join(grid, ["cohort_month", "month_index"], "left")
+        out = (idx.join(grid.select("cohort_month", "month_index", "active_customers"),
+                        ["cohort_month", "month_index"], "left")
                .withColumn("active_customers", F.coalesce("active_customers", F.lit(0)).cast("bigint")))
     else:
-        out = grid.join(sizes, "cohort_month")
-    out = out.crossJoin(F.broadcast(last))
+        out = grid.filter(F.col("month_index").between(0, max_index))
     observable = F.add_months("cohort_month", F.col("month_index").cast("int")) <= F.col("last_month")
     return out.select(
         "cohort_month",
@@ -82,6 +80,17 @@ def cohort_retention(activity: DataFrame, entity: str = "person", ts: str = "ts"
     ).orderBy("cohort_month", "month_index")
 
 
+def _grid_windows(grid: DataFrame, value: str, base: str) -> DataFrame:
+    """Add the cohort's month-0 value and the last month with data to each cell.
+
+    Windows over the aggregated grid only: at most (months of data)^2 rows, so
+    the whole-grid window is bounded by the time span, not by the data size.
+    """
+    month0 = F.sum(F.when(F.col("month_index") == 0, F.col(value))).over(Window.partitionBy("cohort_month"))
+    last = F.max(F.add_months("cohort_month", F.col("month_index").cast("int"))).over(Window.partitionBy())
+    return grid.withColumn(base, month0).withColumn("last_month", last)
+
+
 def revenue_retention(activity: DataFrame, entity: str = "person", ts: str = "ts",
                       value: str = "rev", max_index: int = 12,
                       clip: tuple[str, str] | None = None) -> DataFrame:
@@ -90,13 +99,10 @@ def revenue_retention(activity: DataFrame, entity: str = "person", ts: str = "ts
     Revenue is pre-summed per (entity, month); cohort month-0 revenue comes from
     the same cell aggregate (one pass).
     """
-    pm = person_months(activity, entity, ts, value)
-    cells = with_cohort(pm)
-    grid = cells.groupBy("cohort_month", "month_index").agg(F.sum("value").alias("cell_revenue"))
-    base = grid.filter(F.col("month_index") == 0).select(
-        "cohort_month", F.col("cell_revenue").alias("month0_revenue"))
-    grid = _clip(grid.filter(F.col("month_index").between(0, max_index)), clip)
-    out = grid.join(_clip(base, clip), "cohort_month")
+    cells = with_cohort(person_months(activity, entity, ts, value))
+    grid = _grid_windows(cells.groupBy("cohort_month", "month_index").agg(F.sum("value").alias("cell_revenue")),
+                         "cell_revenue", "month0_revenue")
+    out = _clip(grid.filter(F.col("month_index").between(0, max_index)), clip)
     cents = lambda c: (F.col(c) * 100).cast("decimal(38,0)")
     return out.select(
         "cohort_month",

@@ -35,12 +35,19 @@ def test_row_number_is_a_permutation(spark):
     assert all(r.rn == r.k + 1 and r.n == 2000 for r in rows)
 
 
-def test_range_exchange_is_reused(spark):
+def test_rank_plan_reads_checkpoint_and_broadcasts_offsets(spark):
     df = spark.range(500).select(F.col("id").alias("person"), (F.col("id") % 3).alias("v"))
     got = distributed_ntile(df, 5, [F.col("v"), F.col("person")], "t", 4)
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan and "ReusedExchange" in plan
+    assert "ExistingRDD" in plan and "BroadcastHashJoin" in plan
+    # the only single-partition exchange feeds the broadcast side (<= P offset rows)
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            indent = len(line) - len(line.lstrip(" :+-"))
+            above = [x for x in lines[:i] if "BroadcastExchange" in x]
+            assert above and len(above[-1]) - len(above[-1].lstrip(" :+-")) < indent
 
 
 def test_previous_in_group_matches_lag(spark):

@@ -48,3 +48,23 @@ def test_two_level_review_average(spark):
     per = {r.person: r for r in rfm.person_scores(po, scores).collect()}
     assert per["p"].reviews == 2 and per["p"].avg_score_u == 3_250_000 and per["p"].any_bad
     assert not per["p"].all_five and per["q"].all_five and per["q"].reviews == 1
+
+
+def test_scores_exact_on_large_aggregated_base(spark):
+    """Large enough that range bounds are sampled; the base comes from an aggregate
+    whose columns the size branch does not need (the case that once diverged)."""
+    orders = spark.range(90000).select((F.col("id") % 30011).alias("person_n"), F.col("id").alias("order_id"),
+                                       F.expr("timestamp_ntz'2018-01-01 00:00:00' + make_interval(0, 0, 0, "
+                                              "CAST(id % 400 AS INT))").alias("ts"),
+                                       (F.col("id") % 97 + 1).cast("decimal(10,2)").alias("rev"))
+    base = (orders.groupBy(F.col("person_n").cast("string").alias("person"))
+            .agg(F.max("ts").alias("last_order_at"), F.countDistinct("order_id").alias("frequency"),
+                 F.sum("rev").alias("monetary")))
+    snap = spark.createDataFrame([(date(2019, 3, 1),)], "as_of date")
+    scored = rfm.rfm_score(base, snap, num_partitions=7)
+    raw = base.withColumn("recency_days", F.datediff(F.lit(date(2019, 3, 1)), F.to_date("last_order_at")))
+    ref = (raw.withColumn("r", F.ntile(5).over(Window.orderBy(F.col("recency_days").desc(), "person")))
+           .withColumn("f", F.ntile(5).over(Window.orderBy("frequency", "person")))
+           .withColumn("m", F.ntile(5).over(Window.orderBy("monetary", "person"))))
+    bad = scored.join(ref, "person").filter("r_score <> r OR f_score_ntile <> f OR m_score <> m").count()
+    assert bad == 0
