@@ -7,6 +7,8 @@ the oracle SQL's (``churnlens.plans.oracle``).
 
 from __future__ import annotations
 
+import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,8 @@ def queries() -> dict[str, Query]:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return binding.fixture_tables(spark, sf_dir)
+    """The order model for ``sf_dir``, loaded once per application (see ``binding.model_tables``)."""
+    return binding.model_tables(spark, sf_dir)
 
 
 # -- shared frames ---------------------------------------------------------------------
@@ -85,6 +88,27 @@ def rfm_customers_df(t: Tables) -> DataFrame:
     return rfm.rfm_score(base, snapshot(t))
 
 
+_RFM_TABLES: dict[tuple, str] = {}
+_RFM_LOCK = threading.Lock()
+
+
+def rfm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persisted ``rfm_customers`` table (CREATE TABLE AS SELECT in the reference).
+
+    Scored once per application and input folder, written as Parquet to the
+    checkpoint folder; the RFM cuts read it, like the reference's extension
+    queries read the table.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), binding._fingerprint(sf_dir))
+    with _RFM_LOCK:
+        path = _RFM_TABLES.get(key)
+        if path is None:
+            path = scratch_path(spark, "rfm_customers")
+            sinks.write_table(rfm_customers_df(tables(spark, sf_dir)), path)
+            _RFM_TABLES[key] = path
+    return spark.read.parquet(path)
+
+
 def _activity(t: Tables, customer_cols: tuple[str, ...] = ()) -> DataFrame:
     return person_orders(t, customer_cols=customer_cols)
 
@@ -374,7 +398,7 @@ def q_delivery_time(spark, sf_dir):
 
 @register("rfm_customers")
 def q_rfm_customers(spark, sf_dir):
-    r = rfm_customers_df(tables(spark, sf_dir))
+    r = rfm_table(spark, sf_dir)
     return r.select("person", F.col("recency_days").cast("bigint").alias("recency_days"), "frequency",
                     F.col("monetary").cast("double").alias("monetary"),
                     *[F.col(c).cast("bigint").alias(c) for c in ("r_score", "f_score_ntile", "f_score", "m_score")],
@@ -383,25 +407,25 @@ def q_rfm_customers(spark, sf_dir):
 
 @register("rfm_segments")
 def q_rfm_segments(spark, sf_dir):
-    return rfm.segment_summary(rfm_customers_df(tables(spark, sf_dir)))
+    return rfm.segment_summary(rfm_table(spark, sf_dir))
 
 
 @register("ntile_diagnostic")
 def q_ntile_diagnostic(spark, sf_dir):
-    r = rfm_customers_df(tables(spark, sf_dir))
+    r = rfm_table(spark, sf_dir)
     return rfm.tile_diagnostic(r, "f_score_ntile", "frequency").select(
         F.col("f_score_ntile").cast("bigint").alias("f_score_ntile"), "customers", "min_freq", "max_freq")
 
 
 @register("pareto")
 def q_pareto(spark, sf_dir):
-    return rfm.pareto(rfm_customers_df(tables(spark, sf_dir)))
+    return rfm.pareto(rfm_table(spark, sf_dir))
 
 
 @register("top_categories")
 def q_top_categories(spark, sf_dir):
     t = tables(spark, sf_dir)
-    r = rfm_customers_df(t)
+    r = rfm_table(spark, sf_dir)
     persons = r.filter(F.col("m_score") == 5).select("person", "monetary")
     return rfm.top_categories(persons, person_orders(t, ts_not_null=False), t.order_items, _categories(t),
                               PARAMS["min_top_category"], PARAMS["top_k"])
@@ -409,14 +433,14 @@ def q_top_categories(spark, sf_dir):
 
 @register("rfm_segments_ntile")
 def q_rfm_segments_ntile(spark, sf_dir):
-    r = rfm_customers_df(tables(spark, sf_dir)).withColumn(
+    r = rfm_table(spark, sf_dir).withColumn(
         "segment_ntile", F.expr(R.case_sql(R.SEGMENT_RULES_NTILE, R.SEGMENT_DEFAULT)))
     return rfm.segment_summary(r, "segment_ntile", frequency_digits=3, with_recency=False)
 
 
 @register("label_agreement")
 def q_label_agreement(spark, sf_dir):
-    return rfm.agreement(rfm_customers_df(tables(spark, sf_dir)),
+    return rfm.agreement(rfm_table(spark, sf_dir),
                          R.AGREEMENT_RULES_RULE, R.AGREEMENT_DEFAULT_RULE,
                          R.AGREEMENT_RULES_NTILE, R.AGREEMENT_DEFAULT_NTILE)
 
@@ -425,7 +449,7 @@ def q_label_agreement(spark, sf_dir):
 def q_tenure_by_segment(spark, sf_dir):
     t = tables(spark, sf_dir)
     first = rfm.first_order_at(person_orders(t))
-    rt = rfm.with_tenure(rfm_customers_df(t), first, snapshot(t)).withColumn(
+    rt = rfm.with_tenure(rfm_table(spark, sf_dir), first, snapshot(t)).withColumn(
         "tenure_bucket", F.expr(R.case_sql(R.TENURE_RULES, R.TENURE_DEFAULT)))
     return rfm.tenure_summary(rt)
 
@@ -434,7 +458,7 @@ def q_tenure_by_segment(spark, sf_dir):
 def q_winnable_vs_lost(spark, sf_dir):
     t = tables(spark, sf_dir)
     first = rfm.first_order_at(person_orders(t, ts_not_null=False))
-    single = rfm_customers_df(t).filter(F.col("frequency") == 1)
+    single = rfm_table(spark, sf_dir).filter(F.col("frequency") == 1)
     rt = rfm.with_tenure(single, first, snapshot(t)).withColumn(
         "verdict", F.expr(R.case_sql(R.VERDICT_RULES, R.VERDICT_DEFAULT)))
     return rfm.value_by_label(rt, "verdict")
@@ -444,7 +468,7 @@ def q_winnable_vs_lost(spark, sf_dir):
 def q_review_by_segment(spark, sf_dir):
     t = tables(spark, sf_dir)
     per = rfm.person_scores(person_orders(t, ts_not_null=False), order_scores(t))
-    return rfm.review_by_segment(rfm_customers_df(t), per)
+    return rfm.review_by_segment(rfm_table(spark, sf_dir), per)
 
 
 @register("repeat_by_first_score")
@@ -453,7 +477,7 @@ def q_repeat_by_first_score(spark, sf_dir):
     first = first_by(person_orders(t, ts_not_null=False), "person", [TS, "order_id"], [])
     scored = first.join(order_scores(t), "order_id").select(
         "person", int_round_col("score_sum", "score_n").alias("first_review_score"))
-    j = scored.join(rfm_customers_df(t).select("person", "frequency"), "person")
+    j = scored.join(rfm_table(spark, sf_dir).select("person", "frequency"), "person")
     g = j.groupBy("first_review_score").agg(F.count(F.lit(1)).alias("customers"),
                                             F.count_if(F.col("frequency") > 1).alias("repeaters"))
     return g.withColumn("repeat_rate_pct", pct_col("repeaters", "customers")).orderBy("first_review_score")
@@ -461,7 +485,7 @@ def q_repeat_by_first_score(spark, sf_dir):
 
 @register("tile_counts")
 def q_tile_counts(spark, sf_dir):
-    r = rfm_customers_df(tables(spark, sf_dir))
+    r = rfm_table(spark, sf_dir)
     return (r.groupBy(F.col("m_score").cast("bigint").alias("m_score"))
             .agg(F.count(F.lit(1)).alias("customers")).orderBy("m_score"))
 
@@ -486,4 +510,4 @@ def q_funnel_metrics(spark, sf_dir):
 
 @register("segment_shares")
 def q_segment_shares(spark, sf_dir):
-    return present.segment_shares(rfm_customers_df(tables(spark, sf_dir)))
+    return present.segment_shares(rfm_table(spark, sf_dir))

@@ -20,10 +20,15 @@ oracle's input), so both engines see identical rows:
 
 from __future__ import annotations
 
+import glob
+import os
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from churnlens.session import scratch_path
 from churnlens.sources.model import Tables
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -162,6 +167,38 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                   products=products, category_translation=translation)
 
 
+_LOADED: dict[tuple, dict[str, str]] = {}
+_LOAD_LOCK = threading.Lock()
+
+
+def _fingerprint(sf_dir: str) -> tuple:
+    files = sorted(glob.glob(os.path.join(sf_dir, "*.parquet")))
+    return tuple((f, os.path.getmtime(f), os.path.getsize(f)) for f in files) if files else (sf_dir,)
+
+
+def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The load step: bind the driver tables once and store the model as Parquet.
+
+    Like the reference's load-once-then-query workflow, the bound tables are
+    written once per Spark application and input folder to the session's
+    checkpoint folder (shared storage on a cluster); every query then scans
+    them with column pruning instead of re-deriving the binding.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    with _LOAD_LOCK:
+        paths = _LOADED.get(key)
+        if paths is None:
+            lazy = fixture_tables(spark, sf_dir)
+            base = scratch_path(spark, "model")
+            paths = {}
+            for name, df in lazy.as_dict().items():
+                path = f"{base}/{name}"
+                df.write.mode("overwrite").parquet(path)
+                paths[name] = path
+            _LOADED[key] = paths
+    return Tables(**{name: spark.read.parquet(path) for name, path in paths.items()})
+
+
 def events_funnel_sql(dialect: str) -> str:
     """Second funnel binding: user-days of the events table, first time of each event type."""
     day = "CAST(ts AS DATE)"
@@ -182,5 +219,5 @@ def events_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy(F.col("user_id"), day.alias("day")).agg(*aggs)
 
 
-__all__ = ["fixture_tables", "oracle_views_sql", "events_user_days", "events_funnel_sql",
+__all__ = ["fixture_tables", "model_tables", "oracle_views_sql", "events_user_days", "events_funnel_sql",
            "read_driver_table", "Window"]
