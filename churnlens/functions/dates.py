@@ -25,14 +25,24 @@ def month_index(start: str, end: str, dialect: str = "spark") -> str:
 
 
 def whole_days(start: str, end: str, dialect: str = "spark") -> str:
+    """Whole elapsed days, toward zero, on wall-clock (zone-free) timestamps.
+
+    Spark's ``timestampdiff`` converts TIMESTAMP_NTZ through the session time
+    zone, so across a daylight-saving change it can gain or lose an hour.
+    Subtracting two TIMESTAMP_NTZ values gives a zone-free day-time interval
+    whose fields are truncated toward zero, like MySQL's TIMESTAMPDIFF.
+    """
     if dialect == "spark":
-        return f"timestampdiff(DAY, {start}, {end})"
+        return f"CAST(extract(DAY FROM ({end}) - ({start})) AS BIGINT)"
     return f"date_sub('day', {start}, {end})"
 
 
 def whole_minutes(start: str, end: str, dialect: str = "spark") -> str:
+    """Whole elapsed minutes, toward zero, on wall-clock (zone-free) timestamps."""
     if dialect == "spark":
-        return f"timestampdiff(MINUTE, {start}, {end})"
+        iv = f"(({end}) - ({start}))"
+        return (f"(CAST(extract(DAY FROM {iv}) AS BIGINT) * 1440 + CAST(extract(HOUR FROM {iv}) AS BIGINT) * 60"
+                f" + CAST(extract(MINUTE FROM {iv}) AS BIGINT))")
     return f"date_sub('minute', {start}, {end})"
 
 

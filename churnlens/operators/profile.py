@@ -30,21 +30,34 @@ def key_profile(df: DataFrame, cols: Sequence[str], names: Sequence[str]) -> Dat
                   *[F.countDistinct(c).alias(n) for c, n in zip(cols, names)])
 
 
-def fanout(start: DataFrame, steps: Sequence[tuple[str, DataFrame, str | list[str]]],
+def fanout(start: DataFrame, start_key: str,
+           steps: Sequence[tuple[str, DataFrame, str, str | None]],
            start_name: str = "start") -> DataFrame:
     """Row counts after each successive inner join, to spot fan-out or loss.
 
-    ``steps`` is ``[(name, frame, join keys), ...]``. Each count is a distributed
-    aggregate; the joined prefixes share their exchanges.
+    ``steps`` is ``[(name, frame, join key, next key or None), ...]``: step i joins
+    ``frame`` on ``join key`` (a column of the rows so far and of ``frame``) and
+    the following step joins on ``next key``, a column of ``frame``. The joins
+    are never materialised: each side is reduced to key -> row count and the
+    running frame carries a weight (rows it stands for), so every intermediate
+    is bounded by the number of distinct keys, not by the fanned-out rows.
     """
-    frames = [(start_name, start)]
-    cur = start
-    for name, frame, on in steps:
-        cur = cur.join(frame, on)
-        frames.append((name, cur))
-    parts = [f.agg(F.count(F.lit(1)).alias("rows"))
-             .select(F.lit(i + 1).cast("bigint").alias("step_no"), F.lit(n).alias("stage"), "rows")
-             for i, (n, f) in enumerate(frames)]
+    cur = start.groupBy(F.col(start_key).alias("_k")).agg(F.count(F.lit(1)).alias("_w"))
+    counts = [cur.agg(F.sum("_w").alias("rows"))]
+    for _, frame, key, nxt in steps:
+        if nxt is None:
+            right = frame.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+            joined = cur.join(right, "_k").select((F.col("_w") * F.col("_c")).alias("_w"))
+            counts.append(joined.agg(F.sum("_w").alias("rows")))
+            break
+        right = frame.groupBy(F.col(key).alias("_k"), F.col(nxt).alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
+        joined = cur.join(right, "_k").select("_n", (F.col("_w") * F.col("_c")).alias("_w"))
+        counts.append(joined.agg(F.sum("_w").alias("rows")))
+        cur = joined.groupBy(F.col("_n").alias("_k")).agg(F.sum("_w").alias("_w"))
+    names = [start_name] + [s[0] for s in steps]
+    parts = [c.select(F.lit(i + 1).cast("bigint").alias("step_no"), F.lit(n).alias("stage"),
+                      F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
+             for i, (n, c) in enumerate(zip(names, counts))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

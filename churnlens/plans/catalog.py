@@ -187,12 +187,13 @@ def q_join_fanout(spark, sf_dir):
     t = tables(spark, sf_dir)
     persons = rfm.rfm_base(person_orders(t), order_value(t)).select("person")
     steps = [
-        ("customers", t.customers.select(F.col("customer_unique_id").alias("person"), "customer_id"), "person"),
-        ("orders", t.orders.select("customer_id", "order_id"), "customer_id"),
-        ("order_items", t.order_items.select("order_id", "product_id"), "order_id"),
-        ("products", t.products.select("product_id"), "product_id"),
+        ("customers", t.customers.select(F.col("customer_unique_id").alias("person"), "customer_id"),
+         "person", "customer_id"),
+        ("orders", t.orders.select("customer_id", "order_id"), "customer_id", "order_id"),
+        ("order_items", t.order_items.select("order_id", "product_id"), "order_id", "product_id"),
+        ("products", t.products.select("product_id"), "product_id", None),
     ]
-    return profile.fanout(persons, steps, "rfm_customers")
+    return profile.fanout(persons, "person", steps, "rfm_customers")
 
 
 # -- cohorts -----------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from datetime import datetime as dt
 
+from churnlens.functions.dates import whole_days
 from churnlens.operators import funnel
 
 SCHEMA = "order_id string, t0 timestamp_ntz, t1 timestamp_ntz, t2 timestamp_ntz"
@@ -39,7 +40,7 @@ def test_funnel_over_time(spark):
     rows = [("a", dt(2017, 1, 1), dt(2017, 1, 2), dt(2017, 1, 5)),
             ("b", dt(2017, 1, 9), None, dt(2017, 1, 10)),
             ("c", dt(2017, 2, 1), dt(2017, 2, 1), None)]
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "timestampdiff(DAY, t0, t2) AS days")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", f"{whole_days('t0', 't2')} AS days")
     out = funnel.funnel_over_time(df, "t0", [("pct_one", "t1"), ("pct_two", "t2")], "days").collect()
     assert [(r.month.isoformat(), r.placed, r.pct_one, r.pct_two, r.avg_days_to_deliver) for r in out] == [
         ("2017-01-01", 2, 50.0, 50.0, 2.5), ("2017-02-01", 1, 100.0, 0.0, None)]
