@@ -19,6 +19,16 @@ from churnlens.functions.rules import Rules, case_col
 
 MEDIAN = "percentile({v}, 0.5)"
 P90 = "percentile_disc(0.9) WITHIN GROUP (ORDER BY {v})"
+# Approximate variants for value domains too wide for exact value -> count buffers
+# (fixed-size sketch per group; relative rank error about 1 / accuracy).
+MEDIAN_APPROX = "CAST(percentile_approx({v}, 0.5, {acc}) AS DOUBLE)"
+P90_APPROX = "CAST(percentile_approx({v}, 0.9, {acc}) AS DOUBLE)"
+
+
+def _quantile_exprs(v: str, approx: bool, accuracy: int):
+    if approx:
+        return F.expr(MEDIAN_APPROX.format(v=v, acc=accuracy)), F.expr(P90_APPROX.format(v=v, acc=accuracy))
+    return F.expr(MEDIAN.format(v=v)), F.expr(P90.format(v=v))
 
 
 def _nested_conditions(stages: Sequence[tuple[str, str | None]]):
@@ -70,22 +80,24 @@ def funnel_shares(df: DataFrame, stages: Sequence[tuple[str, str | None]]) -> Da
             .orderBy("step_no"))
 
 
-def funnel_timing(df: DataFrame, transitions: Sequence[tuple[str, str, str]]) -> DataFrame:
+def funnel_timing(df: DataFrame, transitions: Sequence[tuple[str, str, str]], approx: bool = False,
+                  accuracy: int = 10000) -> DataFrame:
     """Per transition ``(label, start_ts, end_ts)``: n, median (hours, days), mean, p90.
 
     Durations are whole minutes; pairs with a missing timestamp and negative
     durations are dropped. One scan: the transitions are unpivoted with
     ``explode`` and aggregated per transition with exact percentiles (the
-    percentile buffer is bounded by the number of distinct minute values).
+    percentile buffer is bounded by the number of distinct minute values);
+    ``approx=True`` uses fixed-size quantile sketches instead.
     """
     rows = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(label).alias("transition"),
                               whole_minutes_col(a, b).alias("mins"))
                      for i, (label, a, b) in enumerate(transitions)])
     long = (df.select(F.explode(rows).alias("t")).select("t.*")
             .filter(F.col("mins").isNotNull() & (F.col("mins") >= 0)))
+    med, p90 = _quantile_exprs("mins", approx, accuracy)
     g = long.groupBy("step_no", "transition").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.expr(MEDIAN.format(v="mins")).alias("_med"),
-        F.expr(P90.format(v="mins")).alias("_p90"), F.sum("mins").alias("_sum"))
+        F.count(F.lit(1)).alias("n_orders"), med.alias("_med"), p90.alias("_p90"), F.sum("mins").alias("_sum"))
     return g.select(
         "step_no", "transition", "n_orders",
         F.expr("(SIGN(_med / 6e1) * FLOOR(ABS(_med / 6e1) * 1e1 + 5e-1) / 1e1)").alias("median_hours"),
@@ -120,10 +132,13 @@ def value_share(orders: DataFrame, values: DataFrame, dim: str) -> DataFrame:
 
 
 def quantiles_by(df: DataFrame, dim: str | None, value: str, flag: str | None = None,
-                 min_n: int = 0) -> DataFrame:
-    """Per ``dim`` (or overall): n, exact median, p90 (row ceil(0.9 n)), sum and flagged count."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.expr(MEDIAN.format(v=value)).alias("median"),
-            F.expr(P90.format(v=value)).alias("p90"), F.sum(value).alias("total")]
+                 min_n: int = 0, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Per ``dim`` (or overall): n, median, p90 (row ceil(0.9 n)), sum and flagged count.
+
+    Exact by default; ``approx=True`` uses fixed-size quantile sketches.
+    """
+    med, p90 = _quantile_exprs(value, approx, accuracy)
+    aggs = [F.count(F.lit(1)).alias("n"), med.alias("median"), p90.alias("p90"), F.sum(value).alias("total")]
     if flag:
         aggs.append(F.count_if(F.col(flag)).alias("flagged"))
     g = df.groupBy(dim).agg(*aggs) if dim else df.agg(*aggs)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col
+from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col, to_fixed_col
 from churnlens.functions.rules import (F_SCORE_DEFAULT, F_SCORE_RULES, SEGMENT_DEFAULT, SEGMENT_RULES,
                                        Rules, case_col)
 from churnlens.operators.ranking import distributed_ntile
@@ -163,8 +163,7 @@ def person_scores(person_orders: DataFrame, scores: DataFrame, entity: str = "pe
     micro-units), whether any order mean is <= 2 and whether all are >= 5.
     """
     j = person_orders.select(entity, "order_id").join(scores, "order_id")
-    j = j.withColumn("_u", F.expr("CAST(CASE WHEN score_sum < 0 THEN 0 ELSE "
-                                  "(CAST(score_sum AS BIGINT) * 2000000 + score_n) div (score_n * 2) END AS BIGINT)"))
+    j = j.withColumn("_u", to_fixed_col("score_sum", "score_n"))
     g = j.groupBy(entity).agg(
         F.count(F.lit(1)).alias("reviews"), F.sum("_u").alias("_su"),
         F.bool_or(F.col("score_sum") <= F.col("score_n") * 2).alias("any_bad"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions import rules as R
 from churnlens.functions.dates import calendar_days_col, whole_days_col, whole_minutes_col
-from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col, round_col
+from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col, round_col, to_fixed_col
 from churnlens.operators import cohort, funnel, present, profile, rfm
 from churnlens.operators.model import TS, first_by, order_scores, order_value, person_orders, snapshot
 from churnlens.session import scratch_path
@@ -126,7 +126,7 @@ def _lateness(t: Tables) -> DataFrame:
     return (o.join(order_scores(t), "order_id")
             .withColumn("days_late", calendar_days_col("order_delivered_customer_date",
                                                        "order_estimated_delivery_date"))
-            .withColumn("score_u", F.expr("CAST((score_sum * 2000000 + score_n) div (score_n * 2) AS BIGINT)")))
+            .withColumn("score_u", to_fixed_col("score_sum", "score_n")))
 
 
 # -- load, validate, profile -----------------------------------------------------------
