@@ -25,7 +25,6 @@ import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnlens.session import scratch_path
@@ -115,6 +114,26 @@ CATEGORY_TRANSLATION_ROWS = [
 ]
 
 
+def _items_skew_safe(lineitem: DataFrame) -> DataFrame:
+    """order_items with the item number computed without a per-order window.
+
+    Same rows as ``items_exprs`` (the oracle's ``row_number() OVER (PARTITION BY
+    l_orderkey ...)``), but an order holding a third of all lines is spread over
+    many tasks: global rank by (order, line keys), minus the order's first rank
+    (a partial aggregate), plus one.
+    """
+    from churnlens.operators.ranking import global_row_number
+
+    keys = [k.strip() for k in ITEMS_ORDER.split(",")]
+    li = lineitem.select("l_orderkey", *keys)
+    ranked = global_row_number(li, [F.col("l_orderkey")] + [F.col(k) for k in keys], "_rn")
+    first = ranked.groupBy("l_orderkey").agg(F.min("_rn").alias("_first"))
+    exprs = [e for e in items_exprs("spark") if "order_item_id" not in e]
+    return (ranked.join(first, "l_orderkey")
+            .withColumn("order_item_id", (F.col("_rn") - F.col("_first") + 1).cast("int"))
+            .selectExpr(exprs[0], "order_item_id", *exprs[1:]))
+
+
 def _values_sql() -> str:
     rows = ", ".join(f"('{a}', '{b}')" for a, b in CATEGORY_TRANSLATION_ROWS)
     return (f"SELECT * FROM (VALUES {rows}) "
@@ -158,7 +177,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                 F.lit(None).cast("string").alias("customer_city"),
                 F.col("n.n_name").alias("customer_state"))
     )
-    items = rd("lineitem").selectExpr(*items_exprs(d))
+    items = _items_skew_safe(rd("lineitem"))
     reviews = rd("lineitem").selectExpr(*reviews_exprs(d))
     products = rd("part").selectExpr(*products_exprs(d))
     translation = spark.createDataFrame(
@@ -220,4 +239,4 @@ def events_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["fixture_tables", "model_tables", "oracle_views_sql", "events_user_days", "events_funnel_sql",
-           "read_driver_table", "Window"]
+           "read_driver_table"]
