@@ -23,6 +23,7 @@ from __future__ import annotations
 import glob
 import os
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,11 +210,15 @@ def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
         if paths is None:
             lazy = fixture_tables(spark, sf_dir)
             base = scratch_path(spark, "model")
-            paths = {}
-            for name, df in lazy.as_dict().items():
-                path = f"{base}/{name}"
-                df.write.mode("overwrite").parquet(path)
-                paths[name] = path
+            paths = {name: f"{base}/{name}" for name in lazy.as_dict()}
+
+            def write(item):
+                name, df = item
+                df.write.mode("overwrite").parquet(paths[name])
+
+            # independent writes: submitted together so the scheduler overlaps them
+            with ThreadPoolExecutor(max_workers=len(paths)) as pool:
+                list(pool.map(write, lazy.as_dict().items()))
             _LOADED[key] = paths
     return Tables(**{name: spark.read.parquet(path) for name, path in paths.items()})
 
