@@ -193,8 +193,9 @@ def fair_window_repeat(activity: DataFrame, dims: DataFrame | None, entity: str
     per = cells.groupBy("entity", "cohort_month").agg(
         F.bool_or(F.col("month_index").between(lo, hi)).alias("returned"))
     if eligible_to is None:
-        last = pm.agg(F.add_months(F.max("activity_month"), -hi).alias("_to"))
-        per = per.crossJoin(F.broadcast(last)).filter(F.col("cohort_month") <= F.col("_to")).drop("_to")
+        # scalar subquery: one global aggregate, evaluated once and inlined as a value
+        last = pm.agg(F.add_months(F.max("activity_month"), -hi).alias("_to")).scalar()
+        per = per.filter(F.col("cohort_month") <= last)
     else:
         per = per.filter(F.col("cohort_month") <= F.to_date(F.lit(eligible_to)))
     if eligible_from is not None:

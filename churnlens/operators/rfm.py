@@ -40,8 +40,9 @@ def rfm_score(base: DataFrame, snapshot: DataFrame, entity: str = "person", n: i
               num_partitions: int | None = None) -> DataFrame:
     """Score persons: recency days to the snapshot, three NTILE(n) scores, the
     threshold frequency score, the score cell and the first matching segment."""
-    raw = base.crossJoin(F.broadcast(snapshot)).select(
-        entity, F.datediff("as_of", F.to_date("last_order_at")).alias("recency_days"),
+    as_of = snapshot.select("as_of").scalar()  # one-row aggregate as a scalar subquery
+    raw = base.select(
+        entity, F.datediff(as_of, F.to_date("last_order_at")).alias("recency_days"),
         "frequency", "monetary")
     tie = F.col(entity).asc()
     scored = distributed_ntile(raw, n, [F.col("recency_days").desc(), tie], "r_score", num_partitions)
@@ -133,9 +134,13 @@ def first_order_at(person_orders: DataFrame, entity: str = "person",
 
 
 def with_tenure(rfm: DataFrame, first: DataFrame, snapshot: DataFrame, entity: str = "person") -> DataFrame:
-    """Join each person's first order and add tenure_days to the snapshot."""
-    return (rfm.join(first, entity).crossJoin(F.broadcast(snapshot))
-            .withColumn("tenure_days", F.datediff("as_of", F.to_date("first_order_at"))))
+    """Join each person's first order and add tenure_days to the snapshot.
+
+    ``snapshot`` is a one-row frame (``as_of``), used as a scalar subquery.
+    """
+    as_of = snapshot.select("as_of").scalar()
+    return (rfm.join(first, entity)
+            .withColumn("tenure_days", F.datediff(as_of, F.to_date("first_order_at"))))
 
 
 def tenure_summary(rfm_tenure: DataFrame, bucket: str = "tenure_bucket") -> DataFrame:

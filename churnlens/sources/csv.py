@@ -44,14 +44,15 @@ def validate_counts(tables: Mapping[str, tuple[DataFrame, int | DataFrame]]) ->
     """
     parts = []
     for name, (df, expected) in tables.items():
-        loaded = df.agg(F.count(F.lit(1)).alias("rows_loaded"))
+        loaded = df.agg(F.count(F.lit(1))).scalar()
         if isinstance(expected, DataFrame):
-            exp = expected.agg(F.count(F.lit(1)).alias("expected"))
+            exp = expected.agg(F.count(F.lit(1))).scalar()
         else:
-            exp = df.sparkSession.range(1).select(F.lit(int(expected)).cast("bigint").alias("expected"))
-        parts.append(loaded.crossJoin(F.broadcast(exp)).select(
-            F.lit(name).alias("table_name"), "rows_loaded", "expected",
-            (F.col("rows_loaded") == F.col("expected")).alias("matches")))
+            exp = F.lit(int(expected)).cast("bigint")
+        # one row per table; both counts are scalar subqueries (evaluated once each)
+        parts.append(df.sparkSession.range(1).select(
+            F.lit(name).alias("table_name"), loaded.alias("rows_loaded"), exp.alias("expected"))
+            .withColumn("matches", F.col("rows_loaded") == F.col("expected")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
