@@ -181,8 +181,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     items = _items_skew_safe(rd("lineitem"))
     reviews = rd("lineitem").selectExpr(*reviews_exprs(d))
     products = rd("part").selectExpr(*products_exprs(d))
-    translation = spark.createDataFrame(
-        CATEGORY_TRANSLATION_ROWS, "product_category_name string, product_category_name_english string")
+    translation = spark.sql(_values_sql())  # a local relation: no Python worker, no scan
     return Tables(orders=orders, customers=customers, order_items=items, order_reviews=reviews,
                   products=products, category_translation=translation)
 

@@ -72,3 +72,24 @@ def test_export_csv_writes_null_text(spark):
     sinks.export_csv(df.coalesce(1), out)
     text = "".join(open(f).read() for f in glob.glob(os.path.join(out, "part-*.csv")))
     assert "stage,orders,step_conversion_pct" in text and "1. Placed,10,NULL" in text
+
+
+# Operators that keep the row count of an aggregated result (or only narrow it).
+ABOVE_AGGREGATE = PASS_THROUGH + ("Window", "Exchange hashpartitioning", "Generate", "Union")
+
+
+@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_no_cartesian_and_no_single_task_on_rows(spark, key):
+    """No registered query pairs rows without a key (cartesian / nested-loop joins;
+    one-row values are scalar subqueries), and every single-partition exchange
+    reads an aggregated result, never raw rows."""
+    plan = E.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        ind = _indent(line)
+        child = next((x.strip(" :+-*()0123456789") for x in lines[i + 1:]
+                      if _indent(x) > ind and not x.strip(" :+-*()0123456789").startswith(ABOVE_AGGREGATE)), "")
+        assert child.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")), (key, plan)
