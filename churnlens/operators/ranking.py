@@ -87,18 +87,66 @@ def distributed_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str,
     return ranked.withColumn(name, ntile_from_rank(F.col("_rn"), F.col("_n"), n)).drop("_rn", "_n")
 
 
+def split_hot_groups(df: DataFrame, group: str,
+                     num_partitions: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(cold rows, hot rows) of ``df`` by the size of their ``group``.
+
+    A group is hot when it holds more rows than an average partition (N / P).
+    There are at most P such groups, so the hot-key set is broadcast with a
+    bound set by the partition count, not by the data. One job aggregates the
+    group sizes (partial aggregation) down to two numbers, N and the largest
+    group: when no group is hot, ``(df, None)`` is returned and the caller plans
+    no hot path at all. Rows whose group is NULL count as cold (NULL never
+    matches a join key).
+    """
+    p = _num_partitions(df, num_partitions)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
+    total, largest = sizes.agg(F.sum("_gn"), F.max("_gn")).first()
+    if not largest or largest * p <= total:
+        return df, None
+    hot = F.broadcast(sizes.filter(F.col("_gn") * F.lit(p) > F.lit(total)).select(group))
+    return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
+
+
+def number_in_group(df: DataFrame, group: str, order: Sequence[Column], name: str,
+                    num_partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by group order by order...)`` that splits hot groups.
+
+    Cold groups (at most an average partition's rows) are numbered by a plain
+    window: one shuffle by group. Hot groups are numbered by their global rank
+    minus the group's first rank, so a group holding a third of all rows is
+    spread over many range partitions. ``order`` must be unique within a group.
+    """
+    cold, hot = split_hot_groups(df, group, num_partitions)
+    cold_n = cold.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint"))
+    if hot is None:
+        return cold_n
+    ranked = global_row_number(hot, [F.col(group)] + list(order), "_grank", num_partitions=num_partitions)
+    first = ranked.groupBy(group).agg(F.min("_grank").alias("_gfirst"))  # <= P rows: one per hot group
+    hot_n = (ranked.join(F.broadcast(first), group)
+             .withColumn(name, F.col("_grank") - F.col("_gfirst") + F.lit(1)).drop("_grank", "_gfirst"))
+    return cold_n.unionByName(hot_n)
+
+
 def previous_in_group(df: DataFrame, group: str, order: Sequence[str], value: str,
                       name: str, num_partitions: int | None = None) -> DataFrame:
     """``lag(value) over (partition by group order by order)`` that splits hot groups.
 
-    The rows are globally ranked by (group, order...) - a unique key is required -
-    and each row is joined to the row ranked just before it when that row belongs
-    to the same group. A group holding a third of the rows is spread over many
-    range partitions instead of one window task.
+    Cold groups use the window directly. Rows of hot groups are globally ranked
+    by (group, order...) - a unique key is required - and each row is joined to
+    the row ranked just before it when that row belongs to the same group. A
+    group holding a third of the rows is spread over many range partitions
+    instead of one window task.
     """
+    cold, hot = split_hot_groups(df, group, num_partitions)
+    w = Window.partitionBy(group).orderBy(*[F.col(c) for c in order])
+    cold_p = cold.withColumn(name, F.lag(value).over(w))
+    if hot is None:
+        return cold_p
     keys = [F.col(group)] + [F.col(c) for c in order]
-    ranked = global_row_number(df, keys, name="_rn", num_partitions=num_partitions)
+    ranked = global_row_number(hot, keys, name="_rn", num_partitions=num_partitions)
     prev = ranked.select(F.col(group).alias("_pg"), (F.col("_rn") + F.lit(1)).alias("_prn"),
                          F.col(value).alias(name))
-    return (ranked.join(prev, (F.col("_rn") == F.col("_prn")) & (F.col(group) == F.col("_pg")), "left")
-            .drop("_rn", "_prn", "_pg"))
+    hot_p = (ranked.join(prev, (F.col("_rn") == F.col("_prn")) & (F.col(group) == F.col("_pg")), "left")
+             .drop("_rn", "_prn", "_pg"))
+    return cold_p.unionByName(hot_p)

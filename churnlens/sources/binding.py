@@ -116,22 +116,20 @@ CATEGORY_TRANSLATION_ROWS = [
 
 
 def _items_skew_safe(lineitem: DataFrame) -> DataFrame:
-    """order_items with the item number computed without a per-order window.
+    """order_items with the item number computed without a single task per hot order.
 
     Same rows as ``items_exprs`` (the oracle's ``row_number() OVER (PARTITION BY
-    l_orderkey ...)``), but an order holding a third of all lines is spread over
-    many tasks: global rank by (order, line keys), minus the order's first rank
-    (a partial aggregate), plus one.
+    l_orderkey ...)``): ``ranking.number_in_group`` numbers ordinary orders by
+    that window and spreads an order holding a third of all lines over many
+    tasks through a range-partitioned rank.
     """
-    from churnlens.operators.ranking import global_row_number
+    from churnlens.operators.ranking import number_in_group
 
     keys = [k.strip() for k in ITEMS_ORDER.split(",")]
     li = lineitem.select("l_orderkey", *keys)
-    ranked = global_row_number(li, [F.col("l_orderkey")] + [F.col(k) for k in keys], "_rn")
-    first = ranked.groupBy("l_orderkey").agg(F.min("_rn").alias("_first"))
+    numbered = number_in_group(li, "l_orderkey", [F.col(k) for k in keys], "_item_no")
     exprs = [e for e in items_exprs("spark") if "order_item_id" not in e]
-    return (ranked.join(first, "l_orderkey")
-            .withColumn("order_item_id", (F.col("_rn") - F.col("_first") + 1).cast("int"))
+    return (numbered.withColumn("order_item_id", F.col("_item_no").cast("int"))
             .selectExpr(exprs[0], "order_item_id", *exprs[1:]))
 
 

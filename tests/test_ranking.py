@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from churnlens.operators.ranking import distributed_ntile, global_row_number, previous_in_group
+from churnlens.operators.ranking import (distributed_ntile, global_row_number, number_in_group,
+                                        previous_in_group, split_hot_groups)
 
 
 @pytest.mark.parametrize("n_rows", [1, 3, 4, 5, 6, 7, 8, 9, 11, 97, 1000])
@@ -58,3 +59,39 @@ def test_previous_in_group_matches_lag(spark):
     got = previous_in_group(df, "g", ["t", "tie"], "t", "prev", 5)
     ref = df.withColumn("prev_ref", F.lag("t").over(Window.partitionBy("g").orderBy("t", "tie")))
     assert got.join(ref, "tie").filter(~F.col("prev").eqNullSafe(F.col("prev_ref"))).count() == 0
+
+
+def _hot_and_cold(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"), ((F.col("id") * 31) % 1000).alias("t"),
+                                  F.col("id").alias("tie"))
+    # one hot group holding a third of the rows; the other groups are cold
+    return df.withColumn("g", F.when(F.col("tie") % 3 == 0, F.lit(99)).otherwise(F.col("g")))
+
+
+def test_split_hot_groups_takes_only_groups_above_an_average_partition(spark):
+    cold, hot = split_hot_groups(_hot_and_cold(spark), "g", 5)
+    assert [r.g for r in hot.select("g").distinct().collect()] == [99]
+    assert hot.count() == 1000 and cold.count() == 2000
+    assert cold.filter("g = 99").count() == 0
+
+
+def test_split_hot_groups_plans_no_hot_path_without_hot_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"))
+    cold, hot = split_hot_groups(df, "g", 5)
+    assert hot is None and cold is df
+
+
+def test_number_in_group_without_hot_groups_is_the_window(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"), F.col("id").alias("t"))
+    got = number_in_group(df, "g", [F.col("t")], "rn", 5)
+    ref = df.withColumn("rn_ref", F.row_number().over(Window.partitionBy("g").orderBy("t")))
+    assert got.join(ref, "t").filter(F.col("rn") != F.col("rn_ref")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5, 16])
+def test_number_in_group_matches_row_number(spark, parts):
+    df = _hot_and_cold(spark)
+    got = number_in_group(df, "g", [F.col("t"), F.col("tie")], "rn", parts)
+    ref = df.withColumn("rn_ref", F.row_number().over(Window.partitionBy("g").orderBy("t", "tie")))
+    assert got.count() == 3000
+    assert got.join(ref, "tie").filter(F.col("rn") != F.col("rn_ref")).count() == 0
