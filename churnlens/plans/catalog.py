@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnlens.functions import rules as R
 from churnlens.functions.dates import calendar_days_col, whole_days_col, whole_minutes_col
@@ -133,27 +134,46 @@ def _lateness(t: Tables) -> DataFrame:
 
 # -- load, validate, profile -----------------------------------------------------------
 
-def _csv_roundtrip(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
-    """Write a table as reference-style CSV to the scratch folder and load it back."""
-    path = scratch_path(spark, f"csv-{name}")
-    sinks.write_csv_table(df, path)
-    schema = df.schema
-    return csv.load_table(spark, path, schema, EMPTY_AS_NULL.get(name, ()))
+_CSV_FILES: dict[tuple, str] = {}
+_CSV_LOCK = threading.Lock()
+
+
+def _csv_export(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> str:
+    """Model table ``name`` as reference-style CSV (header, double quotes, embedded
+    newlines) in the scratch folder: the stand-in for the reference's raw CSV
+    files, written once per application and input folder like the Parquet model."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), binding._fingerprint(sf_dir), name)
+    with _CSV_LOCK:
+        path = _CSV_FILES.get(key)
+    if path is None:
+        path = scratch_path(spark, f"csv-{name}")
+        sinks.write_csv_table(df, path)
+        with _CSV_LOCK:
+            _CSV_FILES[key] = path
+    return path
+
+
+def _csv_load(spark: SparkSession, sf_dir: str, name: str, df: DataFrame,
+              schema: T.StructType | None = None) -> DataFrame:
+    """Load the CSV copy of model table ``name`` with an explicit schema (L1)."""
+    path = _csv_export(spark, sf_dir, name, df)
+    return csv.load_table(spark, path, schema or df.schema, EMPTY_AS_NULL.get(name, ()))
 
 
 @register("load_csv")
 def q_load_csv(spark, sf_dir):
     t = tables(spark, sf_dir)
-    reviews = t.order_reviews.withColumn("order_id", F.col("order_id").cast("string"))
-    return _csv_roundtrip(spark, "order_reviews", reviews)
+    # order_id read as text, as the reference's CHAR(32) key
+    schema = t.order_reviews.withColumn("order_id", F.col("order_id").cast("string")).schema
+    return _csv_load(spark, sf_dir, "order_reviews", t.order_reviews, schema)
 
 
 @register("load_validation")
 def q_load_validation(spark, sf_dir):
     items = list(tables(spark, sf_dir).as_dict().items())
-    # the six exports are independent jobs: submitted together so the scheduler overlaps them
+    # the exports are independent jobs: submitted together so the scheduler overlaps them
     with ThreadPoolExecutor(max_workers=len(items)) as pool:
-        loaded = list(pool.map(lambda it: _csv_roundtrip(spark, *it), items))
+        loaded = list(pool.map(lambda it: _csv_load(spark, sf_dir, *it), items))
     return csv.validate_counts({name: (back, df) for (name, df), back in zip(items, loaded)})
 
 
