@@ -43,10 +43,10 @@ def fanout(start: DataFrame, start_key: str,
     running frame carries a weight (rows it stands for), so every intermediate
     is bounded by the number of distinct keys, not by the fanned-out rows.
 
-    Each step's counts and the next step both read the same (key, weight) frame,
-    so it is checkpointed to the session's checkpoint dir: every join runs once
-    (a union of the step counts would otherwise recompute each prefix of the
-    chain), and the lineage stays one step long.
+    Each step's (key, weight) frame is checkpointed to the session's checkpoint
+    dir and both the step's count and the next join read it: every join runs
+    once (a union of the step counts would otherwise recompute each prefix of
+    the chain), and the lineage stays one step long.
     """
     scratch_dir(start.sparkSession)  # make sure a checkpoint folder is set
     cur = (start.groupBy(F.col(start_key).alias("_k")).agg(F.count(F.lit(1)).alias("_w"))
@@ -60,8 +60,8 @@ def fanout(start: DataFrame, start_key: str,
             break
         right = frame.groupBy(F.col(key).alias("_k"), F.col(nxt).alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
         joined = cur.join(right, "_k").select("_n", (F.col("_w") * F.col("_c")).alias("_w"))
-        counts.append(joined.agg(F.sum("_w").alias("rows")))
         cur = joined.groupBy(F.col("_n").alias("_k")).agg(F.sum("_w").alias("_w")).checkpoint(eager=True)
+        counts.append(cur.agg(F.sum("_w").alias("rows")))  # grouping keeps the weight total
     names = [start_name] + [s[0] for s in steps]
     parts = [c.select(F.lit(i + 1).cast("bigint").alias("step_no"), F.lit(n).alias("stage"),
                       F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
