@@ -31,14 +31,19 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate files: the session's checkpoint dir.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is only set
-    here, to a fresh local temporary folder, when the session has none (tests and
-    local runs).
+    On a cluster ``spark.checkpoint.dir`` names a shared folder that every
+    executor and the driver can read; it is only set here, to a fresh local
+    temporary folder, when the session has none and runs in local mode (tests and
+    local runs). A cluster session without one is an error: files written to a
+    machine-local folder would be lost with the executor that wrote them.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (for example on HDFS or an object store); "
+                               "churnlens writes intermediate tables and checkpoints there")
         sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="churnlens-"))
         d = sc.getCheckpointDir()
     return d.rstrip("/")
