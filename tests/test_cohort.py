@@ -94,3 +94,50 @@ def test_fair_window(spark):
            for r in cohort.fair_window_repeat(df, dims, "person", "ts", (1, 3)).collect()}
     # last month 2017-06 -> eligible cohorts up to 2017-03
     assert out == {"X": (2, 1, 50.0), "Y": (1, 0, 0.0)}
+
+
+def _hot_person_orders(spark):
+    # one person places a third of all orders, spread over many months
+    rows = []
+    for i in range(1200):
+        person = "hot" if i % 3 == 0 else f"p{i % 97}"
+        rows.append((person, f"o{i:05d}", dt(2016 + (i * 7) % 3, 1 + (i * 5) % 12, 1 + i % 28)))
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def _months(d):
+    return d.year * 12 + d.month - 1
+
+
+def test_cohort_grid_with_a_hot_person_matches_brute_force(spark):
+    rows, df = _hot_person_orders(spark)
+    active: dict[str, set] = {}
+    for p, _, t in rows:
+        active.setdefault(p, set()).add(_months(t))
+    cells: dict[tuple, int] = {}
+    for months in active.values():
+        c = min(months)
+        for m in months:
+            if m - c <= 12:
+                cells[(c, m - c)] = cells.get((c, m - c), 0) + 1
+    got = {(_months(r.cohort_month), r.month_index): r.active_customers
+           for r in cohort.cohort_retention(df, "person", "ts").collect()}
+    assert got == cells
+
+
+def test_fair_window_with_a_hot_person_matches_brute_force(spark):
+    rows, df = _hot_person_orders(spark)
+    active: dict[str, set] = {}
+    for p, _, t in rows:
+        active.setdefault(p, set()).add(_months(t))
+    last = max(max(m) for m in active.values())
+    eligible = {p: any(1 <= m - min(ms) <= 3 for m in ms) for p, ms in active.items() if min(ms) <= last - 3}
+    dims = spark.createDataFrame([(p, "hot" if p == "hot" else "rest") for p in active], "person string, dim string")
+    out = {r.dim: (r.customers, r.repeaters) for r in cohort.fair_window_repeat(df, dims, "person", "ts").collect()}
+    want: dict[str, list] = {}
+    for p, returned in eligible.items():
+        d = "hot" if p == "hot" else "rest"
+        want.setdefault(d, [0, 0])
+        want[d][0] += 1
+        want[d][1] += int(returned)
+    assert out == {k: tuple(v) for k, v in want.items()}
