@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.numeric import pct_col
-from churnlens.session import scratch_dir
 
 
 def date_bounds(df: DataFrame, ts: str) -> DataFrame:
@@ -31,6 +30,22 @@ def key_profile(df: DataFrame, cols: Sequence[str], names: Sequence[str]) -> Dat
                   *[F.countDistinct(c).alias(n) for c, n in zip(cols, names)])
 
 
+def _carry_and_count(joined: DataFrame, step: int, next_key: str | None) -> DataFrame:
+    """Rows (_s, _k, _w) after a join step: a finished count row passes through; a
+    matched row emits its count row for ``step`` and, unless this is the last
+    step, the weight it carries forward under the next key; then one partial
+    aggregate per (step, key)."""
+    w = F.col("_w") * F.col("_c")
+    ktype = joined.schema["_n"].dataType if next_key else "string"
+    done = F.struct(F.col("_s"), F.lit(None).cast(ktype).alias("_k"), F.col("_w"))
+    emitted = [F.struct(F.lit(step).alias("_s"), F.lit(None).cast(ktype).alias("_k"), w.alias("_w"))]
+    if next_key:
+        emitted.append(F.struct(F.lit(None).cast("int").alias("_s"), F.col("_n").alias("_k"), w.alias("_w")))
+    rows = F.when(F.col("_s").isNotNull(), F.array(done)).otherwise(F.array(*emitted))
+    return (joined.select(F.explode(rows).alias("r")).select("r.*")
+            .groupBy("_s", "_k").agg(F.sum("_w").alias("_w")))
+
+
 def fanout(start: DataFrame, start_key: str,
            steps: Sequence[tuple[str, DataFrame, str, str | None]],
            start_name: str = "start") -> DataFrame:
@@ -43,30 +58,29 @@ def fanout(start: DataFrame, start_key: str,
     running frame carries a weight (rows it stands for), so every intermediate
     is bounded by the number of distinct keys, not by the fanned-out rows.
 
-    Each step's (key, weight) frame is checkpointed to the session's checkpoint
-    dir and both the step's count and the next join read it: every join runs
-    once (a union of the step counts would otherwise recompute each prefix of
-    the chain), and the lineage stays one step long.
+    One lazy plan, each join evaluated once: a row of the running frame is
+    either a weight still being joined (``_s`` NULL, key ``_k``) or a finished
+    count of step ``_s`` (key NULL). Finished rows pass through the later left
+    joins unmatched, and the aggregate after each step keeps one of them per
+    step. The counts are pivoted over the fixed step numbers, so a step that
+    loses every row reports 0.
     """
-    scratch_dir(start.sparkSession)  # make sure a checkpoint folder is set
-    cur = (start.groupBy(F.col(start_key).alias("_k")).agg(F.count(F.lit(1)).alias("_w"))
-           .checkpoint(eager=True))
-    counts = [cur.agg(F.sum("_w").alias("rows"))]
-    for _, frame, key, nxt in steps:
+    cur = start.groupBy(F.col(start_key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    cur = _carry_and_count(cur.select(F.lit(None).cast("int").alias("_s"), F.col("_k").alias("_n"),
+                                      F.lit(1).cast("bigint").alias("_w"), "_c"), 1, start_key)
+    for i, (_, frame, key, nxt) in enumerate(steps):
         if nxt is None:
             right = frame.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-            joined = cur.join(right, "_k").select((F.col("_w") * F.col("_c")).alias("_w"))
-            counts.append(joined.agg(F.sum("_w").alias("rows")))
-            break
-        right = frame.groupBy(F.col(key).alias("_k"), F.col(nxt).alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
-        joined = cur.join(right, "_k").select("_n", (F.col("_w") * F.col("_c")).alias("_w"))
-        cur = joined.groupBy(F.col("_n").alias("_k")).agg(F.sum("_w").alias("_w")).checkpoint(eager=True)
-        counts.append(cur.agg(F.sum("_w").alias("rows")))  # grouping keeps the weight total
+            right = right.withColumn("_n", F.lit(None).cast("string"))
+        else:
+            right = (frame.groupBy(F.col(key).alias("_k"), F.col(nxt).alias("_n"))
+                     .agg(F.count(F.lit(1)).alias("_c")))
+        joined = (cur.join(right, "_k", "left")
+                  .filter(F.col("_s").isNotNull() | F.col("_c").isNotNull()))  # inner join for weights
+        cur = _carry_and_count(joined, i + 2, nxt)
     names = [start_name] + [s[0] for s in steps]
-    parts = [c.select(F.lit(i + 1).cast("bigint").alias("step_no"), F.lit(n).alias("stage"),
-                      F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
-             for i, (n, c) in enumerate(zip(names, counts))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("step_no")
+    wide = cur.groupBy().pivot("_s", list(range(1, len(names) + 1))).agg(F.sum("_w"))
+    rows = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("step_no"), F.lit(n).alias("stage"),
+                              F.coalesce(F.col(str(i + 1)), F.lit(0)).cast("bigint").alias("rows"))
+                     for i, n in enumerate(names)])
+    return wide.select(F.explode(rows).alias("r")).select("r.*").orderBy("step_no")
