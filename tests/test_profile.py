@@ -62,3 +62,12 @@ def test_gap_stats_with_a_hot_person_matches_brute_force(spark):
     assert got.median_days_between == float(gaps[(len(gaps) + 1) // 2 - 1])
     mean = (Decimal(sum(gaps)) / Decimal(len(gaps))).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP)
     assert got.median_days_between is not None and got.mean_days_between == float(mean)
+
+
+def test_fanout_reports_zero_for_a_step_that_loses_every_row(spark):
+    persons, customers, orders, _, _ = _chain(spark)
+    nobody = spark.createDataFrame([("c7", "o7")], "customer_id string, order_id string")
+    steps = [("customers", customers, "person", "customer_id"), ("orders", nobody, "customer_id", "order_id"),
+             ("items", orders.select("order_id"), "order_id", None)]
+    got = [(r.step_no, r.stage, r.rows) for r in profile.fanout(persons, "person", steps, "persons").collect()]
+    assert got == [(1, "persons", 3), (2, "customers", 3), (3, "orders", 0), (4, "items", 0)]
