@@ -21,6 +21,11 @@ global order is built from a range shuffle instead:
    time) and survives executor loss.
 4. Row counts per partition (at most P rows) -> running offsets -> broadcast
    join (size bounded by P, a setting, not by the data).
+
+Per-group numbering and lag (``number_in_group``, ``previous_in_group``) use
+the global rank only for hot groups - more rows than an average partition, so
+at most P of them - and a plain window for every other group
+(``split_hot_groups``).
 """
 
 from __future__ import annotations
