@@ -19,7 +19,7 @@ def heatmap_matrix(grid: DataFrame, max_index: int = 12) -> DataFrame:
     """
     masked = grid.withColumn("_v", F.when(F.col("is_observable") == 1, F.col("pct_retained")))
     wide = (masked.groupBy("cohort_month", "cohort_size")
-            .pivot("month_index", list(range(max_index + 1))).agg(F.first("_v")))
+            .pivot("month_index", list(range(max_index + 1))).agg(F.max("_v")))  # one cell each
     label = F.concat(F.date_format("cohort_month", "MMM yyyy"), F.lit(" (n="),
                      F.format_number("cohort_size", 0), F.lit(")"))
     return wide.select("cohort_month", label.alias("cohort_label"), "cohort_size",
