@@ -95,3 +95,12 @@ def test_number_in_group_matches_row_number(spark, parts):
     ref = df.withColumn("rn_ref", F.row_number().over(Window.partitionBy("g").orderBy("t", "tie")))
     assert got.count() == 3000
     assert got.join(ref, "tie").filter(F.col("rn") != F.col("rn_ref")).count() == 0
+
+
+def test_number_in_group_keeps_null_groups_as_one_cold_group(spark):
+    df = spark.range(40).select(F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("g"),
+                                F.col("id").alias("t"))
+    got = number_in_group(df, "g", [F.col("t")], "rn", 8)
+    ref = df.withColumn("rn_ref", F.row_number().over(Window.partitionBy("g").orderBy("t")))
+    assert got.count() == 40
+    assert got.join(ref, "t").filter(F.col("rn") != F.col("rn_ref")).count() == 0
