@@ -145,23 +145,38 @@ def quantiles_by(df: DataFrame, dim: str | None, value: str, flag: str | None =
     return g.filter(F.col("n") >= min_n)
 
 
+# Truncation formats of the time grains (``trunc``); "day" is the date itself.
+GRAINS = {"week": "week", "month": "MM", "quarter": "quarter", "year": "year"}
+
+
+def _period_col(ts: str, grain: str):
+    if grain == "month":
+        return month_start_col(ts)
+    if grain == "day":
+        return F.to_date(ts)
+    if grain not in GRAINS:
+        raise ValueError(f"grain must be day, {', '.join(GRAINS)}; got {grain!r}")
+    return F.trunc(F.col(ts), GRAINS[grain])
+
+
 def funnel_over_time(df: DataFrame, ts: str, stages: Sequence[tuple[str, str]], days: str,
-                     clip: tuple[str, str] | None = None) -> DataFrame:
-    """Per month of ``ts``: rows, % reaching each nested stage, mean of ``days``.
+                     clip: tuple[str, str] | None = None, grain: str = "month") -> DataFrame:
+    """Per period of ``ts``: rows, % reaching each nested stage, mean of ``days``.
 
     ``stages`` is ``[(output column, timestamp column), ...]``; stage k needs the
-    timestamps of stages 1..k.
+    timestamps of stages 1..k. ``grain`` is day, week (starting Monday), month,
+    quarter or year; the period's first day is in a column named after it.
     """
     conds = _nested_conditions([(name, col) for name, col in stages])
-    m = df.withColumn("month", month_start_col(ts))
+    m = df.withColumn(grain, _period_col(ts, grain))
     if clip:
-        m = m.filter(F.col("month").between(F.to_date(F.lit(clip[0])), F.to_date(F.lit(clip[1]))))
-    g = m.groupBy("month").agg(F.count(F.lit(1)).alias("placed"),
-                               *[F.count_if(c).alias(f"_s{i}") for i, c in enumerate(conds)],
-                               F.sum(days).alias("_dsum"), F.count(days).alias("_dn"))
-    return g.select("month", "placed",
+        m = m.filter(F.col(grain).between(F.to_date(F.lit(clip[0])), F.to_date(F.lit(clip[1]))))
+    g = m.groupBy(grain).agg(F.count(F.lit(1)).alias("placed"),
+                             *[F.count_if(c).alias(f"_s{i}") for i, c in enumerate(conds)],
+                             F.sum(days).alias("_dsum"), F.count(days).alias("_dn"))
+    return g.select(grain, "placed",
                     *[pct_col(f"_s{i}", "placed").alias(name) for i, (name, _) in enumerate(stages)],
-                    avg_exact_col("_dsum", "_dn", 1).alias("avg_days_to_deliver")).orderBy("month")
+                    avg_exact_col("_dsum", "_dn", 1).alias("avg_days_to_deliver")).orderBy(grain)
 
 
 def bucket_outcome(df: DataFrame, rules: Rules, default: str, bucket: str) -> DataFrame:

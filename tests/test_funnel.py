@@ -44,3 +44,17 @@ def test_funnel_over_time(spark):
     out = funnel.funnel_over_time(df, "t0", [("pct_one", "t1"), ("pct_two", "t2")], "days").collect()
     assert [(r.month.isoformat(), r.placed, r.pct_one, r.pct_two, r.avg_days_to_deliver) for r in out] == [
         ("2017-01-01", 2, 50.0, 50.0, 2.5), ("2017-02-01", 1, 100.0, 0.0, None)]
+
+
+def test_funnel_over_time_other_grains(spark):
+    rows = [("a", dt(2017, 1, 1), dt(2017, 1, 2), dt(2017, 1, 5)),
+            ("b", dt(2017, 1, 9), None, dt(2017, 1, 10)),
+            ("c", dt(2017, 2, 1), dt(2017, 2, 1), None)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", f"{whole_days('t0', 't2')} AS days")
+    stages = [("pct_one", "t1"), ("pct_two", "t2")]
+    year = funnel.funnel_over_time(df, "t0", stages, "days", grain="year").collect()
+    assert [(r.year.isoformat(), r.placed, r.pct_one, r.pct_two, r.avg_days_to_deliver) for r in year] == [
+        ("2017-01-01", 3, 66.67, 33.33, 2.5)]
+    week = funnel.funnel_over_time(df, "t0", stages, "days", grain="week").collect()
+    assert [(r.week.isoformat(), r.placed) for r in week] == [
+        ("2016-12-26", 1), ("2017-01-09", 1), ("2017-01-30", 1)]  # weeks start on Monday
