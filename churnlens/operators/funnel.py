@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.dates import month_start_col, whole_minutes_col
-from churnlens.functions.numeric import avg_exact_col, pct_col
+from churnlens.functions.numeric import avg_exact_col, pct_col, round_col
 from churnlens.functions.rules import Rules, case_col
 
 MEDIAN = "percentile({v}, 0.5)"
@@ -192,3 +192,22 @@ def slope_stats(df: DataFrame, x: str, y_fixed: str) -> DataFrame:
     d = lambda c: F.col(c).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(d(x)).alias("sx"), F.sum(d(y_fixed)).alias("sy"),
                   F.sum(d(x) * d(y_fixed)).alias("sxy"), F.sum(d(x) * d(x)).alias("sxx"))
+
+
+def least_squares_slope(df: DataFrame, x: str, y_fixed: str, x_range: tuple[int, int] | None = None,
+                        digits: int = 4, y_scale: int = 1_000_000) -> DataFrame:
+    """Least-squares slope of y on x and the mean of y, from exact sums.
+
+    ``y_fixed`` is y in fixed point (``y_scale`` units per 1); ``x_range``
+    keeps rows with x in the closed range. One partial + final aggregate; the
+    slope is NULL when x is constant (or there are fewer than two rows).
+    Output: n, slope (rounded half away from zero), mean_y (3 digits).
+    """
+    if x_range is not None:
+        df = df.filter(F.col(x).between(*x_range))
+    s = slope_stats(df, x, y_fixed)
+    num = "(CAST(n AS DECIMAL(38,0)) * sxy - sx * sy)"
+    den = "(CAST(n AS DECIMAL(38,0)) * sxx - sx * sx)"
+    slope = f"CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0e0) / CAST({y_scale} AS DOUBLE)"
+    return s.select("n", round_col(slope, digits).alias("slope"),
+                    avg_exact_col("sy", f"n * {y_scale}", 3).alias("mean_y"))

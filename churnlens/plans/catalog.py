@@ -396,14 +396,9 @@ def q_score_by_lateness(spark, sf_dir):
 
 @register("score_slope")
 def q_score_slope(spark, sf_dir):
-    d = _lateness(tables(spark, sf_dir)).filter(F.col("days_late").between(-30, 60))
-    s = funnel.slope_stats(d, "days_late", "score_u")
-    num = "(CAST(n AS DECIMAL(38,0)) * sxy - sx * sy)"
-    den = "(CAST(n AS DECIMAL(38,0)) * sxx - sx * sx)"
-    return s.select(F.col("n").alias("orders"),
-                    round_col(f"CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0e0) / 1e6", 4)
-                    .alias("stars_per_day_late"),
-                    avg_exact_col("sy", "n * 1000000", 3).alias("mean_score"))
+    s = funnel.least_squares_slope(_lateness(tables(spark, sf_dir)), "days_late", "score_u", (-30, 60))
+    return s.select(F.col("n").alias("orders"), F.col("slope").alias("stars_per_day_late"),
+                    F.col("mean_y").alias("mean_score"))
 
 
 @register("delivery_time")

@@ -58,3 +58,15 @@ def test_funnel_over_time_other_grains(spark):
     week = funnel.funnel_over_time(df, "t0", stages, "days", grain="week").collect()
     assert [(r.week.isoformat(), r.placed) for r in week] == [
         ("2016-12-26", 1), ("2017-01-09", 1), ("2017-01-30", 1)]  # weeks start on Monday
+
+
+def test_least_squares_slope_range_constant_x_and_one_row(spark):
+    u = 1_000_000
+    df = spark.createDataFrame([(0, 5 * u), (1, 4 * u), (2, 3 * u), (100, 1 * u)], "x int, y bigint")
+    r = funnel.least_squares_slope(df, "x", "y", (-30, 60)).first()
+    assert (r.n, r.slope, r.mean_y) == (3, -1.0, 4.0)  # x = 100 is outside the range
+    const = spark.createDataFrame([(5, 1 * u), (5, 3 * u)], "x int, y bigint")
+    r = funnel.least_squares_slope(const, "x", "y").first()
+    assert (r.n, r.slope, r.mean_y) == (2, None, 2.0)
+    one = funnel.least_squares_slope(df.limit(1), "x", "y").first()
+    assert one.n == 1 and one.slope is None
