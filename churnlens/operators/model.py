@@ -43,6 +43,15 @@ def order_value(t: Tables) -> DataFrame:
             .agg(F.sum(F.col("price") + F.col("freight_value")).alias("order_revenue")))
 
 
+def translated_categories(products: DataFrame, translation: DataFrame, fallback: str = "unknown") -> DataFrame:
+    """(product_id, category): the English category name, else the original name,
+    else ``fallback``. A left join, so untranslated products are kept; the
+    translation is a small dimension (Spark's size-checked broadcast applies)."""
+    return (products.join(translation, "product_category_name", "left")
+            .select("product_id", F.coalesce("product_category_name_english", "product_category_name",
+                                             F.lit(fallback)).alias("category")))
+
+
 def snapshot(t: Tables) -> DataFrame:
     """One row: ``as_of`` = date of the last purchase over all orders + 1 day."""
     return t.orders.agg(F.date_add(F.to_date(F.max(TS)), 1).alias("as_of"))

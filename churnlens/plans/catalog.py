@@ -20,7 +20,8 @@ from churnlens.functions import rules as R
 from churnlens.functions.dates import calendar_days_col, whole_days_col, whole_minutes_col
 from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col, round_col, to_fixed_col
 from churnlens.operators import cohort, funnel, present, profile, rfm
-from churnlens.operators.model import TS, first_by, order_scores, order_value, person_orders, snapshot
+from churnlens.operators.model import (TS, first_by, order_scores, order_value, person_orders, snapshot,
+                                       translated_categories)
 from churnlens.session import scratch_path
 from churnlens.sources import binding, csv, sinks
 from churnlens.sources.model import EMPTY_AS_NULL, PRIMARY_KEYS, Tables
@@ -117,9 +118,7 @@ def _activity(t: Tables, customer_cols: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _categories(t: Tables) -> DataFrame:
-    return (t.products.join(t.category_translation, "product_category_name", "left")
-            .select("product_id", F.coalesce("product_category_name_english", "product_category_name",
-                                             F.lit("unknown")).alias("category")))
+    return translated_categories(t.products, t.category_translation)
 
 
 def _lateness(t: Tables) -> DataFrame:
