@@ -147,3 +147,12 @@ class Tables:
             "products": self.products,
             "category_translation": self.category_translation,
         }
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register each table as a session temporary view (``prefix`` + table name),
+        so the order model can also be queried with ``spark.sql``. Returns the names."""
+        names = []
+        for name, df in self.as_dict().items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names

@@ -17,3 +17,17 @@ def test_translated_categories_fallbacks(spark):
                                         "product_category_name string, product_category_name_english string")
     got = {r.product_id: r.category for r in translated_categories(products, translation).collect()}
     assert got == {"p1": "bed_table", "p2": "pc_gamer", "p3": "unknown"}
+
+
+def test_register_views_allows_sql_over_the_model(spark):
+    from churnlens.sources.model import Tables
+    one = spark.createDataFrame([("o1", "c1", "delivered")], "order_id string, customer_id string, order_status string")
+    cust = spark.createDataFrame([("c1", "p1")], "customer_id string, customer_unique_id string")
+    empty = spark.createDataFrame([], "x string")
+    t = Tables(orders=one, customers=cust, order_items=empty, order_reviews=empty, products=empty,
+               category_translation=empty)
+    assert t.register_views("m_") == ["m_orders", "m_customers", "m_order_items", "m_order_reviews",
+                                      "m_products", "m_category_translation"]
+    r = spark.sql("SELECT c.customer_unique_id AS person, count(*) AS n FROM m_orders o "
+                  "JOIN m_customers c USING (customer_id) GROUP BY 1").collect()
+    assert [(x.person, x.n) for x in r] == [("p1", 1)]
