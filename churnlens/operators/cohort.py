@@ -156,16 +156,25 @@ def gap_stats(orders: DataFrame, entity: str = "person", ts: str = "ts",
         avg_exact_col("_sum", "repeat_purchase_events", 1).alias("mean_days_between"))
 
 
-def repeat_by_first(orders: DataFrame, totals: DataFrame, class_col: str, entity: str = "person",
+def repeat_by_first(orders: DataFrame, totals: DataFrame | None, class_col: str, entity: str = "person",
                     ts: str = "ts", tie: str = "order_id", payload: tuple[str, ...] = ()) -> DataFrame:
     """Class of each entity's first order -> entities and repeat % per class.
 
     ``orders`` holds the candidate first orders, ``totals`` (entity, n_orders)
-    the entity's order count; ``class_col`` is an expression over the first
-    order's columns in ``payload``.
+    the entity's order count, or None to count distinct ``tie`` values of
+    ``orders`` in the same aggregate as the first order (one shuffle, no join);
+    ``class_col`` is an expression over the first order's columns in ``payload``.
     """
-    first = first_by(orders, entity, [ts, tie], list(payload))
-    per = first.select(entity, F.expr(class_col).alias("class")).join(totals, entity)
+    if totals is None:
+        fields = [ts, tie] + [p for p in payload if p not in (ts, tie)]
+        per = (orders.groupBy(entity)
+               .agg(F.min(F.struct(*[F.col(c) for c in fields])).alias("_first"),
+                    F.countDistinct(tie).alias("n_orders"))
+               .select(entity, "n_orders", *[F.col(f"_first.{c}").alias(c) for c in fields])
+               .select(entity, F.expr(class_col).alias("class"), "n_orders"))
+    else:
+        first = first_by(orders, entity, [ts, tie], list(payload))
+        per = first.select(entity, F.expr(class_col).alias("class")).join(totals, entity)
     return per.groupBy("class").agg(
         F.count(F.lit(1)).alias("customers"),
         F.count_if(F.col("n_orders") > 1).alias("_rep"),

@@ -255,9 +255,8 @@ def q_repeat_by_delivery(spark, sf_dir):
     po = person_orders(t, ts_not_null=False).select(
         "person", "order_id", TS, F.col("order_delivered_customer_date").alias("delivered_at"),
         F.col("order_estimated_delivery_date").alias("estimated_at"))
-    totals = po.groupBy("person").agg(F.countDistinct("order_id").alias("n_orders"))
     cls = R.case_sql(R.DELIVERY_CLASS_RULES, R.DELIVERY_CLASS_DEFAULT)
-    out = cohort.repeat_by_first(po, totals, cls, "person", TS, "order_id", ("delivered_at", "estimated_at"))
+    out = cohort.repeat_by_first(po, None, cls, "person", TS, "order_id", ("delivered_at", "estimated_at"))
     return out.withColumnRenamed("class", "first_delivery") \
         .orderBy(F.col("repeat_rate_pct").desc(), "first_delivery")
 

@@ -141,3 +141,23 @@ def test_fair_window_with_a_hot_person_matches_brute_force(spark):
         want[d][0] += 1
         want[d][1] += int(returned)
     assert out == {k: tuple(v) for k, v in want.items()}
+
+
+def test_repeat_by_first_one_aggregate_equals_separate_totals(spark):
+    rows = [("p1", "o1", dt(2017, 1, 1), dt(2017, 1, 5), dt(2017, 1, 10)),   # on time, repeats
+            ("p1", "o2", dt(2017, 2, 1), None, None),
+            ("p2", "o3", dt(2017, 1, 2), dt(2017, 1, 20), dt(2017, 1, 10)),  # late, single
+            ("p3", "o4", dt(2017, 1, 3), None, dt(2017, 1, 10)),             # never delivered, repeats
+            ("p3", "o5", dt(2017, 3, 1), dt(2017, 3, 2), dt(2017, 3, 9)),
+            ("p4", "o6", dt(2017, 1, 4), dt(2017, 1, 6), dt(2017, 1, 10))]   # on time, single
+    df = spark.createDataFrame(rows, "person string, order_id string, ts timestamp_ntz, "
+                                     "delivered_at timestamp_ntz, estimated_at timestamp_ntz")
+    cls = ("CASE WHEN delivered_at IS NULL THEN 'never' WHEN delivered_at > estimated_at THEN 'late' "
+           "ELSE 'on time' END")
+    payload = ("delivered_at", "estimated_at")
+    want = {"never": (1, 100.0), "late": (1, 0.0), "on time": (2, 50.0)}
+    one = cohort.repeat_by_first(df, None, cls, "person", "ts", "order_id", payload).collect()
+    assert {r["class"]: (r.customers, r.repeat_rate_pct) for r in one} == want
+    totals = df.groupBy("person").agg(F.countDistinct("order_id").alias("n_orders"))
+    two = cohort.repeat_by_first(df, totals, cls, "person", "ts", "order_id", payload).collect()
+    assert {r["class"]: (r.customers, r.repeat_rate_pct) for r in two} == want
