@@ -23,12 +23,15 @@ def _cents(c: str) -> str:
 
 def rfm_base(person_orders: DataFrame, values: DataFrame, entity: str = "person",
              ts: str = "order_purchase_timestamp") -> DataFrame:
-    """Per person: last order time, distinct orders, revenue (> 0 only).
+    """Per person: first and last order time, distinct orders, revenue (> 0 only).
 
-    Order revenue is joined already summed per order (no item fan-out).
+    Order revenue is joined already summed per order (no item fan-out). The
+    first order time rides along in the same aggregate, so tenure cuts read it
+    from the persisted scores instead of aggregating all orders again.
     """
     j = person_orders.select(entity, "order_id", ts).join(values, "order_id", "left")
     base = j.groupBy(entity).agg(
+        F.min(ts).alias("first_order_at"),
         F.max(ts).alias("last_order_at"),
         F.countDistinct("order_id").alias("frequency"),
         F.coalesce(F.sum("order_revenue"), F.lit(0)).alias("monetary"))
@@ -41,9 +44,10 @@ def rfm_score(base: DataFrame, snapshot: DataFrame, entity: str = "person", n: i
     """Score persons: recency days to the snapshot, three NTILE(n) scores, the
     threshold frequency score, the score cell and the first matching segment."""
     as_of = snapshot.select("as_of").scalar()  # one-row aggregate as a scalar subquery
+    extra = ["first_order_at"] if "first_order_at" in base.columns else []
     raw = base.select(
         entity, F.datediff(as_of, F.to_date("last_order_at")).alias("recency_days"),
-        "frequency", "monetary")
+        "frequency", "monetary", *extra)
     tie = F.col(entity).asc()
     scored = distributed_ntile(raw, n, [F.col("recency_days").desc(), tie], "r_score", num_partitions)
     scored = distributed_ntile(scored, n, [F.col("frequency").asc(), tie], "f_score_ntile", num_partitions)
@@ -53,7 +57,7 @@ def rfm_score(base: DataFrame, snapshot: DataFrame, entity: str = "person", n: i
         entity, "recency_days", "frequency", "monetary", "r_score", "f_score_ntile", "f_score", "m_score",
         F.concat(F.col("r_score").cast("string"), F.col("f_score").cast("string"),
                  F.col("m_score").cast("string")).alias("rfm_cell"),
-        case_col(rules, default).alias("segment"))
+        case_col(rules, default).alias("segment"), *extra)
 
 
 def segment_summary(rfm: DataFrame, segment: str = "segment", frequency_digits: int = 2,
@@ -133,14 +137,16 @@ def first_order_at(person_orders: DataFrame, entity: str = "person",
     return person_orders.groupBy(entity).agg(F.min(ts).alias("first_order_at"))
 
 
-def with_tenure(rfm: DataFrame, first: DataFrame, snapshot: DataFrame, entity: str = "person") -> DataFrame:
-    """Join each person's first order and add tenure_days to the snapshot.
+def with_tenure(rfm: DataFrame, first: DataFrame | None, snapshot: DataFrame, entity: str = "person") -> DataFrame:
+    """Add tenure_days (first order to the snapshot) to each scored person.
 
-    ``snapshot`` is a one-row frame (``as_of``), used as a scalar subquery.
+    ``first`` is (person, first_order_at), or None when ``rfm`` already carries
+    ``first_order_at`` (as the persisted scores do). ``snapshot`` is a one-row
+    frame (``as_of``), used as a scalar subquery.
     """
     as_of = snapshot.select("as_of").scalar()
-    return (rfm.join(first, entity)
-            .withColumn("tenure_days", F.datediff(as_of, F.to_date("first_order_at"))))
+    with_first = rfm if first is None else rfm.join(first, entity)
+    return with_first.withColumn("tenure_days", F.datediff(as_of, F.to_date("first_order_at")))
 
 
 def tenure_summary(rfm_tenure: DataFrame, bucket: str = "tenure_bucket") -> DataFrame:

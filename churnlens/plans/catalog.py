@@ -466,8 +466,8 @@ def q_label_agreement(spark, sf_dir):
 @register("tenure_by_segment")
 def q_tenure_by_segment(spark, sf_dir):
     t = tables(spark, sf_dir)
-    first = rfm.first_order_at(person_orders(t))
-    rt = rfm.with_tenure(rfm_table(spark, sf_dir), first, snapshot(t)).withColumn(
+    # first order of the scored population (valid, timestamped orders), stored with the scores
+    rt = rfm.with_tenure(rfm_table(spark, sf_dir), None, snapshot(t)).withColumn(
         "tenure_bucket", F.expr(R.case_sql(R.TENURE_RULES, R.TENURE_DEFAULT)))
     return rfm.tenure_summary(rt)
 
@@ -475,9 +475,10 @@ def q_tenure_by_segment(spark, sf_dir):
 @register("winnable_vs_lost")
 def q_winnable_vs_lost(spark, sf_dir):
     t = tables(spark, sf_dir)
-    first = rfm.first_order_at(person_orders(t, ts_not_null=False))
+    # R9 takes valid orders with or without a timestamp; min() skips NULL times and every scored
+    # person has a timestamped order, so the stored first order is the same value
     single = rfm_table(spark, sf_dir).filter(F.col("frequency") == 1)
-    rt = rfm.with_tenure(single, first, snapshot(t)).withColumn(
+    rt = rfm.with_tenure(single, None, snapshot(t)).withColumn(
         "verdict", F.expr(R.case_sql(R.VERDICT_RULES, R.VERDICT_DEFAULT)))
     return rfm.value_by_label(rt, "verdict")
 
