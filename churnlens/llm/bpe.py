@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import only
+from churnlens.llm.common import only, small
 
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -218,7 +218,7 @@ class Codec:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {raw(s): i for s, i in spec["model"]["vocab"].items() if s not in special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.automaton = Automaton(vocab, [(raw(a), raw(b)) for a, b in pairs])
+        self._vocab, self._merges = vocab, [(raw(a), raw(b)) for a, b in pairs]
         self.special = special
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._words = regex.compile(PRE_TOKEN)
@@ -227,6 +227,11 @@ class Codec:
             self._labels[i] = label
         self._cache = Cached(self._ids)
 
+    @functools.cached_property
+    def automaton(self) -> Automaton:
+        """Compiled on first use: decoding needs the labels only."""
+        return Automaton(self._vocab, self._merges)
+
     def _ids(self, piece: str) -> bytes:
         out = array("I")
         for w in self._words.findall(piece):
@@ -266,10 +271,6 @@ def _config(docs: DataFrame, vocabulary: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _passed(batch: pa.RecordBatch, schema_ids: list[str]) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(c)) for c in schema_ids]
-
-
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every whole text: (``doc_id``, ``ids`` array<int>), one row per input row.
 
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(conf.value)
-        for batch in batches:
+        for batch in small(batches):
             ids = [c.encode_bytes(t) if t else b"" for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
@@ -300,8 +301,8 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(conf.value)
-        for batch in batches:
-            texts = [c.decode(x) if x else "" for x in batch.column(at).to_pylist()]
+        for batch in small(batches):
+            texts = [c.decode(x.values.to_pylist()) if x.is_valid else "" for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from churnlens.llm.bpe import Cached, segments
-from churnlens.llm.common import ceil_div, only, stored
+from churnlens.llm.common import ceil_div, only, small, stored
 
 WINDOW = 1024
 OPEN_WINDOWS = 64
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, task = _encoder(conf.value), Packer(window, open_windows), TaskContext.get().partitionId()
         key_type, seq = None, task << 36
-        for batch in batches:
+        for batch in small(batches):
             key_type, done = batch.schema.field(0).type, []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = (encode(text) if text else b"") + end
