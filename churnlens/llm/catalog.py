@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import bpe, html_text, language, minhash, packing, quality, repeats, warc
+from churnlens.llm import bpe, html_text, language, minhash, packing, pii, quality, repeats, warc
 from churnlens.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,12 +47,16 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_repeats, op4_quality, op5_packing, op6_html, op7_language, op9_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_repeats, op4_quality, op5_packing, op6_html, op7_language, op8_pii, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
