@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import bpe, html_text, language, minhash, packing, pii, quality, repeats, warc
+from churnlens.llm import bpe, html_text, language, minhash, multi_index, packing, pii, quality, repeats, warc
 from churnlens.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,8 +55,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_repeats, op4_quality, op5_packing, op6_html, op7_language, op8_pii, op9_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_repeats, op4_quality, op5_packing, op6_html, op7_language, op8_pii, op9_minhash, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
