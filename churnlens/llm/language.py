@@ -129,7 +129,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model
     row_of[contexts] = len(shorter) + np.arange(len(contexts))
     bits = [np.concatenate([ppm_bits(*counts[x], max(order - 1, 0), shorter), ppm_bits(*counts[x], order, contexts)]) for x in langs]
     table = np.stack(bits, -1) if langs else np.zeros((len(shorter) + len(contexts), 256, 0))
-    return Model(langs, order, row_of, table.reshape(-1, len(langs)).astype(np.float32))
+    return Model(langs, order, row_of, table.reshape(256 * len(table), len(langs)).astype(np.float32))
 
 
 def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> dict[str, tuple[np.ndarray, np.ndarray]]:

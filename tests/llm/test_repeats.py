@@ -1,0 +1,77 @@
+import random
+
+import numpy as np
+
+from churnlens.llm import catalog, repeats
+
+from .helpers import SF, docs, prose
+
+
+def brute(rows, window):
+    """{doc_id: kept words}, windows looked up one by one."""
+    first, out = {}, {}
+    for d, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = (text or "").encode().split()
+        cover = np.zeros(len(w), bool)
+        for i in range(len(w) - window + 1):
+            if first.get(tuple(w[i:i + window]), d) < d:
+                cover[i:i + window] = True
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i:i + window]), d)
+        out[d] = b" ".join(x for x, c in zip(w, cover) if not c).decode()
+    return out
+
+
+def test_first_minima():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 5, 8, 35):
+        v = rng.integers(0, 6, 200).astype(np.uint64)
+        want = [i + int(np.argmin(v[i:i + width])) for i in range(len(v) - width + 1)]
+        assert repeats.first_minima(v, width).tolist() == want
+
+
+def test_passages_of_every_length_and_overlap(spark):
+    rng = random.Random(4)
+    common = [prose(s, n) for s, n in ((1, 9), (2, 10), (3, 11), (4, 40), (5, 80))]
+    rows = []
+    for d in range(120):
+        parts = [prose(100 + d, rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(common)
+            a = rng.randint(0, len(p) // 2)
+            parts += [p[a:rng.randint(a, len(p))], prose(1000 + rng.randint(0, 500), rng.randint(0, 12))]
+        rows.append((d * 3, " ".join(sum(parts, []))))
+    rows += [(500, "again " * 300), (501, "again " * 400), (502, rows[7][1]), (503, rows[7][1]), (504, rows[7][1])]
+    got = {r["doc_id"]: r for r in repeats.cut_repeats(docs(spark, rows), window=10, phrase=4).collect()}
+    want = brute(rows, 10)
+    assert {d: r["text"] for d, r in got.items()} == want
+    assert all(r["n_words"] - r["n_removed"] == len(r["text"].split()) for r in got.values())
+
+
+def test_edge_rows(spark):
+    long = " ".join(prose(9, 3000))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, long), (4, long), (5, long + " tail"), (None, long), (6, "a b\x85c " * 60), (7, "a b\x85c " * 60)]
+    df = docs(spark, rows, extra=True)
+    got = repeats.cut_repeats(df)
+    assert set(got.columns) == set(df.columns) | {"n_removed"}
+    out = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["text"]) for r in got.collect()))
+    assert out == sorted([(0, 3000, 0, long), (1, 0, 0, ""), (2, 0, 0, ""), (3, 0, 0, ""), (4, 3000, 0, long), (4, 3000, 0, long), (5, 3001, 3000, "tail"),
+                          (6, 60, 0, " ".join(["a b\x85c"] * 60)), (7, 60, 60, "")])
+    kept = {r["doc_id"]: r["text"] for r in repeats.cut_repeats(df, as_is=True).collect()}
+    assert kept[1] is None and kept[3] == " \n\t " and kept[5] == "tail"
+    assert repeats.cut_repeats(df.limit(0)).count() == 0
+
+
+def test_small_shards_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_WORDS", 1)
+    p = " ".join(prose(1, 60))
+    rows = [(i, f"x{i} " + p + f" y{i}") for i in range(70)]
+    got = {r["doc_id"]: r["text"] for r in repeats.cut_repeats(docs(spark, rows)).collect()}
+    assert got == brute(rows, 50)
+
+
+def test_query_against_brute_force(spark):
+    import hashlib
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in brute(rows, 50).items()}
+    assert {r["doc_id"]: r["kept_sha256"] for r in catalog.op3_repeats(spark, SF).collect()} == want
