@@ -36,14 +36,14 @@ from churnlens.llm.common import only, small
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries kept by the word cache and by the transition table before they start anew.
-CACHE_ENTRIES = 600_000
+#: Entries of a generation of the word cache; cells of the transition table before it starts anew.
+CACHE_ENTRIES = 400_000
 TABLE_CELLS = 400_000
 #: Longer pieces between spaces are encoded without being kept.
 CACHE_CHARS = 48
 
-#: Bytes that the walk looks ahead at once.
-LOOK_AHEAD = 5
+#: Bytes that the walk looks ahead at once; and where labels go on beyond these.
+LOOK_AHEAD, FAR_AHEAD = 5, 10
 
 _START = 0
 _AFTER_ALL = 1 << 40
@@ -88,13 +88,12 @@ class Automaton:
             self.target[ab] = after_b
             users[after_b] += 1
         self._cells: dict[int, bool] = {}
-        self._ahead: dict[bytes, tuple[int, ...]] = {}
-        self.lengths = [0] * n
+        self._ahead: dict[bytes, tuple[tuple[int, int, int], ...]] = {}
         self.longest = max(map(len, labels))
-        self.longer = {x[:LOOK_AHEAD] for x in labels if len(x) > LOOK_AHEAD}
+        self._far_ahead: dict[bytes, tuple[tuple[int, int, int], ...]] = {}
+        self.longer = {x[:k] for k in (LOOK_AHEAD, FAR_AHEAD) for x in labels if len(x) > k}
         self.trie: dict[bytes, int] = {}      # prefixes of labels -> token, or -1
         for label, t in labels.items():
-            self.lengths[t] = len(label)
             for i in range(1, len(label)):
                 self.trie.setdefault(label[:i], -1)
             if self._live[t]:
@@ -122,53 +121,57 @@ class Automaton:
             got = self._cells[key] = self._has(state, token, _AFTER_ALL)
         return got
 
-    def _labels_at(self, ahead: bytes) -> tuple[int, ...]:
-        """Tokens whose labels start ``ahead``, longest first."""
+    def _labels_at(self, ahead: bytes) -> tuple[tuple[int, int, int], ...]:
+        """(token, its length, the state it leads to) for tokens whose labels start ``ahead``, longest first."""
         found = []
         for e in range(1, len(ahead) + 1):
             t = self.trie.get(ahead[:e])
             if t is None:
                 break
             if t >= 0:
-                found.append(t)
+                found.append((t, e, self.target[t]))
         return tuple(found[::-1])
 
-    def spelled(self, word: bytes, at: int) -> tuple[int, ...]:
-        """Tokens whose labels stand in ``word`` at ``at``, longest first."""
+    def _spelled(self, word: bytes, at: int) -> tuple[tuple[int, int, int], ...]:
+        """The same for what ``word`` holds from ``at`` on, where the shorter look-ahead has no answer yet."""
         ahead = word[at:at + LOOK_AHEAD]
-        if ahead in self.longer:              # labels go on beyond the look-ahead: not kept
-            return self._labels_at(word[at:at + self.longest])
-        got = self._ahead.get(ahead)
+        kept = self._ahead
+        if ahead in self.longer:              # labels go on beyond it
+            ahead, kept = word[at:at + FAR_AHEAD], self._far_ahead
+            if ahead in self.longer:
+                return self._labels_at(word[at:at + self.longest])
+        got = kept.get(ahead)
         if got is None:
-            if len(self._ahead) >= TABLE_CELLS:
-                self._ahead.clear()
-            got = self._ahead[ahead] = self._labels_at(ahead)
+            if len(kept) >= TABLE_CELLS:
+                kept.clear()
+            got = kept[ahead] = self._labels_at(ahead)
         return got
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Arc labels of the one path that spells ``word``.
+        """Arc labels of the one path that spells ``word``, longest arcs tried first.
 
         The path to any byte is unique, so a byte from which the walk could not go on is never
         tried again: the walk is linear in the word.
         """
-        n, target, lengths, cells = len(word), self.target, self.lengths, self._cells
+        n, at, state, ahead, cells = len(word), 0, _START, self._ahead, self._cells
         out: list[int] = []
-        back: list[tuple[int, int, Iterator[int]]] = []
+        back: list[tuple[int, int, Iterator]] = []
         dead: set[int] = set()
-        at, state, arcs = 0, _START, iter(self.spelled(word, 0))
+        arcs = iter(ahead.get(word[:LOOK_AHEAD]) or self._spelled(word, 0))
         while True:
-            for t in arcs:
-                end = at + lengths[t]
-                if end in dead:
-                    continue
+            for t, size, leads in arcs:
                 free = cells.get(state << 20 | t)
                 if free or free is None and self.has_arc(state, t):
-                    out.append(t)
+                    end = at + size
                     if end == n:
+                        out.append(t)
                         return out
-                    back.append((at, state, arcs))
-                    at, state, arcs = end, target[t], iter(self.spelled(word, end))
-                    break
+                    if end not in dead:
+                        out.append(t)
+                        back.append((at, state, arcs))
+                        at, state = end, leads
+                        arcs = iter(ahead.get(word[at:at + LOOK_AHEAD]) or self._spelled(word, at))
+                        break
             else:
                 dead.add(at)
                 out.pop()
@@ -187,23 +190,39 @@ def segments(text: str) -> list[str]:
 
 _CUT = re.compile(r" (?=\S)")
 _SPACES = re.compile(r" (?:\s|$)")
+_ENDS = frozenset(".,;:!?")
 
 
 class Cached(dict):
-    """Piece after a space -> its ids as little-endian unsigned 32-bit bytes."""
+    """Piece after a space -> its ids as little-endian unsigned 32-bit bytes.
+
+    Two generations: when the younger is full it becomes the older one, from which pieces that are
+    met again come back, so frequent pieces stay and memory is bounded.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self._encode = encode
+        self._older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self._encode(" " + piece)
+        out = self._older.get(piece)
+        if out is None:
+            out = self._encode(piece)
         self.keep(piece, out)
         return out
 
+    def find(self, piece: str) -> bytes | None:
+        """As a look-up, without encoding."""
+        out = self.get(piece)
+        if out is None and (out := self._older.get(piece)) is not None:
+            self.keep(piece, out)
+        return out
+
     def keep(self, piece: str, out: bytes) -> None:
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self._older = dict(self)
                 self.clear()
             self[piece] = out
 
@@ -225,7 +244,7 @@ class Codec:
         self._labels = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for label, i in [*vocab.items(), *((s.encode(), i) for s, i in special.items())]:
             self._labels[i] = label
-        self._cache = Cached(self._ids)
+        self._cache = Cached(self._after_space)
 
     @functools.cached_property
     def automaton(self) -> Automaton:
@@ -238,6 +257,14 @@ class Codec:
             out.extend(self.automaton.encode_word(w.encode()))
         return out.tobytes()
 
+    def _after_space(self, piece: str) -> bytes:
+        encode = self.automaton.encode_word
+        if piece.isalpha():                             # one pre-token, as letters are
+            return array("I", encode(b" " + piece.encode())).tobytes()
+        if piece[-1:] in _ENDS and piece[:-1].isalpha():
+            return array("I", encode(b" " + piece[:-1].encode()) + encode(piece[-1].encode())).tobytes()
+        return self._ids(" " + piece)
+
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""

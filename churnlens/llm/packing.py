@@ -81,18 +81,20 @@ def _encoder(config: str) -> Callable[[str], bytes]:
     tok.no_padding()
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     plain = lambda s: array("I", tok.encode(s, add_special_tokens=False).ids).tobytes()
-    known = Cached(plain)
+    known = Cached(lambda piece: plain(" " + piece))
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
             return plain(text)
         first, *rest = segments(text)
-        new = list({p for p in rest if p not in known})
-        got = {p: array("I", e.ids).tobytes() for p, e in zip(new, tok.encode_batch_fast([" " + p for p in new], add_special_tokens=False))}
-        ids = (plain(first) if first else b"") + b"".join([known[p] if (x := got.get(p)) is None else x for p in rest])
-        for p, x in got.items():
-            known.keep(p, x)
-        return ids
+        ids = list(map(known.find, rest))
+        if None in ids:
+            new = list({p for p, x in zip(rest, ids) if x is None})
+            got = {p: array("I", e.ids).tobytes() for p, e in zip(new, tok.encode_batch_fast([" " + p for p in new], add_special_tokens=False))}
+            ids = [got[p] if x is None else x for p, x in zip(rest, ids)]
+            for p, x in got.items():
+                known.keep(p, x)
+        return (plain(first) if first else b"") + b"".join(ids)
 
     return encode
 
@@ -163,5 +165,5 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 def _merge(left: DataFrame, second, schema: str) -> DataFrame:
     tasks = left.agg(F.countDistinct("task")).first()[0]
-    groups = max(1, ceil_div(tasks, MERGED_TASKS))
+    groups = max(2, ceil_div(tasks, MERGED_TASKS))
     return left.repartition(groups, "task").mapInArrow(second, schema)
