@@ -80,10 +80,6 @@ def pct_col(num: str, den: str, digits: int = 2) -> Column:
     return F.expr(pct(num, den, digits))
 
 
-def ratio_col(num: str, den: str) -> Column:
-    return F.expr(ratio(num, den))
-
-
 def round_col(x: str, digits: int = 2) -> Column:
     return F.expr(round_half_up(x, digits))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.dates import month_index_col, month_start_col, whole_days_col
 from churnlens.functions.numeric import avg_exact_col, pct_col
+from churnlens.operators.funnel import value_quantiles
 from churnlens.operators.model import first_by
 from churnlens.operators.ranking import previous_in_group
 
@@ -135,25 +136,22 @@ def frequency_histogram(orders: DataFrame, entity: str = "person") -> DataFrame:
 
 
 def gap_stats(orders: DataFrame, entity: str = "person", ts: str = "ts",
-              tie: str = "order_id", median: str = "lower") -> DataFrame:
+              tie: str = "order_id", median: str = "mid") -> DataFrame:
     """Whole days between consecutive orders of an entity: count, median, mean.
 
-    ``median="lower"`` takes the lower middle row for an even count (the
-    reference's formula); ``"mid"`` averages the two middle rows. The previous
+    ``median="mid"`` averages the two middle rows of an even count; ``"lower"``
+    takes the lower one (the reference's formula). The previous
     order is found through a global rank, so a very active entity is split
     across tasks. Rows with a NULL timestamp start no gap and end none.
     """
     g = orders.filter(F.col(ts).isNotNull()).select(entity, ts, tie)
     prev = previous_in_group(g, entity, [ts, tie], ts, "_prev_ts")
     d = prev.filter(F.col("_prev_ts").isNotNull()).select(whole_days_col("_prev_ts", ts).alias("d"))
-    med = (F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)") if median == "lower"
-           else F.percentile("d", F.lit(0.5)))
-    stats = d.agg(F.count(F.lit(1)).alias("repeat_purchase_events"), med.alias("_med"),
-                  F.sum("d").alias("_sum"))
+    stats = value_quantiles(d, [], "d")
     return stats.select(
-        "repeat_purchase_events",
-        F.col("_med").cast("double").alias("median_days_between"),
-        avg_exact_col("_sum", "repeat_purchase_events", 1).alias("mean_days_between"))
+        F.col("n").alias("repeat_purchase_events"),
+        F.col("low_median" if median == "lower" else "median").alias("median_days_between"),
+        avg_exact_col("total", "n", 1).alias("mean_days_between"))
 
 
 def repeat_by_first(orders: DataFrame, totals: DataFrame | None, class_col: str, entity: str = "person",
@@ -197,24 +195,26 @@ def fair_window_repeat(activity: DataFrame, dims: DataFrame | None, entity: str
     ``min_n`` are dropped.
     """
     lo, hi = window
-    pm = person_months(activity, entity, ts)
-    cells = with_cohort(pm)
+    cells = with_cohort(person_months(activity, entity, ts))
     per = cells.groupBy("entity", "cohort_month").agg(
-        F.bool_or(F.col("month_index").between(lo, hi)).alias("returned"))
+        F.bool_or(F.col("month_index").between(lo, hi)).alias("returned"), F.max("activity_month").alias("_last"))
+    if dims is None:
+        joined = per.withColumn("_dim", F.expr(dim_expr)).withColumn("_in", F.lit(True))
+    else:
+        own = dims.select(F.col(entity).alias("entity"), F.col(dim).alias("_dim"), F.lit(True).alias("_in"))
+        joined = per.join(own, "entity", "left")
+    # the last month with data is taken from this small grid (dimension x cohort), not from a second
+    # pass over the orders; entities outside ``dims`` count for it and for nothing else
+    grid = joined.groupBy("_dim", "_in", "cohort_month").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("returned").alias("_r"), F.max("_last").alias("_last"))
     if eligible_to is None:
-        # scalar subquery: one global aggregate, evaluated once and inlined as a value
-        last = pm.agg(F.add_months(F.max("activity_month"), -hi).alias("_to")).scalar()
-        per = per.filter(F.col("cohort_month") <= last)
+        grid = grid.withColumn("_to", F.add_months(F.max("_last").over(Window.partitionBy()), -hi))
+        grid = grid.filter(F.col("cohort_month") <= F.col("_to"))
     else:
-        per = per.filter(F.col("cohort_month") <= F.to_date(F.lit(eligible_to)))
+        grid = grid.filter(F.col("cohort_month") <= F.to_date(F.lit(eligible_to)))
     if eligible_from is not None:
-        per = per.filter(F.col("cohort_month") >= F.to_date(F.lit(eligible_from)))
-    if dims is None:
-        joined = per.withColumn("_dim", F.expr(dim_expr))
-    else:
-        joined = per.join(dims.select(F.col(entity).alias("entity"), F.col(dim).alias("_dim")), "entity")
-    out = joined.groupBy("_dim").agg(F.count(F.lit(1)).alias("customers"),
-                                     F.count_if("returned").alias("repeaters"))
+        grid = grid.filter(F.col("cohort_month") >= F.to_date(F.lit(eligible_from)))
+    out = grid.filter("_in").groupBy("_dim").agg(F.sum("_n").alias("customers"), F.sum("_r").alias("repeaters"))
     return (out.filter(F.col("customers") >= min_n)
             .withColumn("repeat_rate_pct", pct_col("repeaters", "customers"))
             .withColumnRenamed("_dim", dim)
@@ -222,7 +222,10 @@ def fair_window_repeat(activity: DataFrame, dims: DataFrame | None, entity: str
 
 
 def avg_order_value(orders: DataFrame, values: DataFrame) -> DataFrame:
-    """Mean revenue per order over orders that have items, and their number."""
+    """Mean revenue per order over orders that have items, and their number.
+
+    As SQL's AVG, the mean leaves out orders whose revenue is NULL; they are counted.
+    """
     per = orders.select("order_id").join(values, "order_id")
-    return per.agg(F.sum("order_revenue").alias("_s"), F.count(F.lit(1)).alias("orders")) \
-        .select(avg_exact_col("_s", "orders", 2).alias("avg_order_value_brl"), "orders")
+    return per.agg(F.sum("order_revenue").alias("_s"), F.count("order_revenue").alias("_n"), F.count(F.lit(1)).alias("orders")) \
+        .select(avg_exact_col("_s", "_n", 2).alias("avg_order_value_brl"), "orders")

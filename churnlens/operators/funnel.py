@@ -17,18 +17,41 @@ from churnlens.functions.dates import month_start_col, whole_minutes_col
 from churnlens.functions.numeric import avg_exact_col, pct_col, round_col
 from churnlens.functions.rules import Rules, case_col
 
-MEDIAN = "percentile({v}, 0.5)"
-P90 = "percentile_disc(0.9) WITHIN GROUP (ORDER BY {v})"
-# Approximate variants for value domains too wide for exact value -> count buffers
+# Approximate variants for value domains too wide for exact value counts
 # (fixed-size sketch per group; relative rank error about 1 / accuracy).
 MEDIAN_APPROX = "CAST(percentile_approx({v}, 0.5, {acc}) AS DOUBLE)"
 P90_APPROX = "CAST(percentile_approx({v}, 0.9, {acc}) AS DOUBLE)"
 
 
-def _quantile_exprs(v: str, approx: bool, accuracy: int):
-    if approx:
-        return F.expr(MEDIAN_APPROX.format(v=v, acc=accuracy)), F.expr(P90_APPROX.format(v=v, acc=accuracy))
-    return F.expr(MEDIAN.format(v=v)), F.expr(P90.format(v=v))
+def value_quantiles(df: DataFrame, dims: Sequence[str], value: str, flag: str | None = None) -> DataFrame:
+    """Per ``dims``: n, median (mean of the two middle rows), low_median, p90 (row ceil(0.9 n)), total[, flagged]. Exact.
+
+    Rows are first counted per (dims, value): a partial aggregate dealt out by both, so the rows of one
+    group meet in many tasks. Only these counts - at most one row per distinct value - are then
+    ordered within their group, and a quantile is the first value whose running count reaches its row.
+    NULL values are left out.
+    """
+    marks = [F.count_if(F.col(flag)).alias("_flagged")] if flag else []
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*dims, F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_times"), *marks)
+    group = Window.partitionBy(*dims)
+    upto = F.sum("_times").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_times").over(group))
+    at = lambda row: F.min(F.when(F.col("_upto") >= F.expr(row), F.col("_value")))
+    low, high = at("(_n + 1) div 2"), at("(_n + 2) div 2")
+    g = c.groupBy(*dims).agg(
+        F.coalesce(F.sum("_times"), F.lit(0)).alias("n"), ((low + high) / F.lit(2.0)).alias("median"),
+        low.cast("double").alias("low_median"), at("(9 * _n + 9) div 10").cast("double").alias("p90"),
+        F.sum(F.col("_value") * F.col("_times")).alias("total"),
+        *([F.sum("_flagged").alias("flagged")] if flag else []))
+    return g
+
+
+def _sketched_quantiles(df: DataFrame, dims: Sequence[str], value: str, flag: str | None, accuracy: int) -> DataFrame:
+    med, p90 = (F.expr(x.format(v=value, acc=accuracy)) for x in (MEDIAN_APPROX, P90_APPROX))
+    return df.filter(F.col(value).isNotNull()).groupBy(*dims).agg(
+        F.count(F.lit(1)).alias("n"), med.alias("median"), med.alias("low_median"), p90.alias("p90"),
+        F.sum(value).alias("total"), *([F.count_if(F.col(flag)).alias("flagged")] if flag else []))
 
 
 def _nested_conditions(stages: Sequence[tuple[str, str | None]]):
@@ -86,18 +109,18 @@ def funnel_timing(df: DataFrame, transitions: Sequence[tuple[str, str, str]], ap
 
     Durations are whole minutes; pairs with a missing timestamp and negative
     durations are dropped. One scan: the transitions are unpivoted with
-    ``explode`` and aggregated per transition with exact percentiles (the
-    percentile buffer is bounded by the number of distinct minute values);
-    ``approx=True`` uses fixed-size quantile sketches instead.
+    ``explode``, and the exact quantiles come from counts per (transition, minutes)
+    (``value_quantiles``); ``approx=True`` uses fixed-size quantile sketches instead.
     """
     rows = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(label).alias("transition"),
                               whole_minutes_col(a, b).alias("mins"))
                      for i, (label, a, b) in enumerate(transitions)])
     long = (df.select(F.explode(rows).alias("t")).select("t.*")
             .filter(F.col("mins").isNotNull() & (F.col("mins") >= 0)))
-    med, p90 = _quantile_exprs("mins", approx, accuracy)
-    g = long.groupBy("step_no", "transition").agg(
-        F.count(F.lit(1)).alias("n_orders"), med.alias("_med"), p90.alias("_p90"), F.sum("mins").alias("_sum"))
+    dims = ["step_no", "transition"]
+    q = _sketched_quantiles(long, dims, "mins", None, accuracy) if approx else value_quantiles(long, dims, "mins")
+    g = q.select(*dims, F.col("n").alias("n_orders"), F.col("median").alias("_med"), F.col("p90").alias("_p90"),
+                 F.col("total").alias("_sum"))
     return g.select(
         "step_no", "transition", "n_orders",
         F.expr("(SIGN(_med / 6e1) * FLOOR(ABS(_med / 6e1) * 1e1 + 5e-1) / 1e1)").alias("median_hours"),
@@ -137,12 +160,9 @@ def quantiles_by(df: DataFrame, dim: str | None, value: str, flag: str | None =
 
     Exact by default; ``approx=True`` uses fixed-size quantile sketches.
     """
-    med, p90 = _quantile_exprs(value, approx, accuracy)
-    aggs = [F.count(F.lit(1)).alias("n"), med.alias("median"), p90.alias("p90"), F.sum(value).alias("total")]
-    if flag:
-        aggs.append(F.count_if(F.col(flag)).alias("flagged"))
-    g = df.groupBy(dim).agg(*aggs) if dim else df.agg(*aggs)
-    return g.filter(F.col("n") >= min_n)
+    dims = [dim] if dim else []
+    g = _sketched_quantiles(df, dims, value, flag, accuracy) if approx else value_quantiles(df, dims, value, flag)
+    return g.drop("low_median").filter(F.col("n") >= min_n)
 
 
 # Truncation formats of the time grains (``trunc``); "day" is the date itself.

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.numeric import int_round_col
 
+# A cell's share of its cohort in percent, not rounded.
+_SHARE = "1e2 * CAST(active_customers AS DOUBLE) / CAST(cohort_size AS DOUBLE)"
+
 
 def heatmap_matrix(grid: DataFrame, max_index: int = 12) -> DataFrame:
-    """Cohort x month-index matrix of % retained; unobservable cells are NULL.
+    """Cohort x month-index matrix of % retained (not rounded); unobservable cells are NULL.
 
     Rows carry the label 'Mon YYYY (n=1,234)'. Columns m0..m<max_index>.
     """
-    masked = grid.withColumn("_v", F.when(F.col("is_observable") == 1, F.col("pct_retained")))
+    masked = grid.withColumn("_v", F.when(F.col("is_observable") == 1, F.expr(_SHARE)))
     wide = (masked.groupBy("cohort_month", "cohort_size")
             .pivot("month_index", list(range(max_index + 1))).agg(F.max("_v")))  # one cell each
     label = F.concat(F.date_format("cohort_month", "MMM yyyy"), F.lit(" (n="),
@@ -28,16 +31,18 @@ def heatmap_matrix(grid: DataFrame, max_index: int = 12) -> DataFrame:
 
 def heatmap_scale(grid: DataFrame, floor_pct: float = 0.5) -> DataFrame:
     """Colour-scale cap (largest observable month>=1 cell, at least ``floor_pct``)
-    and the mean month-1 retention over cohorts that have a month-1 cell."""
-    obs = grid.filter(F.col("is_observable") == 1)
+    and the mean month-1 retention over cohorts that have a month-1 cell.
+
+    Both are taken from shares that are not rounded; the mean is summed in units of
+    1e-9 (so the order of rows does not matter) and rounded to 6 digits.
+    """
+    obs = grid.filter(F.col("is_observable") == 1).withColumn("_p", F.expr(_SHARE))
     return obs.agg(
-        F.greatest(F.max(F.when(F.col("month_index") >= 1, F.col("pct_retained"))),
-                   F.lit(floor_pct)).alias("scale_max"),
-        F.sum(F.when(F.col("month_index") == 1, F.round(F.col("pct_retained") * 100).cast("bigint")))
-        .alias("_s1"),
+        F.greatest(F.max(F.when(F.col("month_index") >= 1, F.col("_p"))), F.lit(floor_pct)).alias("scale_max"),
+        F.sum(F.when(F.col("month_index") == 1, F.round(F.col("_p") * 1e9).cast("bigint"))).alias("_s1"),
         F.count(F.when(F.col("month_index") == 1, F.lit(1))).alias("cohorts_with_month1"),
-    ).select("scale_max", (int_round_col("_s1", "cohorts_with_month1") / F.lit(100.0))
-             .alias("mean_month1_pct"), "cohorts_with_month1")
+    ).select("scale_max", (int_round_col("_s1", "cohorts_with_month1 * 1000") / F.lit(1e6)).alias("mean_month1_pct"),
+             "cohorts_with_month1")
 
 
 def segment_shares(rfm: DataFrame, segment: str = "segment") -> DataFrame:

@@ -30,22 +30,6 @@ def key_profile(df: DataFrame, cols: Sequence[str], names: Sequence[str]) -> Dat
                   *[F.countDistinct(c).alias(n) for c, n in zip(cols, names)])
 
 
-def _carry_and_count(joined: DataFrame, step: int, next_key: str | None) -> DataFrame:
-    """Rows (_s, _k, _w) after a join step: a finished count row passes through; a
-    matched row emits its count row for ``step`` and, unless this is the last
-    step, the weight it carries forward under the next key; then one partial
-    aggregate per (step, key)."""
-    w = F.col("_w") * F.col("_c")
-    ktype = joined.schema["_n"].dataType if next_key else "string"
-    done = F.struct(F.col("_s"), F.lit(None).cast(ktype).alias("_k"), F.col("_w"))
-    emitted = [F.struct(F.lit(step).alias("_s"), F.lit(None).cast(ktype).alias("_k"), w.alias("_w"))]
-    if next_key:
-        emitted.append(F.struct(F.lit(None).cast("int").alias("_s"), F.col("_n").alias("_k"), w.alias("_w")))
-    rows = F.when(F.col("_s").isNotNull(), F.array(done)).otherwise(F.array(*emitted))
-    return (joined.select(F.explode(rows).alias("r")).select("r.*")
-            .groupBy("_s", "_k").agg(F.sum("_w").alias("_w")))
-
-
 def fanout(start: DataFrame, start_key: str,
            steps: Sequence[tuple[str, DataFrame, str, str | None]],
            start_name: str = "start") -> DataFrame:
@@ -53,34 +37,26 @@ def fanout(start: DataFrame, start_key: str,
 
     ``steps`` is ``[(name, frame, join key, next key or None), ...]``: step i joins
     ``frame`` on ``join key`` (a column of the rows so far and of ``frame``) and
-    the following step joins on ``next key``, a column of ``frame``. The joins
-    are never materialised: each side is reduced to key -> row count and the
-    running frame carries a weight (rows it stands for), so every intermediate
-    is bounded by the number of distinct keys, not by the fanned-out rows.
+    the following step joins on ``next key``, a column of ``frame``.
 
-    One lazy plan, each join evaluated once: a row of the running frame is
-    either a weight still being joined (``_s`` NULL, key ``_k``) or a finished
-    count of step ``_s`` (key NULL). Finished rows pass through the later left
-    joins unmatched, and the aggregate after each step keeps one of them per
-    step. The counts are pivoted over the fixed step numbers, so a step that
-    loses every row reports 0.
+    The joins are never materialised. The chain is folded from its end: each frame is reduced to
+    its join key with the rows that one row of that key becomes after this step and after every later
+    one, so an intermediate holds at most one row per key. One lazy plan; every frame is read
+    once, and each join finds its right side already dealt out by the join key. A step
+    that loses every row reports 0; NULL keys join nothing.
     """
-    cur = start.groupBy(F.col(start_key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    cur = _carry_and_count(cur.select(F.lit(None).cast("int").alias("_s"), F.col("_k").alias("_n"),
-                                      F.lit(1).cast("bigint").alias("_w"), "_c"), 1, start_key)
-    for i, (_, frame, key, nxt) in enumerate(steps):
-        if nxt is None:
-            right = frame.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-            right = right.withColumn("_n", F.lit(None).cast("string"))
-        else:
-            right = (frame.groupBy(F.col(key).alias("_k"), F.col(nxt).alias("_n"))
-                     .agg(F.count(F.lit(1)).alias("_c")))
-        joined = (cur.join(right, "_k", "left")
-                  .filter(F.col("_s").isNotNull() | F.col("_c").isNotNull()))  # inner join for weights
-        cur = _carry_and_count(joined, i + 2, nxt)
-    names = [start_name] + [s[0] for s in steps]
-    wide = cur.groupBy().pivot("_s", list(range(1, len(names) + 1))).agg(F.sum("_w"))
-    rows = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("step_no"), F.lit(n).alias("stage"),
-                              F.coalesce(F.col(str(i + 1)), F.lit(0)).cast("bigint").alias("rows"))
-                     for i, n in enumerate(names)])
+    below: DataFrame | None = None
+    counts: list[str] = []
+    for i in range(len(steps) - 1, -1, -1):
+        _, frame, key, nxt = steps[i]
+        rows = frame.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), *([F.col(nxt).alias("_n")] if below is not None else []))
+        if below is not None:
+            rows = rows.join(below.withColumnRenamed("_k", "_n"), "_n", "left")
+        below = rows.groupBy("_k").agg(F.count(F.lit(1)).alias(f"_c{i}"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+        counts = [f"_c{i}", *counts]
+    top = start.select(F.col(start_key).alias("_k"))
+    top = top if below is None else top.join(below, "_k", "left")
+    wide = top.agg(F.count(F.lit(1)).alias("_c"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    rows = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("step_no"), F.lit(n).alias("stage"), F.col(c).cast("bigint").alias("rows"))
+                     for i, (n, c) in enumerate(zip([start_name] + [s[0] for s in steps], ["_c", *counts]))])
     return wide.select(F.explode(rows).alias("r")).select("r.*").orderBy("step_no")

@@ -101,16 +101,17 @@ def split_hot_groups(df: DataFrame, group: str,
     bound set by the partition count, not by the data. One job aggregates the
     group sizes (partial aggregation) down to two numbers, N and the largest
     group: when no group is hot, ``(df, None)`` is returned and the caller plans
-    no hot path at all. Rows whose group is NULL count as cold (NULL never
-    matches a join key).
+    no hot path at all. The NULL group is a group like any other: keys are
+    compared null-safe, so it is split too when it is hot.
     """
     p = _num_partitions(df, num_partitions)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
     total, largest = sizes.agg(F.sum("_gn"), F.max("_gn")).first()
     if not largest or largest * p <= total:
         return df, None
-    hot = F.broadcast(sizes.filter(F.col("_gn") * F.lit(p) > F.lit(total)).select(group))
-    return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
+    hot = F.broadcast(sizes.filter(F.col("_gn") * F.lit(p) > F.lit(total)).select(F.col(group).alias("_hot")))
+    same = F.col(group).eqNullSafe(F.col("_hot"))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
 def number_in_group(df: DataFrame, group: str, order: Sequence[Column], name: str,
@@ -127,9 +128,9 @@ def number_in_group(df: DataFrame, group: str, order: Sequence[Column], name: st
     if hot is None:
         return cold_n
     ranked = global_row_number(hot, [F.col(group)] + list(order), "_grank", num_partitions=num_partitions)
-    first = ranked.groupBy(group).agg(F.min("_grank").alias("_gfirst"))  # <= P rows: one per hot group
-    hot_n = (ranked.join(F.broadcast(first), group)
-             .withColumn(name, F.col("_grank") - F.col("_gfirst") + F.lit(1)).drop("_grank", "_gfirst"))
+    first = ranked.groupBy(F.col(group).alias("_hot")).agg(F.min("_grank").alias("_gfirst"))  # <= P rows: one per hot group
+    hot_n = (ranked.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("_hot")))
+             .withColumn(name, F.col("_grank") - F.col("_gfirst") + F.lit(1)).drop("_grank", "_gfirst", "_hot"))
     return cold_n.unionByName(hot_n)
 
 
@@ -152,6 +153,6 @@ def previous_in_group(df: DataFrame, group: str, order: Sequence[str], value: st
     ranked = global_row_number(hot, keys, name="_rn", num_partitions=num_partitions)
     prev = ranked.select(F.col(group).alias("_pg"), (F.col("_rn") + F.lit(1)).alias("_prn"),
                          F.col(value).alias(name))
-    hot_p = (ranked.join(prev, (F.col("_rn") == F.col("_prn")) & (F.col(group) == F.col("_pg")), "left")
+    hot_p = (ranked.join(prev, (F.col("_rn") == F.col("_prn")) & F.col(group).eqNullSafe(F.col("_pg")), "left")
              .drop("_rn", "_prn", "_pg"))
     return cold_p.unionByName(hot_p)

@@ -131,12 +131,6 @@ def agreement(rfm: DataFrame, rules_a: Rules, default_a: str, rules_b: Rules, de
             .orderBy(F.col("customers").desc(), a, b))
 
 
-def first_order_at(person_orders: DataFrame, entity: str = "person",
-                   ts: str = "order_purchase_timestamp") -> DataFrame:
-    """(person, first_order_at): earliest purchase time (NULL times ignored)."""
-    return person_orders.groupBy(entity).agg(F.min(ts).alias("first_order_at"))
-
-
 def with_tenure(rfm: DataFrame, first: DataFrame | None, snapshot: DataFrame, entity: str = "person") -> DataFrame:
     """Add tenure_days (first order to the snapshot) to each scored person.
 

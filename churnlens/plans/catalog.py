@@ -26,11 +26,10 @@ from churnlens.session import scratch_path
 from churnlens.sources import binding, csv, sinks
 from churnlens.sources.model import EMPTY_AS_NULL, PRIMARY_KEYS, Tables
 
-# Parameters of the registered queries on the test tables. The reference's own
-# values (clips 2017-01..2018-08, group minimums 500 / 200 / 100, top 15) are
-# the operators' defaults for its data; the test data spans 1995-01..2001-08.
+# Parameters of the registered queries on the test tables. The reference's own group minimums
+# (500 / 200 / 100) and top 15 are for its data; its month clips are the operators' ``clip``
+# parameter, which no registered query sets: they take all months.
 PARAMS = {
-    "clip": ("1995-01-01", "2001-08-01"),
     "max_index": 12,
     "window": (1, 3),
     "min_state": 20,
@@ -69,6 +68,7 @@ def _funnel_base(t: Tables) -> DataFrame:
     return t.orders.filter(F.col(TS).isNotNull()).join(reviewed, "order_id", "left")
 
 
+# Stages and transitions with their labels.
 FUNNEL_STAGES = [
     ("1. Placed", None),
     ("2. Approved", "order_approved_at"),
@@ -208,7 +208,7 @@ def q_entity_key_profile(spark, sf_dir):
 @register("join_fanout")
 def q_join_fanout(spark, sf_dir):
     t = tables(spark, sf_dir)
-    persons = rfm.rfm_base(person_orders(t), order_value(t)).select("person")
+    persons = rfm_table(spark, sf_dir).select("person")     # the stored scores, as in the reference
     steps = [
         ("customers", t.customers.select(F.col("customer_unique_id").alias("person"), "customer_id"),
          "person", "customer_id"),
@@ -222,7 +222,7 @@ def q_join_fanout(spark, sf_dir):
 # -- cohorts -----------------------------------------------------------------------------
 
 def _cohort_grid(t: Tables, dense: bool = False) -> DataFrame:
-    return cohort.cohort_retention(_activity(t), "person", TS, PARAMS["max_index"], PARAMS["clip"], dense)
+    return cohort.cohort_retention(_activity(t), "person", TS, PARAMS["max_index"], None, dense)
 
 
 @register("cohort_retention")
@@ -311,7 +311,7 @@ def q_revenue_retention(spark, sf_dir):
     t = tables(spark, sf_dir)
     act = (_activity(t).join(order_value(t), "order_id", "left")
            .withColumn("rev", F.coalesce("order_revenue", F.lit(0).cast("decimal(10,2)"))))
-    return cohort.revenue_retention(act, "person", TS, "rev", PARAMS["max_index"], PARAMS["clip"])
+    return cohort.revenue_retention(act, "person", TS, "rev", PARAMS["max_index"])
 
 
 @register("matched_window_by_year")
@@ -375,7 +375,7 @@ def q_funnel_by_month(spark, sf_dir):
         "days", whole_days_col(TS, "order_delivered_customer_date"))
     stages = [("pct_approved", "order_approved_at"), ("pct_shipped", "order_delivered_carrier_date"),
               ("pct_delivered", "order_delivered_customer_date")]
-    return funnel.funnel_over_time(o, TS, stages, "days", PARAMS["clip"])
+    return funnel.funnel_over_time(o, TS, stages, "days")
 
 
 @register("score_by_lateness")

@@ -161,3 +161,31 @@ def test_repeat_by_first_one_aggregate_equals_separate_totals(spark):
     totals = df.groupBy("person").agg(F.countDistinct("order_id").alias("n_orders"))
     two = cohort.repeat_by_first(df, totals, cls, "person", "ts", "order_id", payload).collect()
     assert {r["class"]: (r.customers, r.repeat_rate_pct) for r in two} == want
+
+
+def test_mean_order_value_leaves_out_null_revenue(spark):
+    orders = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "order_id string")
+    values = spark.createDataFrame([("a", "10.00"), ("b", "20.00"), ("c", None)], "order_id string, v string") \
+        .select("order_id", F.col("v").cast("decimal(10,2)").alias("order_revenue"))
+    r = cohort.avg_order_value(orders, values).first()
+    assert (r.avg_order_value_brl, r.orders) == (15.0, 3)
+
+
+def test_fair_window_reads_the_orders_once(spark):
+    rows = [("p1", "o1", dt(2017, 1, 5)), ("p1", "o2", dt(2017, 3, 5)), ("p2", "o3", dt(2017, 1, 9)),
+            ("p3", "o4", dt(2017, 6, 1)), ("p4", "o5", dt(2017, 7, 1))]
+    act = spark.createDataFrame(rows, SCHEMA)
+    dims = spark.createDataFrame([("p1", "x"), ("p2", "x"), ("p3", "y"), ("p5", None)], "person string, dim string")
+    got = cohort.fair_window_repeat(act, dims, "person", "ts")
+    # p4 has no dimension, but its month (July) is the last one: cohorts up to April count
+    assert [tuple(r) for r in got.collect()] == [("x", 2, 1, 50.0)]
+    fixed = cohort.fair_window_repeat(act, dims, "person", "ts", eligible_from="2017-06-01", eligible_to="2017-06-01")
+    assert [tuple(r) for r in fixed.collect()] == [("y", 1, 0, 0.0)]
+
+
+def test_clips_cut(spark):
+    grid = cohort.cohort_retention(_m_cohort(spark), "person", "ts", clip=("2017-02-01", "2017-02-01"))
+    assert {r.cohort_month.isoformat() for r in grid.collect()} == {"2017-02-01"}
+    rev = cohort.revenue_retention(_m_cohort(spark).withColumn("rev", F.lit(1).cast("decimal(10,2)")), "person", "ts", "rev",
+                                   clip=("2017-01-01", "2017-01-01"))
+    assert {r.cohort_month.isoformat() for r in rev.collect()} == {"2017-01-01"}

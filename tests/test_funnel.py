@@ -70,3 +70,17 @@ def test_least_squares_slope_range_constant_x_and_one_row(spark):
     assert (r.n, r.slope, r.mean_y) == (2, None, 2.0)
     one = funnel.least_squares_slope(df.limit(1), "x", "y").first()
     assert one.n == 1 and one.slope is None
+
+
+def test_quantiles_of_value_counts(spark):
+    from churnlens.operators import present
+    rows = [("a", v) for v in (5, 1, 1, 2)] + [("b", 7), ("c", None)] + [(None, v) for v in range(1, 11)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r.k: (r.n, r.median, r.low_median, r.p90, r.total) for r in funnel.value_quantiles(df, ["k"], "v").collect()}
+    assert got == {"a": (4, 1.5, 1.0, 5.0, 9), "b": (1, 7.0, 7.0, 7.0, 7), None: (10, 5.5, 5.0, 9.0, 55)}
+    empty = funnel.value_quantiles(df.limit(0), [], "v").first()
+    assert (empty.n, empty.median, empty.total) == (0, None, None)
+    cells = spark.createDataFrame([("2017-01-01", 100000, i, n, 1) for i, n in ((0, 100000), (1, 1346))],
+                                  "cohort_month string, cohort_size long, month_index long, active_customers long, is_observable long")
+    r = present.heatmap_scale(cells).first()
+    assert (r.scale_max, r.mean_month1_pct, r.cohorts_with_month1) == (1.346, 1.346, 1)

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from check_oracle import _norm
+from churnlens.plans import catalog
 from churnlens.sources.binding import DRIVER_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_every_library_query_has_sql():
+    assert set(catalog.queries()) <= set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, key):
     s = E.queries()[key](spark, SF).toPandas()
     d = con.execute(E.oracle_sql()[key]).df()

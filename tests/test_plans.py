@@ -93,3 +93,14 @@ def test_no_cartesian_and_no_single_task_on_rows(spark, key):
         child = next((x.strip(" :+-*()0123456789") for x in lines[i + 1:]
                       if _indent(x) > ind and not x.strip(" :+-*()0123456789").startswith(ABOVE_AGGREGATE)), "")
         assert child.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")), (key, plan)
+
+
+@pytest.mark.parametrize("key", ["repeat_gap", "funnel_timing", "delivery_by_state", "delivery_time"])
+def test_quantiles_never_aggregate_rows(spark, key):
+    """Exact quantiles come from counts per value; no percentile buffer is built from rows."""
+    assert "percentile" not in E.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fair_window_scans_once(spark):
+    plan = E.queries()["matched_window_by_year"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2                       # orders and customers

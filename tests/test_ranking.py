@@ -97,10 +97,15 @@ def test_number_in_group_matches_row_number(spark, parts):
     assert got.join(ref, "tie").filter(F.col("rn") != F.col("rn_ref")).count() == 0
 
 
-def test_number_in_group_keeps_null_groups_as_one_cold_group(spark):
-    df = spark.range(40).select(F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("g"),
-                                F.col("id").alias("t"))
-    got = number_in_group(df, "g", [F.col("t")], "rn", 8)
-    ref = df.withColumn("rn_ref", F.row_number().over(Window.partitionBy("g").orderBy("t")))
-    assert got.count() == 40
-    assert got.join(ref, "t").filter(F.col("rn") != F.col("rn_ref")).count() == 0
+def test_a_hot_null_group_is_split(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("g"),
+                                 F.col("id").alias("t"))                       # a third of all rows has no group
+    cold, hot = split_hot_groups(df, "g", 8)
+    assert hot.count() == 100 and hot.filter("g is not null").count() == 0 and cold.count() == 200
+    ref = df.withColumn("rn_ref", F.row_number().over(Window.partitionBy("g").orderBy("t"))) \
+        .withColumn("prev_ref", F.lag("t").over(Window.partitionBy("g").orderBy("t")))
+    numbered = number_in_group(df, "g", [F.col("t")], "rn", 8)
+    before = previous_in_group(df, "g", ["t"], "t", "prev", 8)
+    assert numbered.count() == before.count() == 300
+    assert numbered.join(ref, "t").filter("rn <> rn_ref").count() == 0
+    assert before.select("t", "prev").join(ref, "t").filter("not (prev <=> prev_ref)").count() == 0
