@@ -39,6 +39,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Entries of a generation of the word cache; cells of the transition table before it starts anew.
 CACHE_ENTRIES = 400_000
 TABLE_CELLS = 400_000
+#: Look-ahead answers of either length that are kept.
+KEPT_ANSWERS = 100_000
 #: Longer pieces between spaces are encoded without being kept.
 CACHE_CHARS = 48
 
@@ -142,7 +144,7 @@ class Automaton:
                 return self._labels_at(word[at:at + self.longest])
         got = kept.get(ahead)
         if got is None:
-            if len(kept) >= TABLE_CELLS:
+            if len(kept) >= KEPT_ANSWERS:
                 kept.clear()
             got = kept[ahead] = self._labels_at(ahead)
         return got
