@@ -16,12 +16,11 @@ oracle's input), so both engines see identical rows:
 * order_reviews: one review row per lineitem (several rows per order).
 * products: category = first word of the part type, NULL for size 50.
 * category_translation: a five-row dimension; PROMO stays untranslated.
+* order_payments: one payment per order; sellers: the suppliers, state from the nation.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import threading
 from concurrent.futures import ThreadPoolExecutor
 
@@ -105,6 +104,20 @@ def products_exprs(dialect: str) -> list[str]:
     ]
 
 
+def payments_exprs(dialect: str) -> list[str]:
+    return [
+        "o_orderkey AS order_id",
+        "CAST(1 AS INT) AS payment_sequential",
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'voucher' ELSE 'card' END AS payment_type",
+        "CAST(1 + o_orderkey % 10 AS INT) AS payment_installments",
+        "CAST(o_totalprice AS DECIMAL(10,2)) AS payment_value",
+    ]
+
+
+#: Driver table with as many rows as the model table has to have after its load.
+SOURCE_OF = {"orders": "orders", "customers": "orders", "order_items": "lineitem", "order_payments": "orders",
+             "order_reviews": "lineitem", "products": "part", "sellers": "supplier"}
+
 # The category dictionary of the binding (PROMO deliberately absent).
 CATEGORY_TRANSLATION_ROWS = [
     ("STANDARD", "standard goods"),
@@ -151,6 +164,9 @@ def oracle_views_sql() -> str:
         "fx_order_items AS (SELECT " + ", ".join(items_exprs(d)) + " FROM lineitem),\n"
         "fx_order_reviews AS (SELECT " + ", ".join(reviews_exprs(d)) + " FROM lineitem),\n"
         "fx_products AS (SELECT " + ", ".join(products_exprs(d)) + " FROM part),\n"
+        "fx_order_payments AS (SELECT " + ", ".join(payments_exprs(d)) + " FROM orders),\n"
+        "fx_sellers AS (SELECT s.s_suppkey AS seller_id, n.n_name AS seller_state "
+        "FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey),\n"
         "fx_category_translation AS (" + _values_sql() + ")"
     )
 
@@ -179,18 +195,27 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     items = _items_skew_safe(rd("lineitem"))
     reviews = rd("lineitem").selectExpr(*reviews_exprs(d))
     products = rd("part").selectExpr(*products_exprs(d))
+    payments = rd("orders").selectExpr(*payments_exprs(d))
+    s = rd("supplier").select("s_suppkey", "s_nationkey")
+    sellers = s.join(n, F.col("n.n_nationkey") == F.col("s_nationkey")).select(
+        F.col("s_suppkey").alias("seller_id"), F.lit(None).cast("string").alias("seller_zip_code_prefix"),
+        F.lit(None).cast("string").alias("seller_city"), F.col("n.n_name").alias("seller_state"))
     translation = spark.sql(_values_sql())  # a local relation: no Python worker, no scan
     return Tables(orders=orders, customers=customers, order_items=items, order_reviews=reviews,
-                  products=products, category_translation=translation)
+                  products=products, category_translation=translation, order_payments=payments, sellers=sellers)
 
 
 _LOADED: dict[tuple, Tables] = {}
 _LOAD_LOCK = threading.Lock()
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    files = sorted(glob.glob(os.path.join(sf_dir, "*.parquet")))
-    return tuple((f, os.path.getmtime(f), os.path.getsize(f)) for f in files) if files else (sf_dir,)
+def fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files, times and sizes of the input folder, listed by its own (Hadoop) file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (fs.makeQualified(path).toString(),
+            *sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(path)))
 
 
 def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -203,7 +228,7 @@ def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
     DataFrames are kept too, so later queries do not infer the Parquet schemas
     again (the analogue of looking up a catalog table).
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir))
     with _LOAD_LOCK:
         loaded = _LOADED.get(key)
         if loaded is None:

@@ -4,8 +4,8 @@
 a fixed schema; quoted fields may contain commas, doubled quotes and newlines.
 Empty fields of the listed columns become NULL (the loader's NULLIF list).
 
-Quoted multi-line records make a file unsplittable, so each CSV file is read by
-one task; convert once to Parquet (``sinks.write_table``) and analyse that.
+Only files whose quoted fields hold newlines need ``multi_line``; it makes a file
+unsplittable (one task a file), so it is off by default.
 """
 
 from __future__ import annotations
@@ -17,34 +17,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Marks a row with a value that its column's type cannot hold (``load_table(strict=False)``).
+UNPARSED = "_unparsed"
+
+
 def load_table(spark: SparkSession, path: str, schema: T.StructType,
-               empty_as_null: Iterable[str] = ()) -> DataFrame:
-    """Read a reference-style CSV export with an explicit schema."""
+               empty_as_null: Iterable[str] = (), multi_line: bool = False, strict: bool = True) -> DataFrame:
+    """Read a reference-style CSV export with an explicit schema.
+
+    ``strict`` raises on a value that does not parse; otherwise it becomes NULL and
+    the row is marked in ``UNPARSED``.
+    """
     raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     df = (spark.read.schema(raw_schema)
           .option("header", True).option("sep", ",")
           .option("quote", '"').option("escape", '"')
-          .option("multiLine", True).option("mode", "FAILFAST")
+          .option("multiLine", multi_line).option("mode", "FAILFAST")
           .csv(path))
     empty = set(empty_as_null)
-    cols = []
+    cols, bad = [], F.lit(False)
     for f in schema.fields:
         c = F.col(f.name)
         if f.name in empty:
             c = F.nullif(c, F.lit(""))
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+        typed = c.cast(f.dataType) if strict else c.try_cast(f.dataType)
+        bad = bad | (c.isNotNull() & typed.isNull())
+        cols.append(typed.alias(f.name))
+    return df.select(*cols) if strict else df.select(*cols, bad.alias(UNPARSED))
 
 
 def validate_counts(tables: Mapping[str, tuple[DataFrame, int | DataFrame]]) -> DataFrame:
     """One row per table: rows loaded, rows expected, and whether they match.
 
     ``expected`` is an integer literal or a DataFrame whose row count is expected.
+    Rows marked ``UNPARSED`` do not count as loaded, which takes reading every column.
     Each count is a distributed aggregate; the result has one row per table.
     """
     parts = []
     for name, (df, expected) in tables.items():
-        loaded = df.agg(F.count(F.lit(1))).scalar()
+        loaded = df.agg(F.count_if(~F.col(UNPARSED)) if UNPARSED in df.columns else F.count(F.lit(1))).scalar()
         if isinstance(expected, DataFrame):
             exp = expected.agg(F.count(F.lit(1))).scalar()
         else:

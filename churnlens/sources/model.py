@@ -137,16 +137,13 @@ class Tables:
     order_reviews: DataFrame
     products: DataFrame
     category_translation: DataFrame
+    order_payments: DataFrame | None = None
+    sellers: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {
-            "orders": self.orders,
-            "customers": self.customers,
-            "order_items": self.order_items,
-            "order_reviews": self.order_reviews,
-            "products": self.products,
-            "category_translation": self.category_translation,
-        }
+        """The tables that there are, by name; no analysis needs payments or sellers, but both are loaded and checked."""
+        names = ("orders", "customers", "order_items", "order_reviews", "products", "category_translation", "order_payments", "sellers")
+        return {name: getattr(self, name) for name in names if getattr(self, name) is not None}
 
     def register_views(self, prefix: str = "") -> list[str]:
         """Register each table as a session temporary view (``prefix`` + table name),

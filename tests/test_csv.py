@@ -6,6 +6,7 @@ import tempfile
 from pyspark.sql import types as T
 
 from churnlens.sources import csv
+from churnlens.sources.model import SCHEMAS
 
 TEXT = (
     'review_id,order_id,review_score,review_comment_title,review_comment_message,'
@@ -27,7 +28,7 @@ def test_load_table_csv_rules(spark):
                            T.StructField("review_creation_date", T.TimestampNTZType()),
                            T.StructField("review_answer_timestamp", T.TimestampNTZType())])
     df = csv.load_table(spark, d, schema, ["review_comment_title", "review_comment_message",
-                                          "review_creation_date", "review_answer_timestamp"])
+                                          "review_creation_date", "review_answer_timestamp"], multi_line=True)
     rows = {(r.review_id, r.order_id): r for r in df.collect()}
     assert len(rows) == 3
     a, b, c = rows[("r1", "o1")], rows[("r2", "o1")], rows[("r1", "o2")]
@@ -44,3 +45,27 @@ def test_validate_counts(spark):
     out = {r.table_name: (r.rows_loaded, r.expected, r.matches)
            for r in csv.validate_counts({"a": (df, 5), "b": (df, 6), "c": (df, spark.range(5))}).collect()}
     assert out == {"a": (5, 5, True), "b": (5, 6, False), "c": (5, 5, True)}
+
+
+def _file(text):
+    d = tempfile.mkdtemp(prefix="csvtest-")
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write(text)
+    return d
+
+
+def test_a_value_that_does_not_parse_fails_the_validation(spark):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType())])
+    d = _file("id,n\na,1\nb,notanumber\nc,\n")
+    back = csv.load_table(spark, d, schema, ["n"], strict=False)
+    r = csv.validate_counts({"t": (back, 3)}).first()
+    assert (r.rows_loaded, r.expected, r.matches) == (2, 3, False)
+
+
+def test_geolocation_loads_with_its_declared_schema(spark):
+    d = _file("geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n"
+              "01037,-23.54562128,-46.63929204,sao paulo,SP\n01037,-23.54562128,-46.63929204,sao paulo,SP\n")
+    df = csv.load_table(spark, d, SCHEMAS["geolocation"])
+    assert df.schema["geolocation_lat"].dataType == T.DecimalType(11, 8)
+    assert [str(r.geolocation_lat) for r in df.collect()] == ["-23.54562128"] * 2
+    assert csv.validate_counts({"geolocation": (csv.load_table(spark, d, SCHEMAS["geolocation"], strict=False), 2)}).first().matches
