@@ -127,19 +127,24 @@ def _own(h: np.ndarray, phrase: list, stretch: list, start: list, n: list, windo
 
 def _passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     """(doc_id, start, n, first): windows from ``start`` on that the smaller document ``first`` has too."""
-    found = _find(docs, window, phrase)
-    recurring = (found.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("phrase"))
+    # what is aggregated here is stored before it is joined: a join can deal out a frequent key's rows anew only if
+    # both of its sides come straight from a shuffle
+    found = stored(_find(docs, window, phrase), "phrases")
+    recurring = stored(found.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                                   (F.min("stretch") != F.max("stretch")).alias("mixed"))
+                       .filter("first < last").select("phrase", "first", "mixed"), "recurring")
     places = stored(found.join(recurring, "phrase"), "places")
-    known = places.groupBy("phrase", "stretch").agg(F.min("doc_id").alias("first"))
-    kinds = known.groupBy("phrase").agg(F.count(F.lit(1)).alias("kinds"))
-    settled = stored(places.join(known.join(kinds, "phrase"), ["phrase", "stretch"]), "settled")
-    whole = settled.filter("doc_id > first").select("doc_id", "start", "n", "first")
-    firsts = settled.filter("doc_id = first and kinds > 1")
-    each = stored(_windows(docs, firsts, window), "windows")
-    earliest = each.groupBy("phrase", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    whole = places.filter("not mixed and doc_id > first").select("doc_id", "start", "n", "first")
+    mixed_places = places.filter("mixed").drop("first", "mixed")
+    known = stored(mixed_places.groupBy("phrase", "stretch").agg(F.min("doc_id").alias("first")), "stretches")
+    settled = stored(mixed_places.join(known, ["phrase", "stretch"]), "settled")
+    copied = settled.filter("doc_id > first").select("doc_id", "start", "n", "first")
+    each = stored(_windows(docs, settled.filter("doc_id = first"), window), "windows")
+    earliest = stored(each.groupBy("phrase", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                      .filter("first < last").drop("last"), "earliest")
     single = (each.join(earliest, ["phrase", "hash"]).filter("doc_id > first")
               .select("doc_id", "start", F.lit(1).cast("long").alias("n"), "first"))
-    return whole.unionByName(single)
+    return whole.unionByName(copied).unionByName(single)
 
 
 def runs(start: list[int], n: list[int], first: list[int], window: int) -> list[tuple[int, int, int]]:
