@@ -51,4 +51,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the scratch folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_PATHS: dict[str, list[str]] = {}
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this application has written to ``scratch_path``s, at its end; returns how many paths there were.
+
+    Frames that were read from them can't be used any more. Checkpoints belong to Spark
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)

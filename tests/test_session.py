@@ -2,7 +2,8 @@
 
 import pytest
 
-from churnlens.session import scratch_dir
+from churnlens import session
+from churnlens.session import scratch_dir, scratch_path
 
 
 class _Conf:
@@ -45,3 +46,15 @@ def test_local_session_gets_a_temporary_folder():
     s = _Session("local[4]")
     d = scratch_dir(s)
     assert d and s.sparkContext.getCheckpointDir() == d
+
+
+def test_scratch_is_removed_at_the_end(spark):
+    from churnlens.session import remove_scratch
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = session._PATHS.pop(spark.sparkContext.applicationId)
+    session._PATHS[spark.sparkContext.applicationId] = [path]              # other tests still read theirs
+    assert fs.exists(fs_path) and remove_scratch(spark) == 1 and not fs.exists(fs_path)
+    session._PATHS[spark.sparkContext.applicationId] = [p for p in before if p != path]
