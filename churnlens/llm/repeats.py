@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import small, stored
-from churnlens.llm.words import hashes, mixed, window_hashes, words
+from churnlens.llm.words import hashes, span_hashes, window_hashes, words
 
 WINDOW = 50
 #: Words of the phrase that is picked in a window.
@@ -54,16 +54,6 @@ def first_minima(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def stretch_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words [start, end), for each pair; lengths count."""
-    out = np.zeros(len(start), np.uint64)
-    lengths = end - start
-    for n in np.unique(lengths):
-        own = lengths == n
-        out[own] = window_hashes(h, int(n))[start[own]] ^ mixed(np.array([n], np.uint64))[0]
-    return out
-
-
 def stretches(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, ...]:
     """(phrase hash, stretch hash, first window, windows) of the words' stretches."""
     if len(h) < window:
@@ -72,7 +62,7 @@ def stretches(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, ...]
     at = first_minima(grams, window - phrase + 1)
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.concatenate([new, [len(at)]]))
-    return grams[at[new]], stretch_hashes(h, new, new + count + window - 1), new, count
+    return grams[at[new]], span_hashes(h, new, new + count + window - 1), new, count
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -121,7 +111,7 @@ def _own(h: np.ndarray, phrase: list, stretch: list, start: list, n: list, windo
     p, s, a, c = (np.array(x, np.int64) for x in (phrase, stretch, start, n))
     fits = a + c + window - 1 <= len(h)
     p, s, a, c = p[fits], s[fits], a[fits], c[fits]
-    ok = stretch_hashes(h, a, a + c + window - 1).view(np.int64) == s if len(a) else np.zeros(0, bool)
+    ok = span_hashes(h, a, a + c + window - 1).view(np.int64) == s if len(a) else np.zeros(0, bool)
     return p[ok], s[ok], a[ok], c[ok]
 
 

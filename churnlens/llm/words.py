@@ -51,12 +51,26 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of ``k`` words, from their hashes: equal runs have equal hashes."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
+def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the words' hashes, each times a power of the base, and the inverse powers."""
     size = 1 << max(10, (len(h) - 1).bit_length())          # few sizes, so that the powers are found again
     up, down = _powers(size)
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[:len(h)], out=sums[1:])
+    return sums, down
+
+
+def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` words, from their hashes: equal runs have equal hashes."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    sums, down = _sums(h)
     return mixed((sums[k:] - sums[:-k]) * down[:len(h) - k + 1])
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words [start, end); runs of different lengths count as different."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    sums, down = _sums(h)
+    return mixed((sums[end] - sums[start]) * down[start] ^ mixed((end - start).astype(np.uint64)))
