@@ -12,7 +12,6 @@ shortest code for the whole text wins.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +31,6 @@ TRAIN_DOCS = 600
 CHUNK = 1 << 20
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def grams(data: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the runs of ``order`` + 1 bytes of a text that starts after zero bytes."""
     return np.unique(_codes(data, order), return_counts=True)
@@ -112,7 +108,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its posterior probability, all languages alike before; a tie goes to the first by name."""
-        if not text or not self.langs or _LETTER.search(text) is None:
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         bits = self.code_lengths(text)
         best = int(bits.argmin())

@@ -89,13 +89,13 @@ def test_texts_are_coded_whole(monkeypatch):
 
 def test_edge_rows(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("der die das und ", "de"), ("the of and to ", "en")] * 20)]
-    rows += [(100, None, "en"), (101, "the und", None), (102, "12 34 !?", None), (103, "", None), (104, "the of and " * 30_000, None), (104, "the of and " * 30_000, None), (None, "der die", None)]
+    rows += [(100, None, "en"), (101, "the und", None), (102, "12 34 !?", None), (103, "", None), (105, "² ½ Ⅷ _", None), (104, "the of and " * 30_000, None), (104, "the of and " * 30_000, None), (None, "der die", None)]
     df = spark.createDataFrame(rows, LANGS).selectExpr("*", "'q' as lang_pred", "0 as score", "1 as n", "2 as gram")
     counts = language.train(df)
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.predict(df, counts).collect()]
     assert len(got) == len(rows)
     by = {d: (p, s) for d, p, s in got}
-    assert by[100] == by[102] == by[103] == ("und", 0.0)
+    assert by[100] == by[102] == by[103] == by[105] == ("und", 0.0)
     assert by[104][0] == "en" and by[None][0] == "de" and by[0][0] == "de" and by[1][0] == "en"
     assert all(0 <= s <= 1 for _, _, s in got)
     assert language.predict(df.limit(0), counts).count() == 0
