@@ -11,12 +11,12 @@ global order is built from a range shuffle instead:
    partition ids keep their order.
 2. ``sortWithinPartitions`` + ``monotonically_increasing_id``: the id encodes
    (partition << 33) + position in partition.
-3. The numbered rows are checkpointed (reliable checkpoint to the session's
-   checkpoint dir). Two consumers read them: the row counts per partition and
-   the final join. Without the checkpoint each consumer may get its own range
+3. The numbered rows are stored as Parquet in the session's checkpoint dir. Two
+   consumers read them, each only the columns it needs: the row counts per
+   partition and the final join. Unless they are stored each consumer may get its own range
    exchange (column pruning makes the two subtrees differ, so the exchange is
    not reused), and each exchange samples its own range bounds - the offsets
-   would then describe a different partitioning than the rows. The checkpoint
+   would then describe a different partitioning than the rows. Storing them
    also cuts the lineage (chained ranks would otherwise double the plan each
    time) and survives executor loss.
 4. Row counts per partition (at most P rows) -> running offsets -> broadcast
@@ -35,7 +35,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import scratch_dir
+from churnlens.session import scratch_path
+from churnlens.sources.sinks import write_table
 
 _SHIFT = 33
 
@@ -54,11 +55,12 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
     row count of the whole frame.
     """
     p = _num_partitions(df, num_partitions)
-    scratch_dir(df.sparkSession)  # make sure a checkpoint folder is set
-    ranged = (df.repartitionByRange(p, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_mid", _SHIFT))
-              .checkpoint(eager=True))
+    path = scratch_path(df.sparkSession, "ranked")
+    numbered = (df.repartitionByRange(p, *order).sortWithinPartitions(*order)
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .withColumn("_part", F.shiftright("_mid", _SHIFT)))
+    write_table(numbered, path)
+    ranged = df.sparkSession.read.schema(numbered.schema).parquet(path)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -36,12 +36,12 @@ def test_row_number_is_a_permutation(spark):
     assert all(r.rn == r.k + 1 and r.n == 2000 for r in rows)
 
 
-def test_rank_plan_reads_checkpoint_and_broadcasts_offsets(spark):
+def test_rank_plan_reads_stored_rows_and_broadcasts_offsets(spark):
     df = spark.range(500).select(F.col("id").alias("person"), (F.col("id") % 3).alias("v"))
     got = distributed_ntile(df, 5, [F.col("v"), F.col("person")], "t", 4)
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "ExistingRDD" in plan and "BroadcastHashJoin" in plan
+    assert "ExistingRDD" not in plan and "FileScan parquet" in plan and "BroadcastHashJoin" in plan
     # the only single-partition exchange feeds the broadcast side (<= P offset rows)
     lines = plan.split("\n")
     for i, line in enumerate(lines):
