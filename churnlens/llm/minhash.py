@@ -111,7 +111,8 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "members"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "rep long, members binary")
+    # by merging at every size: how many representatives are asked for has no bound, and the plan is the same on small tables
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, members binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
