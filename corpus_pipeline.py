@@ -19,6 +19,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents whose language is less probable than this are rejected.
 SURE_LANGUAGE = 0.5
+#: Words of the near-duplicate stage's shingles; the query op9_minhash has its own number.
+SHINGLE_WORDS = 5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, k=SHINGLE_WORDS).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

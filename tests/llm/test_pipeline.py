@@ -1,4 +1,6 @@
+import functools
 import re
+import sys
 
 import corpus_pipeline as cp
 from churnlens.llm.common import stored
@@ -52,3 +54,21 @@ def test_edge_rows(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_near_duplicates_are_judged_by_five_words(spark):
+    words = [f"w{i}" for i in range(80)]
+    # 69 of 85 shingles of four words in common, but 66 of 86 of five
+    apart = [w + "x" if i in (25, 55) else w for i, w in enumerate(words)]
+    # 71 of 81 shingles of five words in common
+    close = [w + "y" if i == 40 else w for i, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join(apart), 3: " ".join(close)}
+    assert near(texts.items())[2][1] == 1 and near(texts.items(), k=5)[2][1] == 2
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], COLUMNS)
+    kept = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {d for d, (_, c) in near(texts.items(), k=5).items() if c == d} == {1, 2}
+
+
+def test_each_stage_with_five_words(spark, monkeypatch):
+    monkeypatch.setattr(sys.modules[__name__], "near", functools.partial(near, k=5))
+    test_each_stage_against_brute_force(spark)
