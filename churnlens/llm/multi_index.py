@@ -3,7 +3,7 @@
 The two halves of a vector are quantised separately, each with a codebook of its own, so a few centroids a half make
 their square of cells. A query walks the cells in the order of the summed distances of its halves to the two
 centroids: a heap holds the next pairs, and taking the pair (i, j) puts (i + 1, j) and (i, j + 1) on it. It stops when
-the cells taken hold enough entries. The entries of these cells are then ranked by their true distance.
+the cells taken hold enough different vectors. The entries of these cells are then ranked by their true distance.
 
 Every usable vector is in exactly one cell. The cells of one left centroid are a row of the index; a query sends each row
 the list of cells that it probes there, so there are queries x centroids messages at most, not queries x cells. Rows with
@@ -29,7 +29,7 @@ from churnlens.llm.common import small, stored
 CENTROIDS = 192
 #: Vectors that the codebooks are learnt from, at most, and rounds of k-means.
 SAMPLE, ROUNDS = 10_000, 12
-#: Share of all entries that a query's cells hold, at least. Vectors without any structure need as much as this for a recall
+#: Share of all different vectors that a query's cells hold, at least. Vectors without any structure need as much as this for a recall
 #: of 0.9; clustered ones far less.
 PROBED = 0.32
 #: Entries, and queries, that one part of an index row holds, about; and queries ranked at once.
@@ -38,7 +38,7 @@ PART, AT_ONCE = 4096, 128
 
 @dataclass
 class Index:
-    """Codebooks of the two halves, and how many entries each cell holds."""
+    """Codebooks of the two halves, and how many different vectors each cell holds."""
 
     left: np.ndarray
     right: np.ndarray
@@ -49,7 +49,7 @@ class Index:
         return nearest(vectors[:, :half], self.left) * len(self.right) + nearest(vectors[:, half:], self.right)
 
     def probes(self, vector: np.ndarray, enough: int) -> list[int]:
-        """Cells in the order of summed distance, until they hold ``enough`` entries."""
+        """Cells in the order of summed distance, until they hold ``enough`` different vectors."""
         half = self.left.shape[1]
         da = ((self.left - vector[:half]) ** 2).sum(1)
         db = ((self.right - vector[half:]) ** 2).sum(1)
@@ -108,7 +108,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     ``queries`` has the columns of ``vectors``; a query's own id is no candidate. Ties go to the smaller id. Vectors that are
     null, empty, zero or hold a null or a number that is not finite take no part, on either side; those of another length
     than most are of another space and take no part either. Of rows with a repeated id each is a
-    candidate, and an id found twice in one part of the index takes two of that part's places, but is reported once. Fewer candidates than ``k`` are all found. Empty tables give no rows; other columns are ignored.
+    candidate, and the id is reported once, with the nearest. Fewer candidates than ``k`` are all found. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
@@ -134,10 +134,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     entries = stored(rows.mapInArrow(assign, "vec_id long, v array<double>, cell int"), "multi-index")
     columns = len(index.right)
-    index.counts = np.zeros(len(index.left) * columns, np.int64)                              # centroids^2 numbers at most
-    for cell, n in entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        index.counts[cell] = n
-    enough = max(4 * k, int(np.ceil(probed * total)))
+    index.counts, by_cell = (np.zeros(len(index.left) * columns, np.int64) for _ in range(2))  # centroids^2 numbers at most
+    # by value and cell first: a vector's copies are added up before they are dealt out
+    values = entries.groupBy("cell", F.xxhash64("v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    for cell, different, n in values.groupBy("cell").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("n")).collect():
+        index.counts[cell], by_cell[cell] = different, n
+    enough = max(4 * k, int(np.ceil(probed * index.counts.sum())))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 256):
@@ -156,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     by_line = np.zeros(len(index.left), np.int64)
     for line, n in probes.groupBy("line").agg(F.count(F.lit(1)).alias("n")).collect():
         by_line[line] = n
-    parts = zip(_parts(index.counts.reshape(-1, columns).sum(1)), _parts(by_line))
+    parts = zip(_parts(by_cell.reshape(-1, columns).sum(1)), _parts(by_line))
     splits = F.broadcast(spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(parts)], "line int, entry_parts long, query_parts long"))
     part = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of))
     all_of = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
@@ -167,7 +169,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     def rank(entry: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(entry) and len(query):
+            entry = entry.sort_values("vec_id", kind="stable")
             ids, x, cell = entry["vec_id"].to_numpy(), np.stack(entry["v"].to_numpy()), entry["cell"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            repeated = len(first) < len(ids)
             lengths = (x ** 2).sum(1)
             for i in range(0, len(query), AT_ONCE):
                 some = query.iloc[i:i + AT_ONCE]
@@ -178,11 +183,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 about = lengths - 2 * v @ x.T                # squared distances less the query's own, nearly
                 about[~probed_cells[:, cell] | (ids[None, :] == q_ids[:, None])] = np.inf
                 for q, own, d in zip(q_ids, v, about):
-                    m = min(len(d), k) - 1
-                    edge = np.partition(d, m)[m]
+                    nearest_of = np.minimum.reduceat(d, first) if repeated else d         # one place for an id, however often it is there
+                    m = min(len(nearest_of), k) - 1
+                    edge = np.partition(nearest_of, m)[m]
                     near = np.flatnonzero((d <= edge + 1e-9 * (1 + abs(edge))) & np.isfinite(d)) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
                     exact = np.sqrt(((x[near] - own) ** 2).sum(1))
-                    order = np.lexsort((ids[near], exact))[:k]
+                    order = np.lexsort((ids[near], exact))
+                    if repeated:
+                        order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])]
+                    order = order[:k]
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][order], "score": exact[order]}))
         return pd.concat(out, ignore_index=True)
 

@@ -82,3 +82,26 @@ def test_recall_of_the_query(spark):
     for q, (ids, d) in got.items():
         x = {i: np.array(v, np.float32).astype(float) for i, v in rows}
         assert np.allclose(d, [np.sqrt(((x[q] - x[i]) ** 2).sum()) for i in ids], rtol=1e-12)
+
+
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)).astype(np.float32))]
+    rows += [(i, (np.array(v) + 0.01).tolist()) for i, v in rows if i % 3 == 0]      # an id with two vectors
+    df = spark.createDataFrame(rows * 10, SCHEMA)
+    got = result(mi.search(df, spark.createDataFrame(rows[:60:10], SCHEMA), centroids=3, probed=1.0))
+    near = {q: sorted((min(float(np.sqrt(((np.array(x, np.float32).astype(float) - np.array(v, np.float32)) ** 2).sum())) for i, v in rows if i == j), j)
+                      for j in range(60) if j != q)[:10] for q, x in rows[:60:10]}
+    assert {q: ids for q, (ids, _) in got.items()} == {q: [j for _, j in n] for q, n in near.items()}
+
+
+def test_copies_do_not_use_up_the_probed_share(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    query = spark.createDataFrame([rows[7]], SCHEMA)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    copies = spark.createDataFrame([*rows, *[(7, rows[7][1])] * 1200], SCHEMA)        # the query's own cell holds most of the rows
+    want = brute(rows, {7}, 10)[7][0]
+    got = [result(mi.search(df, query, centroids=4, probed=0.6))[7][0] for df in (plain, copies)]
+    assert all(len(set(g) & set(want)) >= 7 and len(g) == 10 for g in got)
