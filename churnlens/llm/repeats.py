@@ -10,9 +10,9 @@ smaller id. Three passes over the documents:
 2. *Confirm.* A stretch that a document with a smaller id has too is recurring as a whole. Where one phrase stands in
    different stretches (at the ends of passages), the windows in the first occurrence of each stretch are hashed and
    compared one by one. What comes out are passages, with the smallest document that has them.
-3. *Locate.* Documents go through in shards, each with the passages confirmed for it. A shard's passages are compiled
-   into an Aho-Corasick automaton over words, and all documents of the shard are streamed through it. Each occurrence
-   in a document that comes after the passage's first one is cut out.
+3. *Cut.* Documents go through in shards, each with the passages confirmed for it, as far as its own words have them.
+   A shard's passages are compiled into an Aho-Corasick automaton over words, and all documents of the shard are
+   streamed through it. Each occurrence in a document that comes after the passage's first one is cut out.
 
 Rows of a phrase are aggregated or joined, never gathered; a shard holds a bounded number of words (a single longer
 document is a shard of its own), so neither a common passage nor a large group of copies is one task's work.
@@ -92,9 +92,8 @@ def _windows(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
             for key, text, *lists in zip(*(c.to_pylist() for c in batch.columns)):
                 h = hashes(words(text))
                 phrase, stretch, start, n = _own(h, *lists, window)
-                every = window_hashes(h, window)
                 at = np.repeat(start, n) + _counted(n)
-                for c, v in zip(cols, (np.repeat(phrase, n), every[at], np.full(len(at), key), at)):
+                for c, v in zip(cols, (np.repeat(phrase, n), span_hashes(h, at, at + window), np.full(len(at), key), at)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([_long(np.concatenate(c)) for c in cols], ["phrase", "hash", "doc_id", "start"])
 
@@ -106,9 +105,9 @@ def _counted(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _own(h: np.ndarray, phrase: list, stretch: list, start: list, n: list, window: int) -> tuple[np.ndarray, ...]:
-    """The stretches that these words really have: another row with the same id may have others."""
-    p, s, a, c = (np.array(x, np.int64) for x in (phrase, stretch, start, n))
+def _own(h: np.ndarray, kept: list, stretch: list, start: list, n: list, window: int) -> tuple[np.ndarray, ...]:
+    """The stretches (and what is kept with each) that these words really have: another row with the same id may have others."""
+    p, s, a, c = (np.array(x, np.int64) for x in (kept, stretch, start, n))
     fits = a + c + window - 1 <= len(h)
     p, s, a, c = p[fits], s[fits], a[fits], c[fits]
     ok = span_hashes(h, a, a + c + window - 1).view(np.int64) == s if len(a) else np.zeros(0, bool)
@@ -116,7 +115,7 @@ def _own(h: np.ndarray, phrase: list, stretch: list, start: list, n: list, windo
 
 
 def _passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, start, n, first): windows from ``start`` on that the smaller document ``first`` has too."""
+    """(doc_id, start, n, first, stretch): windows from ``start`` on that the smaller document ``first`` has too, and their words' hash."""
     # what is aggregated here is stored before it is joined: a join can deal out a frequent key's rows anew only if
     # both of its sides come straight from a shuffle
     found = stored(_find(docs, window, phrase), "phrases")
@@ -124,16 +123,16 @@ def _passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                                                    (F.min("stretch") != F.max("stretch")).alias("mixed"))
                        .filter("first < last").select("phrase", "first", "mixed"), "recurring")
     places = stored(found.join(recurring, "phrase"), "places")
-    whole = places.filter("not mixed and doc_id > first").select("doc_id", "start", "n", "first")
+    whole = places.filter("not mixed and doc_id > first").select("doc_id", "start", "n", "first", "stretch")
     mixed_places = places.filter("mixed").drop("first", "mixed")
     known = stored(mixed_places.groupBy("phrase", "stretch").agg(F.min("doc_id").alias("first")), "stretches")
     settled = stored(mixed_places.join(known, ["phrase", "stretch"]), "settled")
-    copied = settled.filter("doc_id > first").select("doc_id", "start", "n", "first")
+    copied = settled.filter("doc_id > first").select("doc_id", "start", "n", "first", "stretch")
     each = stored(_windows(docs, settled.filter("doc_id = first"), window), "windows")
     earliest = stored(each.groupBy("phrase", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                       .filter("first < last").drop("last"), "earliest")
     single = (each.join(earliest, ["phrase", "hash"]).filter("doc_id > first")
-              .select("doc_id", "start", F.lit(1).cast("long").alias("n"), "first"))
+              .select("doc_id", "start", F.lit(1).cast("long").alias("n"), "first", F.col("hash").alias("stretch")))
     return whole.unionByName(copied).unionByName(single)
 
 
@@ -208,8 +207,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = plain.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
     passages = _passages(texts, window, phrase)
     by_doc = (passages.groupBy(F.col("doc_id").alias("_id"))
-              .agg(F.collect_list(F.struct("start", "n", "first")).alias("_p"))                    # bounded by the text
-              .select("_id", F.col("_p.start").alias("_start"), F.col("_p.n").alias("_n"), F.col("_p.first").alias("_first")))
+              .agg(F.collect_list(F.struct("start", "n", "first", "stretch")).alias("_p"))         # bounded by the text
+              .select("_id", F.col("_p.start").alias("_start"), F.col("_p.n").alias("_n"), F.col("_p.first").alias("_first"), F.col("_p.stretch").alias("_stretch")))
     rows = plain.join(by_doc, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left").drop("_id")
     at, key, width = names.index(text_col), names.index(id_col), len(names)
 
@@ -230,9 +229,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = Shard(), []
         for batch in small(batches, 32):
-            for doc_id, text, start, n, first in zip(*(batch.column(i).to_pylist() for i in (key, at, width, width + 1, width + 2))):
+            for doc_id, text, start, n, first, stretch in zip(*(batch.column(i).to_pylist() for i in (key, at, *range(width, width + 4)))):
                 tokens = words(text)
-                confirmed = [r for r in runs(start, n, first, window) if r[1] <= len(tokens)] if start else []
+                confirmed = []
+                if start:
+                    first, _, start, n = _own(hashes(tokens), first, stretch, start, n, window)
+                    confirmed = runs(start.tolist(), n.tolist(), first.tolist(), window)
                 shard.add(None if doc_id is None else int(doc_id), tokens, confirmed)
             held.append(batch)
             if shard.size >= SHARD_WORDS:

@@ -75,3 +75,18 @@ def test_query_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in brute(rows, 50).items()}
     assert {r["doc_id"]: r["kept_sha256"] for r in catalog.op3_repeats(spark, SF).collect()} == want
+
+
+def test_rows_of_one_id_lose_only_what_their_own_words_repeat(spark):
+    p, q, other = prose(1, 60), prose(2, 70), prose(3, 100)
+    copied, longer = p + prose(4, 30), p + prose(5, 20) + q
+    rows = [(1, " ".join(p)), (2, " ".join(q)), (5, " ".join(copied)), (5, " ".join(other)), (5, " ".join(longer)),
+            (7, " ".join(other[:60] + prose(6, 30)))]
+    rows.append((9, " ".join(prose(7, 10) + p)))
+    got = sorted((r["doc_id"], r["text"]) for r in repeats.cut_repeats(docs(spark, rows)).collect())
+    # id 7 repeats 60 words that the smaller id 5 has in one of its rows
+    want = [(1, rows[0][1]), (2, rows[1][1]), (5, " ".join(copied[60:])), (5, " ".join(other)), (5, " ".join(longer[60:80])), (7, " ".join(prose(6, 30))), (9, " ".join(prose(7, 10)))]
+    assert got == sorted(want)
+    alone = [r for r in rows if r[0] != 7] + [(8, "x " + " ".join(other[:49]))]
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in repeats.cut_repeats(docs(spark, alone)).collect()}
+    assert got[5, 100] == got[8, 50] == 0 and got[5, 90] == 60 and got[5, 150] == 130
