@@ -214,13 +214,6 @@ class Cached(dict):
         self.keep(piece, out)
         return out
 
-    def find(self, piece: str) -> bytes | None:
-        """As a look-up, without encoding."""
-        out = self.get(piece)
-        if out is None and (out := self._older.get(piece)) is not None:
-            self.keep(piece, out)
-        return out
-
     def keep(self, piece: str, out: bytes) -> None:
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:

@@ -10,21 +10,17 @@ those of several tasks end to end, cutting at the window's edge.
 from __future__ import annotations
 
 import bisect
-import functools
-import os
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from churnlens.llm.bpe import Cached, segments
 from churnlens.llm.common import ceil_div, only, small, stored
+from churnlens.llm.token_ids import text_ids
 
 WINDOW = 1024
 OPEN_WINDOWS = 64
@@ -72,33 +68,6 @@ class Packer:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(config: str) -> Callable[[str], bytes]:
-    """Text -> ids as bytes, by the tokenizers library; pieces between spaces are looked up if met before."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok = Tokenizer.from_str(config)
-    tok.no_truncation()
-    tok.no_padding()
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    plain = lambda s: array("I", tok.encode(s, add_special_tokens=False).ids).tobytes()
-    known = Cached(lambda piece: plain(" " + piece))
-
-    def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return plain(text)
-        first, *rest = segments(text)
-        ids = list(map(known.find, rest))
-        if None in ids:
-            new = list({p for p, x in zip(rest, ids) if x is None})
-            got = {p: array("I", e.ids).tobytes() for p, e in zip(new, tok.encode_batch_fast([" " + p for p in new], add_special_tokens=False))}
-            ids = [got[p] if x is None else x for p, x in zip(rest, ids)]
-            for p, x in got.items():
-                known.keep(p, x)
-        return (plain(first) if first else b"") + b"".join(ids)
-
-    return encode
-
-
 def _rows(windows: list[tuple[int, list]], kind: pa.DataType, closed: bool, task: int) -> pa.RecordBatch:
     cols: list[list] = [[] for _ in range(9)]
     for seq, pieces in windows:
@@ -128,7 +97,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     end = array("I", [end_id]).tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, task = _encoder(conf.value), Packer(window, open_windows), TaskContext.get().partitionId()
+        encode, packer, task = text_ids(conf.value), Packer(window, open_windows), TaskContext.get().partitionId()
         key_type, seq = None, task << 36
         for batch in small(batches):
             key_type, done = batch.schema.field(0).type, []
