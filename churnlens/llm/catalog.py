@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import bpe, html_text, language, large_items, minhash, multi_index, oracle, packing, pii, quality, repeats, warc
+from churnlens.llm import bpe, heap_clusters, html_text, language, large_items, minhash, multi_index, oracle, packing, pii, prefix_trie, quality, repeats, warc
 from churnlens.llm.common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,12 +60,21 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return large_items.pack(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_repeats, op4_quality, op5_packing, op6_html, op7_language, op8_pii, op9_minhash, op10_ann, op13_bestfit)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_repeats, op4_quality, op5_packing, op6_html, op7_language, op8_pii, op9_minhash, op10_ann,
+                                    op11_heap_clusters, op12_prefix_trie, op13_bestfit)}
 
 
 def oracle_sql() -> dict[str, str]:
