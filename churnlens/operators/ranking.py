@@ -1,6 +1,6 @@
-"""Global ordering primitives that never put all rows on one task.
+"""Global ordering primitives that never put all rows on one task (for NTILE see ``selection``).
 
-``row_number()`` / ``ntile()`` / ``lag()`` over a window *without* PARTITION BY
+``row_number()`` / ``lag()`` over a window *without* PARTITION BY
 plan as ``Exchange SinglePartition``: every row goes through one task. Here the
 global order is built from a range shuffle instead:
 
@@ -75,25 +75,6 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
     return out.drop("_mid", "_part", "_offset", "_total")
 
 
-def ntile_from_rank(rn: Column, n_rows: Column, n: int) -> Column:
-    """SQL NTILE(n) from a 1-based row number and the row count.
-
-    The first (N mod n) tiles hold one row more than the others.
-    """
-    q = F.floor(n_rows / F.lit(n))
-    r = n_rows - q * F.lit(n)
-    big = r * (q + F.lit(1))
-    return F.when(rn <= big, F.ceil(rn / (q + F.lit(1)))) \
-        .otherwise(r + F.ceil((rn - big) / q)).cast("int")
-
-
-def distributed_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str,
-                      num_partitions: int | None = None) -> DataFrame:
-    """``ntile(n) over (order by ...)`` without a single-partition exchange."""
-    ranked = global_row_number(df, order, name="_rn", total="_n", num_partitions=num_partitions)
-    return ranked.withColumn(name, ntile_from_rank(F.col("_rn"), F.col("_n"), n)).drop("_rn", "_n")
-
-
 def split_hot_groups(df: DataFrame, group: str,
                      num_partitions: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(cold rows, hot rows) of ``df`` by the size of their ``group``.

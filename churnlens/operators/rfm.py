@@ -1,9 +1,10 @@
 """Recency / frequency / monetary scoring, segments and their cuts.
 
-Scores are SQL ``NTILE(5)`` over all persons. A global NTILE normally runs on a
-single task; here it is ``ranking.distributed_ntile`` (range shuffle + partition
-offsets), with the person id appended to every sort key so ties are broken the
-same way in every run. 5 is always the good end: recency is tiled descending.
+Scores are SQL ``NTILE(5)`` over all persons. A global NTILE normally sorts them all
+in a single task; here ``selection.ntiles`` finds the tiles' bounds by counting, for
+all scores together, and compares every person with them. The person id is appended to
+every key so ties are broken the same way in every run. 5 is always the good end:
+recency is tiled descending.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col, to_fixed_col
 from churnlens.functions.rules import (F_SCORE_DEFAULT, F_SCORE_RULES, SEGMENT_DEFAULT, SEGMENT_RULES,
                                        Rules, case_col)
-from churnlens.operators.ranking import distributed_ntile
+from churnlens.operators.selection import ntiles
+from churnlens.session import scratch_path
+from churnlens.sources.sinks import write_table
 
 
 def _cents(c: str) -> str:
@@ -39,25 +42,28 @@ def rfm_base(person_orders: DataFrame, values: DataFrame, entity: str = "person"
 
 
 def rfm_score(base: DataFrame, snapshot: DataFrame, entity: str = "person", n: int = 5,
-              rules: Rules = SEGMENT_RULES, default: str = SEGMENT_DEFAULT,
-              num_partitions: int | None = None) -> DataFrame:
+              rules: Rules = SEGMENT_RULES, default: str = SEGMENT_DEFAULT) -> DataFrame:
     """Score persons: recency days to the snapshot, three NTILE(n) scores, the
-    threshold frequency score, the score cell and the first matching segment."""
+    threshold frequency score, the score cell, the first matching segment, and the
+    value quintile (tile 1 = top) of ``pareto``. The unscored persons are stored once: the bounds of
+    the tiles are counted from them in a few passes."""
     as_of = snapshot.select("as_of").scalar()  # one-row aggregate as a scalar subquery
     extra = ["first_order_at"] if "first_order_at" in base.columns else []
     raw = base.select(
         entity, F.datediff(as_of, F.to_date("last_order_at")).alias("recency_days"),
         "frequency", "monetary", *extra)
-    tie = F.col(entity).asc()
-    scored = distributed_ntile(raw, n, [F.col("recency_days").desc(), tie], "r_score", num_partitions)
-    scored = distributed_ntile(scored, n, [F.col("frequency").asc(), tie], "f_score_ntile", num_partitions)
-    scored = distributed_ntile(scored, n, [F.col("monetary").asc(), tie], "m_score", num_partitions)
+    path = scratch_path(base.sparkSession, "unscored")
+    write_table(raw, path)
+    tie = (entity, True)
+    scored = ntiles(base.sparkSession.read.schema(raw.schema).parquet(path), {
+        "r_score": (n, [("recency_days", False), tie]), "f_score_ntile": (n, [("frequency", True), tie]),
+        "m_score": (n, [("monetary", True), tie]), "value_quintile": (n, [("monetary", False), tie])})
     scored = scored.withColumn("f_score", case_col(F_SCORE_RULES, F_SCORE_DEFAULT).cast("int"))
     return scored.select(
         entity, "recency_days", "frequency", "monetary", "r_score", "f_score_ntile", "f_score", "m_score",
         F.concat(F.col("r_score").cast("string"), F.col("f_score").cast("string"),
                  F.col("m_score").cast("string")).alias("rfm_cell"),
-        case_col(rules, default).alias("segment"), *extra)
+        case_col(rules, default).alias("segment"), "value_quintile", *extra)
 
 
 def segment_summary(rfm: DataFrame, segment: str = "segment", frequency_digits: int = 2,
@@ -85,11 +91,9 @@ def tile_diagnostic(rfm: DataFrame, tile: str, value: str) -> DataFrame:
             .orderBy(tile))
 
 
-def pareto(rfm: DataFrame, value: str = "monetary", entity: str = "person", n: int = 5,
-           num_partitions: int | None = None) -> DataFrame:
-    """Value by descending value quintile (tile 1 = top) and its share of the total."""
-    t = distributed_ntile(rfm.select(entity, value), n, [F.col(value).desc(), F.col(entity).asc()],
-                          "value_quintile", num_partitions)
+def pareto(rfm: DataFrame, value: str = "monetary", entity: str = "person", n: int = 5) -> DataFrame:
+    """Value by descending value quintile (tile 1 = top) and its share of the total; scored persons carry theirs."""
+    t = rfm if "value_quintile" in rfm.columns else ntiles(rfm.select(entity, value), {"value_quintile": (n, [(value, False), (entity, True)])})
     g = t.groupBy("value_quintile").agg(F.count(F.lit(1)).alias("customers"), F.sum(value).alias("_v"))
     w = Window.partitionBy()
     return (g.withColumn("_t", F.sum("_v").over(w))

@@ -4,28 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from churnlens.operators.ranking import (distributed_ntile, global_row_number, number_in_group,
-                                        previous_in_group, split_hot_groups)
-
-
-@pytest.mark.parametrize("n_rows", [1, 3, 4, 5, 6, 7, 8, 9, 11, 97, 1000])
-@pytest.mark.parametrize("parts", [1, 3, 8])
-def test_ntile_matches_builtin(spark, n_rows, parts):
-    df = spark.range(n_rows).select(F.col("id").alias("person"), (F.col("id") * 7 % 5).alias("v"))
-    order = [F.col("v").desc(), F.col("person").asc()]
-    got = distributed_ntile(df, 5, order, "t", parts)
-    ref = df.withColumn("t_ref", F.ntile(5).over(Window.orderBy(*order)))
-    assert got.join(ref, "person").filter("t <> t_ref").count() == 0
-    assert got.count() == n_rows
-
-
-def test_ntile_all_tied_hot_value(spark):
-    df = spark.range(5003).select(F.col("id").alias("person"), F.lit(1).alias("v"))
-    got = distributed_ntile(df, 5, [F.col("v"), F.col("person")], "t", 8)
-    sizes = sorted(r[1] for r in got.groupBy("t").count().collect())
-    assert sizes == [1000, 1000, 1001, 1001, 1001]
-    ref = df.withColumn("t_ref", F.ntile(5).over(Window.orderBy("v", "person")))
-    assert got.join(ref, "person").filter("t <> t_ref").count() == 0
+from churnlens.operators.ranking import global_row_number, number_in_group, previous_in_group, split_hot_groups
 
 
 def test_row_number_is_a_permutation(spark):
@@ -38,7 +17,7 @@ def test_row_number_is_a_permutation(spark):
 
 def test_rank_plan_reads_stored_rows_and_broadcasts_offsets(spark):
     df = spark.range(500).select(F.col("id").alias("person"), (F.col("id") % 3).alias("v"))
-    got = distributed_ntile(df, 5, [F.col("v"), F.col("person")], "t", 4)
+    got = global_row_number(df, [F.col("v"), F.col("person")], "rn", "n", 4)
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "FileScan parquet" in plan and "BroadcastHashJoin" in plan

@@ -18,7 +18,7 @@ def _base(spark, n):
 def test_scores_match_sql_ntile_for_small_n(spark):
     snap = spark.createDataFrame([(date(2018, 2, 1),)], "as_of date")
     for n in (1, 2, 3, 4, 6, 7, 8, 9, 23):
-        scored = rfm.rfm_score(_base(spark, n), snap, num_partitions=3)
+        scored = rfm.rfm_score(_base(spark, n), snap)
         raw = _base(spark, n).withColumn("recency_days", F.datediff(F.lit(date(2018, 2, 1)),
                                                                     F.to_date("last_order_at")))
         ref = (raw.withColumn("r", F.ntile(5).over(Window.orderBy(F.col("recency_days").desc(), "person")))
@@ -51,8 +51,7 @@ def test_two_level_review_average(spark):
 
 
 def test_scores_exact_on_large_aggregated_base(spark):
-    """Large enough that range bounds are sampled; the base comes from an aggregate
-    whose columns the size branch does not need (the case that once diverged)."""
+    """Large enough that bounds take several passes; the base comes from an aggregate, which must not run anew for each."""
     orders = spark.range(90000).select((F.col("id") % 30011).alias("person_n"), F.col("id").alias("order_id"),
                                        F.expr("timestamp_ntz'2018-01-01 00:00:00' + make_interval(0, 0, 0, "
                                               "CAST(id % 400 AS INT))").alias("ts"),
@@ -61,7 +60,7 @@ def test_scores_exact_on_large_aggregated_base(spark):
             .agg(F.max("ts").alias("last_order_at"), F.countDistinct("order_id").alias("frequency"),
                  F.sum("rev").alias("monetary")))
     snap = spark.createDataFrame([(date(2019, 3, 1),)], "as_of date")
-    scored = rfm.rfm_score(base, snap, num_partitions=7)
+    scored = rfm.rfm_score(base, snap)
     raw = base.withColumn("recency_days", F.datediff(F.lit(date(2019, 3, 1)), F.to_date("last_order_at")))
     ref = (raw.withColumn("r", F.ntile(5).over(Window.orderBy(F.col("recency_days").desc(), "person")))
            .withColumn("f", F.ntile(5).over(Window.orderBy("frequency", "person")))
