@@ -1,6 +1,4 @@
-import functools
 import re
-import sys
 
 import corpus_pipeline as cp
 from churnlens.llm.common import stored
@@ -30,7 +28,7 @@ def test_each_stage_against_brute_force(spark):
         if name == "language":
             assert after == {d: t for d, t in before.items() if any(c.isalpha() for c in t)}
         elif name == "near_duplicates":
-            assert after == {d: before[d] for d, (_, c) in near(before.items()).items() if c == d}
+            assert after == {d: before[d] for d, (_, c) in near(before.items(), k=5).items() if c == d}
         elif name == "repeated_passages":
             want = repeated(before.items(), 50)
             assert after == {d: before[d] if t.split() == before[d].split() else t for d, t in want.items() if t or not before[d].split()}
@@ -67,8 +65,3 @@ def test_near_duplicates_are_judged_by_five_words(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], COLUMNS)
     kept = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == {d for d, (_, c) in near(texts.items(), k=5).items() if c == d} == {1, 2}
-
-
-def test_each_stage_with_five_words(spark, monkeypatch):
-    monkeypatch.setattr(sys.modules[__name__], "near", functools.partial(near, k=5))
-    test_each_stage_against_brute_force(spark)
