@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.dates import month_index_col, month_start_col, whole_days_col
 from churnlens.functions.numeric import avg_exact_col, pct_col
-from churnlens.operators.funnel import value_quantiles
+from churnlens.operators.funnel import STEP_BITS, value_quantiles
 from churnlens.operators.model import first_by
 from churnlens.operators.ranking import previous_in_group
 
@@ -147,7 +147,7 @@ def gap_stats(orders: DataFrame, entity: str = "person", ts: str = "ts",
     g = orders.filter(F.col(ts).isNotNull()).select(entity, ts, tie)
     prev = previous_in_group(g, entity, [ts, tie], ts, "_prev_ts")
     d = prev.filter(F.col("_prev_ts").isNotNull()).select(whole_days_col("_prev_ts", ts).alias("d"))
-    stats = value_quantiles(d, [], "d")
+    stats = value_quantiles(d, [], "d", bits=STEP_BITS)
     return stats.select(
         F.col("n").alias("repeat_purchase_events"),
         F.col("low_median" if median == "lower" else "median").alias("median_days_between"),

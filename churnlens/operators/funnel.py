@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.dates import month_start_col, whole_minutes_col
@@ -23,28 +23,78 @@ MEDIAN_APPROX = "CAST(percentile_approx({v}, 0.5, {acc}) AS DOUBLE)"
 P90_APPROX = "CAST(percentile_approx({v}, 0.9, {acc}) AS DOUBLE)"
 
 
-def value_quantiles(df: DataFrame, dims: Sequence[str], value: str, flag: str | None = None) -> DataFrame:
+#: Bits of a value that one step of the exact quantiles tells apart: a step orders at most 2 ** STEP_BITS counts of a group.
+STEP_BITS = 12
+
+
+def value_quantiles(df: DataFrame, dims: Sequence[str], value: str, flag: str | None = None, bits: int = 2 * STEP_BITS) -> DataFrame:
     """Per ``dims``: n, median (mean of the two middle rows), low_median, p90 (row ceil(0.9 n)), total[, flagged]. Exact.
 
-    Rows are first counted per (dims, value): a partial aggregate dealt out by both, so the rows of one
-    group meet in many tasks. Only these counts - at most one row per distinct value - are then
-    ordered within their group, and a quantile is the first value whose running count reaches its row.
-    NULL values are left out.
+    ``value`` is a whole number. Rows are first counted per (dims, value): a partial aggregate dealt out by both, so the rows
+    of one group meet in many tasks. If values take at most ``bits`` = ``STEP_BITS`` bits (whole days), a group's few counts are ordered and a
+    quantile is the first value whose running count reaches its row. Wider values (minutes, cents) are counted by their high digits, step by
+    step; a group's few highest cells tell in which cell each quantile's row lies, and only the counts within that cell are looked
+    at, so no task orders all values of a group. Results don't depend on ``bits``, only how many counts a step orders. NULL values are left out.
     """
     marks = [F.count_if(F.col(flag)).alias("_flagged")] if flag else []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*dims, F.col(value).alias("_value")).agg(
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*dims, F.col(value).cast("long").alias("_value")).agg(
         F.count(F.lit(1)).alias("_times"), *marks)
+    if bits > STEP_BITS:
+        return _descended(counts, dims, bool(flag), bits)
     group = Window.partitionBy(*dims)
     upto = F.sum("_times").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_times").over(group))
     at = lambda row: F.min(F.when(F.col("_upto") >= F.expr(row), F.col("_value")))
-    low, high = at("(_n + 1) div 2"), at("(_n + 2) div 2")
-    g = c.groupBy(*dims).agg(
-        F.coalesce(F.sum("_times"), F.lit(0)).alias("n"), ((low + high) / F.lit(2.0)).alias("median"),
-        low.cast("double").alias("low_median"), at("(9 * _n + 9) div 10").cast("double").alias("p90"),
-        F.sum(F.col("_value") * F.col("_times")).alias("total"),
-        *([F.sum("_flagged").alias("flagged")] if flag else []))
-    return g
+    low, high, p90 = (at(row) for row in _QUANTILE_ROWS)
+    return _quantiles(c.groupBy(*dims).agg(
+        F.coalesce(F.sum("_times"), F.lit(0)).alias("n"), low.alias("_0"), high.alias("_1"), p90.alias("_2"),
+        F.sum(F.col("_value") * F.col("_times")).alias("total"), *([F.sum("_flagged").alias("flagged")] if flag else [])), dims)
+
+
+#: Rows (1-based) of the two middle values and of the ninth decile among _n.
+_QUANTILE_ROWS = ("(_n + 1) div 2", "(_n + 2) div 2", "(9 * _n + 9) div 10")
+
+
+def _quantiles(found: DataFrame, dims: Sequence[str]) -> DataFrame:
+    return found.select(*dims, "n", ((F.col("_0") + F.col("_1")) / F.lit(2.0)).alias("median"), F.col("_0").cast("double").alias("low_median"),
+                        F.col("_2").cast("double").alias("p90"), "total", *[c for c in ("flagged",) if c in found.columns])
+
+
+def _reached(counts: Column, row: Column) -> Column:
+    """From an array of (at, times), ascending: the ``at`` whose running count reaches ``row``, and the row's place among its own."""
+    start = F.struct(row.cast("long").alias("row"), F.lit(None).cast("long").alias("at"))
+    step = lambda a, c: F.when(a["at"].isNotNull(), a).when(a["row"] <= c["times"], F.struct(a["row"].alias("row"), c["at"].alias("at"))) \
+        .otherwise(F.struct((a["row"] - c["times"]).alias("row"), a["at"].alias("at")))
+    return F.aggregate(counts, start, step)
+
+
+def _descended(counts: DataFrame, dims: Sequence[str], flagged: bool, bits: int) -> DataFrame:
+    """Quantiles from counts per (dims, value): down from the highest digits, one join a step with the cells sought."""
+    sums = [F.sum("_times").alias("_times"), F.sum("_total").alias("_total"), *([F.sum("_flagged").alias("_flagged")] if flagged else [])]
+    levels = [counts.withColumn("_total", F.col("_value") * F.col("_times")).withColumnRenamed("_value", "_at")]
+    for _ in range(-(-bits // STEP_BITS) - 1):             # by value, by value / 2^12, ...
+        levels.append(levels[-1].groupBy(*dims, F.shiftright("_at", STEP_BITS).alias("_at")).agg(*sums))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_times").alias("times"))))
+    # one row a group: its quantiles' cells of the highest digit
+    top = levels[-1].groupBy(*dims).agg(listed.alias("_cells"), *sums).select(*dims, "_cells", F.col("_times").alias("_n"), "_total", *(["_flagged"] if flagged else []))
+    kept = ["_n", "_total", *(["_flagged"] if flagged else [])]
+    sought = top.select(*dims, *kept, *[_reached(F.col("_cells"), F.expr(row)).alias(f"_{i}") for i, row in enumerate(_QUANTILE_ROWS)])
+    for level in reversed(levels[:-1]):
+        each = sought.select(*dims, *kept, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_{i}.row").alias("row"), F.col(f"_{i}.at").alias("at"))
+                                                               for i in range(len(_QUANTILE_ROWS))])).alias("_s"))
+        each = each.select(*[F.col(d).alias(f"_g{k}") for k, d in enumerate(dims)], *[F.col(c).alias(f"_{c}") for c in kept], F.col("_s.i").alias("_i"),
+                           F.col("_s.row").alias("_row"), F.col("_s.at").alias("_cell"))
+        same = F.shiftright("_at", STEP_BITS) == F.col("_cell")
+        for k, d in enumerate(dims):
+            same = same & F.col(d).eqNullSafe(F.col(f"_g{k}"))
+        each = each if dims else F.broadcast(each)           # one row a quantile without groups; else Spark goes by the size
+        of = lambda i, c: F.when(F.col("_i") == i, c)
+        within = level.join(each, same).groupBy(*dims).agg(
+            *[F.max(f"_{c}").alias(c) for c in kept], *[F.max(of(i, F.col("_row"))).alias(f"_r{i}") for i in range(len(_QUANTILE_ROWS))],
+            *[F.array_sort(F.collect_list(of(i, F.struct(F.col("_at").alias("at"), F.col("_times").alias("times"))))).alias(f"_c{i}") for i in range(len(_QUANTILE_ROWS))])
+        sought = within.select(*dims, *kept, *[_reached(F.col(f"_c{i}"), F.col(f"_r{i}")).alias(f"_{i}") for i in range(len(_QUANTILE_ROWS))])
+    return _quantiles(sought.select(*dims, F.coalesce("_n", F.lit(0)).alias("n"), F.col("_total").alias("total"), *([F.col("_flagged").alias("flagged")] if flagged else []),
+                                    *[F.col(f"_{i}.at").alias(f"_{i}") for i in range(len(_QUANTILE_ROWS))]), dims)
 
 
 def _sketched_quantiles(df: DataFrame, dims: Sequence[str], value: str, flag: str | None, accuracy: int) -> DataFrame:
@@ -155,13 +205,13 @@ def value_share(orders: DataFrame, values: DataFrame, dim: str) -> DataFrame:
 
 
 def quantiles_by(df: DataFrame, dim: str | None, value: str, flag: str | None = None,
-                 min_n: int = 0, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+                 min_n: int = 0, approx: bool = False, accuracy: int = 10000, bits: int = 2 * STEP_BITS) -> DataFrame:
     """Per ``dim`` (or overall): n, median, p90 (row ceil(0.9 n)), sum and flagged count.
 
-    Exact by default; ``approx=True`` uses fixed-size quantile sketches.
+    Exact by default (``bits`` as in ``value_quantiles``); ``approx=True`` uses fixed-size quantile sketches.
     """
     dims = [dim] if dim else []
-    g = _sketched_quantiles(df, dims, value, flag, accuracy) if approx else value_quantiles(df, dims, value, flag)
+    g = _sketched_quantiles(df, dims, value, flag, accuracy) if approx else value_quantiles(df, dims, value, flag, bits)
     return g.drop("low_median").filter(F.col("n") >= min_n)
 
 

@@ -43,13 +43,30 @@ def order_value(t: Tables) -> DataFrame:
             .agg(F.sum(F.col("price") + F.col("freight_value")).alias("order_revenue")))
 
 
-def translated_categories(products: DataFrame, translation: DataFrame, fallback: str = "unknown") -> DataFrame:
+def translated_categories(products: DataFrame, translation: DataFrame, fallback: str = "unknown",
+                          collation: str | None = None) -> DataFrame:
     """(product_id, category): the English category name, else the original name,
     else ``fallback``. A left join, so untranslated products are kept; the
-    translation is a small dimension (Spark's size-checked broadcast applies)."""
-    return (products.join(translation, "product_category_name", "left")
-            .select("product_id", F.coalesce("product_category_name_english", "product_category_name",
-                                             F.lit(fallback)).alias("category")))
+    translation is a small dimension (Spark's size-checked broadcast applies).
+
+    ``collation`` compares names by it, in the join and in whatever groups or joins ``category``
+    later: ``"UNICODE_CI_AI"`` ignores case and accents, as MySQL's default does."""
+    name = F.col("product_category_name")
+    if collation:
+        name = F.collate(name, collation)
+    of = translation.select(name.alias("_name"), "product_category_name_english")
+    joined = products.withColumn("_name", name).join(of, "_name", "left")
+    category = F.coalesce("product_category_name_english", "product_category_name", F.lit(fallback))
+    return joined.select("product_id", (F.collate(category, collation) if collation else category).alias("category"))
+
+
+def value_by_category(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """Per category: products sold, items and value. ``categories`` is (product_id, category), whose collation decides which
+    names are one; a group is named by its first spelling, byte by byte."""
+    per_product = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("price") + F.col("freight_value")).alias("_v"))
+    g = per_product.join(categories, "product_id").groupBy("category").agg(
+        F.min(F.collate("category", "UTF8_BINARY")).alias("_name"), F.count(F.lit(1)).alias("products"), F.sum("_n").alias("items"), F.sum("_v").alias("_v"))
+    return g.select(F.col("_name").alias("category"), "products", "items", F.col("_v").cast("double").alias("value_brl")).orderBy("category")
 
 
 def snapshot(t: Tables) -> DataFrame:

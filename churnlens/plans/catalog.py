@@ -8,6 +8,7 @@ the oracle SQL's (``churnlens.plans.oracle``).
 from __future__ import annotations
 
 import threading
+import zlib
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,10 +19,11 @@ from pyspark.sql import types as T
 from churnlens.functions import rules as R
 from churnlens.functions.dates import calendar_days_col, whole_days_col, whole_minutes_col
 from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col, round_col, to_fixed_col
+from churnlens.functions.sql import register_functions
 from churnlens.operators import cohort, funnel, present, profile, rfm
 from churnlens.operators.model import (TS, first_by, order_scores, order_value, person_orders, snapshot,
-                                       translated_categories)
-from churnlens.session import scratch_path
+                                       translated_categories, value_by_category)
+from churnlens.session import scratch_cache, scratch_path
 from churnlens.sources import binding, csv, sinks
 from churnlens.sources.model import EMPTY_AS_NULL, PRIMARY_KEYS, SCHEMAS, Tables
 
@@ -91,26 +93,24 @@ def rfm_customers_df(t: Tables) -> DataFrame:
     return rfm.rfm_score(base, snapshot(t))
 
 
-_RFM_TABLES: dict[tuple, DataFrame] = {}
+_RFM_TABLES: dict[tuple, str] = scratch_cache()
 _RFM_LOCK = threading.Lock()
 
 
 def rfm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The persisted ``rfm_customers`` table (CREATE TABLE AS SELECT in the reference).
+    """The ``rfm_customers`` table of the catalog (CREATE TABLE AS SELECT in the reference).
 
-    Scored once per application and input folder, written as Parquet to the
-    checkpoint folder; the RFM cuts read it, like the reference's extension
-    queries read the table.
+    Scored once per application and input folder; the RFM cuts read the table by its name, like the reference's extension
+    queries do, and the planner has its statistics. Each input folder has a table of its own.
     """
     key = (spark.sparkContext.applicationId, binding.fingerprint(spark, sf_dir))
     with _RFM_LOCK:
-        table = _RFM_TABLES.get(key)
-        if table is None:
-            path = scratch_path(spark, "rfm_customers")
-            sinks.write_table(rfm_customers_df(tables(spark, sf_dir)), path)
-            table = spark.read.parquet(path)
-            _RFM_TABLES[key] = table
-    return table
+        name = _RFM_TABLES.get(key)
+        if name is None:
+            name = f"rfm_customers_{zlib.crc32(key[1][0].encode()):08x}"
+            sinks.replace_table(rfm_customers_df(tables(spark, sf_dir)), name, ["person", "segment", "m_score"])
+            _RFM_TABLES[key] = name
+    return spark.table(name)
 
 
 def _activity(t: Tables, customer_cols: tuple[str, ...] = ()) -> DataFrame:
@@ -133,7 +133,7 @@ def _lateness(t: Tables) -> DataFrame:
 
 # -- load, validate, profile -----------------------------------------------------------
 
-_CSV_FILES: dict[tuple, str] = {}
+_CSV_FILES: dict[tuple, str] = scratch_cache()
 _CSV_LOCK = threading.Lock()
 
 
@@ -152,16 +152,17 @@ def _csv_export(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> s
     return path
 
 
-def _csv_load(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, strict: bool = True) -> DataFrame:
-    """Load the CSV copy of model table ``name`` with its declared schema (L1); only reviews hold newlines.
-
-    Declared columns that the binding does not fill are empty in the file.
-    """
-    schema = SCHEMAS[name]
+def _csv_path(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> str:
+    """The CSV copy of model table ``name``; declared columns that the binding does not fill are empty in the file."""
     have = set(df.columns)
-    whole = df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast("string").alias(f.name) for f in schema.fields])
-    path = _csv_export(spark, sf_dir, name, whole)
-    return csv.load_table(spark, path, schema, EMPTY_AS_NULL.get(name, ()), name == "order_reviews", strict)
+    whole = df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast("string").alias(f.name) for f in SCHEMAS[name].fields])
+    return _csv_export(spark, sf_dir, name, whole)
+
+
+def _csv_load(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, strict: bool = True) -> DataFrame:
+    """Load the CSV copy of model table ``name`` with its declared schema (L1); only reviews hold newlines."""
+    path = _csv_path(spark, sf_dir, name, df)
+    return csv.load_table(spark, path, SCHEMAS[name], EMPTY_AS_NULL.get(name, ()), name == "order_reviews", strict)
 
 
 @register("load_csv")
@@ -181,6 +182,23 @@ def q_load_validation(spark, sf_dir):
     return csv.validate_counts({name: (back, source[name]) for (name, _), back in zip(items, loaded)})
 
 
+#: Columns declared too narrowly on purpose, so that their values can't be loaded.
+WRONG_TYPES = {"order_payments": {"payment_value": T.DecimalType(7, 2)},
+               "order_reviews": {"review_comment_title": T.DateType(), "review_comment_message": T.TimestampNTZType()}}
+
+
+@register("load_rejected")
+def q_load_rejected(spark, sf_dir):
+    """What a load with wrongly declared columns rejects, by column."""
+    t, out = tables(spark, sf_dir).as_dict(), []
+    for name, wrong in WRONG_TYPES.items():
+        schema = T.StructType([T.StructField(f.name, wrong.get(f.name, f.dataType)) for f in SCHEMAS[name].fields])
+        bad = csv.rejected_values(spark, _csv_path(spark, sf_dir, name, t[name]), schema, EMPTY_AS_NULL.get(name, ()))
+        out.append(bad.groupBy(F.lit(name).alias("table_name"), F.col("column").alias("column_name"), "reason").agg(
+            F.count(F.lit(1)).alias("n_values"), F.min("value").alias("min_value"), F.max("value").alias("max_value")))
+    return out[0].unionByName(out[1])
+
+
 @register("key_check")
 def q_key_check(spark, sf_dir):
     t = tables(spark, sf_dir).as_dict()
@@ -364,7 +382,7 @@ def q_delivery_by_state(spark, sf_dir):
                  whole_days_col(TS, "order_delivered_customer_date").alias("days"),
                  (F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")).alias("late"))
          .filter(F.col("days") >= 0))
-    q = funnel.quantiles_by(d, "state", "days", "late", PARAMS["min_state_delivery"])
+    q = funnel.quantiles_by(d, "state", "days", "late", PARAMS["min_state_delivery"], bits=funnel.STEP_BITS)
     return q.select("state", F.col("n").alias("orders"), round_col("median", 1).alias("median_days"),
                     F.col("p90").cast("bigint").alias("p90_days"),
                     avg_exact_col("total", "n", 1).alias("mean_days"),
@@ -513,6 +531,59 @@ def q_tile_counts(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("customers")).orderBy("m_score"))
 
 
+# -- names by collation, and queries as text ---------------------------------------------
+
+#: How the names of two thirds of the products are spelled differently: by product id modulo 3.
+SPELLINGS = "CASE product_id % 3 WHEN 0 THEN product_category_name WHEN 1 THEN lower(product_category_name) ELSE replace(product_category_name, 'O', 'Ó') END"
+
+
+@register("value_by_collated_category")
+def q_value_by_collated_category(spark, sf_dir):
+    """Categories whose names differ in case and accents, compared as MySQL's default collation does."""
+    t = tables(spark, sf_dir)
+    spelled = t.products.withColumn("product_category_name", F.expr(SPELLINGS))
+    return value_by_category(t.order_items, translated_categories(spelled, t.category_translation, collation="UNICODE_CI_AI"))
+
+
+def _as_text(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over the order model as SQL text: ``{orders}`` and so on are its tables, functions those of ``functions.sql``."""
+    register_functions(spark)
+    return spark.sql(sql, **tables(spark, sf_dir).as_dict())
+
+
+@register("funnel_by_month_sql")
+def q_funnel_by_month_sql(spark, sf_dir):
+    """``funnel_by_month`` as text."""
+    return _as_text(spark, sf_dir, """
+        SELECT month, placed, pct_of(approved, placed) AS pct_approved, pct_of(shipped, placed) AS pct_shipped,
+               pct_of(delivered, placed) AS pct_delivered, avg_round(days, with_days, 1) AS avg_days_to_deliver
+        FROM (SELECT month_start(order_purchase_timestamp) AS month, count(*) AS placed,
+                     count(order_approved_at) AS approved, count_if(order_approved_at IS NOT NULL AND order_delivered_carrier_date IS NOT NULL) AS shipped,
+                     count_if(order_approved_at IS NOT NULL AND order_delivered_carrier_date IS NOT NULL
+                              AND order_delivered_customer_date IS NOT NULL) AS delivered,
+                     sum(timestampdiff_day(order_purchase_timestamp, order_delivered_customer_date)) AS days,
+                     count(timestampdiff_day(order_purchase_timestamp, order_delivered_customer_date)) AS with_days
+              FROM {orders} WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1)
+        ORDER BY month""")
+
+
+@register("score_by_lateness_sql")
+def q_score_by_lateness_sql(spark, sf_dir):
+    """``score_by_lateness`` as text."""
+    return _as_text(spark, sf_dir, """
+        WITH scores AS (SELECT order_id, sum(review_score) AS total, count(*) AS n FROM {order_reviews} WHERE review_score IS NOT NULL GROUP BY order_id),
+        late AS (SELECT total, n, avg_round(total * 1000000, n, 0) AS mean, calendar_days(order_delivered_customer_date, order_estimated_delivery_date) AS days
+                 FROM {orders} JOIN scores USING (order_id)
+                 WHERE order_delivered_customer_date IS NOT NULL AND order_estimated_delivery_date IS NOT NULL
+                   AND order_status NOT IN ('canceled', 'unavailable'))
+        SELECT CASE WHEN days < -7 THEN '1. more than a week early' WHEN days < 0 THEN '2. early' WHEN days = 0 THEN '3. on the promised day'
+                    WHEN days <= 3 THEN '4. 1-3 days late' WHEN days <= 7 THEN '5. 4-7 days late' WHEN days <= 14 THEN '6. 1-2 weeks late'
+                    ELSE '7. more than 2 weeks late' END AS delivery_vs_promise,
+               count(*) AS orders, avg_round(sum(CAST(mean AS BIGINT)), count(*) * 1000000, 2) AS avg_review_score,
+               avg_round(count_if(total <= n * 2) * 100, count(*), 1) AS pct_1_or_2_star, avg_round(count_if(total >= n * 5) * 100, count(*), 1) AS pct_5_star
+        FROM late GROUP BY 1 ORDER BY 1""")
+
+
 # -- presentation tables -------------------------------------------------------------------
 
 @register("heatmap_matrix")

@@ -57,15 +57,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _PATHS: dict[str, list[str]] = {}
+_CACHES: list[dict] = []
+
+
+def scratch_cache() -> dict:
+    """A dict for what stands in ``scratch_path``s, with the application's id first in its keys; ``remove_scratch`` forgets it."""
+    _CACHES.append({})
+    return _CACHES[-1]
 
 
 def remove_scratch(spark: SparkSession) -> int:
-    """Delete what this application has written to ``scratch_path``s, at its end; returns how many paths there were.
+    """Delete what this application has written to ``scratch_path``s; returns how many paths there were.
 
-    Frames that were read from them can't be used any more. Checkpoints belong to Spark
-    (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    Frames that were read from them can't be used any more; a query called afterwards loads its tables anew. Checkpoints
+    belong to Spark (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
-    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    paths = _PATHS.pop(app, [])
+    for cache in _CACHES:
+        for key in [k for k in cache if k[0] == app]:
+            del cache[key]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)

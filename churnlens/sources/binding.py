@@ -27,7 +27,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.session import scratch_path
+from churnlens.session import scratch_cache, scratch_path
 from churnlens.sources.model import Tables
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -205,7 +205,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                   products=products, category_translation=translation, order_payments=payments, sellers=sellers)
 
 
-_LOADED: dict[tuple, Tables] = {}
+_LOADED: dict[tuple, Tables] = scratch_cache()
 _LOAD_LOCK = threading.Lock()
 
 

@@ -3,16 +3,18 @@
 ``load_table`` reads a headered, comma-separated, double-quote-enclosed file with
 a fixed schema; quoted fields may contain commas, doubled quotes and newlines.
 Empty fields of the listed columns become NULL (the loader's NULLIF list).
+``rejected_values`` is the load's second output: each value that its column can't
+hold, with its line.
 
-Only files whose quoted fields hold newlines need ``multi_line``; it makes a file
-unsplittable (one task a file), so it is off by default.
+Files whose quoted fields hold newlines (``multi_line``) are read by many tasks all the
+same: see ``split_records``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,50 +22,132 @@ from pyspark.sql import types as T
 #: Marks a row with a value that its column's type cannot hold (``load_table(strict=False)``).
 UNPARSED = "_unparsed"
 
+_FORMAT = {"sep": ",", "quote": '"', "escape": '"'}
+
+
+def split_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, record): a file's CSV records as text, and the lines (from 1) they begin at; headers and empty records are left out.
+
+    Tasks read byte ranges of a file by lines, so none knows at first whether its range begins within a quoted field. But a doubled
+    quote counts twice, so that is settled by parity: an odd number of quotes before a line puts it inside a field. Each range sends its
+    parity and how many records would end in it, begun inside a field or not; running over the ranges of a file (one
+    row each) these give every range its state and the number of its first record. Lines then number themselves within their
+    range. A line that is a record is passed on; only lines of longer records are brought together, by record. Quotes must
+    stand in quoted fields only; lines end in LF or CR LF, and within a field they stay as they are in the file.
+    """
+    block, before = ["file", "block"], lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    nothing = F.lit(0).cast("long")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        "value", (quotes % 2).alias("odd"))
+    within = Window.partitionBy(*block).orderBy("at")
+    lines = lines.withColumn("parity", F.sum("odd").over(upto(within)) % 2).withColumn("nth", F.row_number().over(within))
+    ranges = lines.groupBy(*block).agg((F.sum("odd") % 2).alias("parity"), F.count(F.lit(1)).alias("lines"),
+                                       F.count_if(F.col("parity") == 0).alias("ends_0"), F.count_if(F.col("parity") == 1).alias("ends_1"))
+    along = before(Window.partitionBy("file").orderBy("block"))
+    ranges = ranges.withColumn("inside", F.coalesce(F.sum("parity").over(along), nothing) % 2)
+    ends = F.when(F.col("inside") == 0, F.col("ends_0")).otherwise(F.col("ends_1"))
+    ranges = ranges.select(*block, "inside", F.coalesce(F.sum(ends).over(along), nothing).alias("records"),
+                           F.coalesce(F.sum("lines").over(along), nothing).alias("lines"))
+    closes = (F.col("inside") + F.col("parity")) % 2 == 0
+    opens = (F.col("inside") + F.col("parity") + F.col("odd")) % 2 == 0            # the state before the line
+    placed = lines.join(ranges, block).select(
+        "file", "value", (F.col("lines") + F.col("nth")).alias("line"), (opens & closes).alias("whole"),
+        (F.col("records") + F.coalesce(F.sum(closes.cast("long")).over(before(within)), nothing)).alias("record"))
+    single = placed.filter("whole").select("file", "line", "record", F.col("value").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
+    longer = placed.filter("not whole").groupBy("file", "record").agg(F.min("line").alias("line"), parts.alias("parts")).select(
+        "file", "line", "record", F.array_join(F.col("parts.value"), "\n").alias("text"))
+    return (single.unionByName(longer).filter("record > 0")
+            .select("file", "line", F.regexp_replace("text", "\r$", "").alias("record")).filter("record <> ''"))
+
+
+def _texts(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+
+
+def _value(name: str, empty: set[str]) -> Column:
+    return F.nullif(F.col(f"`{name}`"), F.lit("")) if name in empty else F.col(f"`{name}`")
+
+
+_RECORD, _WRONG = "_record", "_wrong"
+
+
+def _records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line, record, one text a column); a record with too few or too many fields keeps only itself, in ``_wrong``."""
+    texts = T.StructType([*_texts(schema).fields, T.StructField(_WRONG, T.StringType())])
+    parsed = F.from_csv("record", texts.simpleString()[len("struct<"):-1].replace(":", " "),
+                        {**_FORMAT, "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _WRONG})
+    return split_records(spark, path).select("file", "line", F.col("record").alias(_RECORD), parsed.alias("_p")).select("file", "line", _RECORD, "_p.*")
+
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType,
                empty_as_null: Iterable[str] = (), multi_line: bool = False, strict: bool = True) -> DataFrame:
     """Read a reference-style CSV export with an explicit schema.
 
     ``strict`` raises on a value that does not parse; otherwise it becomes NULL and
-    the row is marked in ``UNPARSED``.
+    the row is marked in ``UNPARSED``. ``multi_line`` files may hold newlines in quoted fields.
     """
-    raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    df = (spark.read.schema(raw_schema)
-          .option("header", True).option("sep", ",")
-          .option("quote", '"').option("escape", '"')
-          .option("multiLine", multi_line).option("mode", "FAILFAST")
-          .csv(path))
+    wrong = F.lit(False)
+    if multi_line:
+        df = _records(spark, path, schema)
+        lost = F.col(_WRONG).isNotNull()
+        if strict:
+            df = df.withColumn(_WRONG, F.when(lost, F.raise_error(F.concat(F.lit("malformed record at line "), F.col("line").cast("string")))))
+            lost = F.col(_WRONG).isNotNull()
+        wrong = lost
+    else:
+        df = spark.read.schema(_texts(schema)).options(**_FORMAT, header=True, mode="FAILFAST").csv(path)
     empty = set(empty_as_null)
-    cols, bad = [], F.lit(False)
+    cols, bad = [], wrong
     for f in schema.fields:
-        c = F.col(f.name)
-        if f.name in empty:
-            c = F.nullif(c, F.lit(""))
+        c = _value(f.name, empty)
         typed = c.cast(f.dataType) if strict else c.try_cast(f.dataType)
         bad = bad | (c.isNotNull() & typed.isNull())
         cols.append(typed.alias(f.name))
-    return df.select(*cols) if strict else df.select(*cols, bad.alias(UNPARSED))
+    return df.filter(~wrong).select(*cols) if strict else df.select(*cols, bad.alias(UNPARSED))
+
+
+def rejected_values(spark: SparkSession, path: str, schema: T.StructType, empty_as_null: Iterable[str] = ()) -> DataFrame:
+    """(file, line, column, value, reason): what ``load_table`` can't load.
+
+    One row for each value that its column's type cannot hold; a record with too few or too many fields gives one row without a column and with
+    itself as the value. A record is rejected if it has any row here.
+    """
+    empty = set(empty_as_null)
+    row = lambda column, value, reason: F.struct(column.alias("column"), value.alias("value"), reason.alias("reason"))
+    whole = F.when(F.col(_WRONG).isNotNull(), row(F.lit(None).cast("string"), F.col(_RECORD), F.lit(f"not {len(schema.fields)} fields")))
+    each = []
+    for f in schema.fields:
+        c = _value(f.name, empty)
+        each.append(F.when(F.col(_WRONG).isNull() & c.isNotNull() & c.try_cast(f.dataType).isNull(),
+                           row(F.lit(f.name), c, F.lit(f"not {f.dataType.simpleString()}"))))
+    return (_records(spark, path, schema).select("file", "line", F.explode(F.array_compact(F.array(whole, *each))).alias("r"))
+            .select("file", "line", "r.*"))
 
 
 def validate_counts(tables: Mapping[str, tuple[DataFrame, int | DataFrame]]) -> DataFrame:
-    """One row per table: rows loaded, rows expected, and whether they match.
+    """One row per table: rows loaded, rows rejected, rows expected, and whether the load matches.
 
     ``expected`` is an integer literal or a DataFrame whose row count is expected.
-    Rows marked ``UNPARSED`` do not count as loaded, which takes reading every column.
+    Rows marked ``UNPARSED`` are the rejected ones, which takes reading every column; a load matches
+    when all that was expected is loaded, and loaded + rejected = expected tells a bad value from a lost row.
     Each count is a distributed aggregate; the result has one row per table.
     """
     parts = []
     for name, (df, expected) in tables.items():
-        loaded = df.agg(F.count_if(~F.col(UNPARSED)) if UNPARSED in df.columns else F.count(F.lit(1))).scalar()
+        marked = F.col(UNPARSED) if UNPARSED in df.columns else F.lit(False)
+        counts = df.agg(F.struct(F.count_if(~marked).alias("loaded"), F.count_if(marked).alias("rejected")).alias("n")).scalar()
         if isinstance(expected, DataFrame):
             exp = expected.agg(F.count(F.lit(1))).scalar()
         else:
             exp = F.lit(int(expected)).cast("bigint")
-        # one row per table; both counts are scalar subqueries (evaluated once each)
-        parts.append(df.sparkSession.range(1).select(
-            F.lit(name).alias("table_name"), loaded.alias("rows_loaded"), exp.alias("expected"))
-            .withColumn("matches", F.col("rows_loaded") == F.col("expected")))
+        # one row per table; the counts are scalar subqueries (evaluated once each)
+        parts.append(df.sparkSession.range(1).select(F.lit(name).alias("table_name"), counts.alias("n"), exp.alias("expected"))
+                     .select("table_name", F.col("n.loaded").alias("rows_loaded"), F.col("n.rejected").alias("rows_rejected"), "expected")
+                     .withColumn("matches", F.col("rows_loaded") == F.col("expected")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,8 +1,12 @@
-"""Sinks: persisted tables and CSV exports of results."""
+"""Sinks: persisted tables, tables of the catalog, and CSV exports of results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from churnlens.session import scratch_path
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
@@ -14,6 +18,31 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+def replace_table(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """CREATE TABLE AS SELECT into the session's catalog, or a new version of the table; returns it, read by name.
+
+    A version is a table of its own, ``name`` a view on the newest. It is written whole, then counted - rows and size, and
+    with ``columns`` their distinct values and ranges - so that the planner knows what it joins, and only then the view is replaced,
+    in one step. A rewrite that fails at any point leaves the old version readable by name. The version before stays for queries that
+    still read it; older ones are dropped. Files go to the shared scratch folder.
+    """
+    spark = df.sparkSession
+    versions = table_versions(spark, name)
+    new = f"{name}__v{max(versions, default=0) + 1:06d}"
+    df.write.format("parquet").option("path", scratch_path(spark, name)).saveAsTable(new)
+    spark.sql(f"ANALYZE TABLE {new} COMPUTE STATISTICS" + (f" FOR COLUMNS {', '.join(columns)}" if columns else ""))
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {new}")
+    for v in versions[:-1]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}__v{v:06d}")
+    return spark.table(name)
+
+
+def table_versions(spark: SparkSession, name: str) -> list[int]:
+    """The versions of a replaceable table that the catalog has, oldest first."""
+    tables = (re.fullmatch(re.escape(name) + r"__v(\d{6,})", r["tableName"]) for r in spark.sql(f"SHOW TABLES LIKE '{name}__v*'").collect())
+    return sorted(int(m[1]) for m in tables if m)
+
+
 def export_csv(df: DataFrame, path: str, null_text: str = "NULL") -> None:
     """Export a result as headered CSV with NULL written as text, like the goldens."""
     (df.write.mode("overwrite").option("header", True).option("nullValue", null_text)

@@ -1,8 +1,11 @@
-"""The CSV loader: quoting, embedded newlines, doubled quotes, empty -> NULL; key checks."""
+"""The CSV loader: quoting, embedded newlines, doubled quotes, empty -> NULL; rejected values; key checks."""
 
 import os
+import random
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.sources import csv
@@ -47,13 +50,105 @@ def test_validate_counts(spark):
     assert out == {"a": (5, 5, True), "b": (5, 6, False), "c": (5, 5, True)}
 
 
-def _file(text):
-    d = tempfile.mkdtemp(prefix="csvtest-")
-    with open(os.path.join(d, "t.csv"), "w") as f:
+def _file(text, name="t.csv", d=None):
+    d = d or tempfile.mkdtemp(prefix="csvtest-")
+    with open(os.path.join(d, name), "w", newline="") as f:
         f.write(text)
     return d
 
 
+@pytest.fixture
+def cut_at(spark):
+    """Read files in ranges of so many bytes."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    yield lambda n: spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+ABC = T.StructType([T.StructField(c, T.StringType()) for c in "abc"])
+
+
+def _by_spark(spark, path):
+    """Spark's own reader, one task a file."""
+    return sorted(map(tuple, spark.read.schema(ABC).options(header=True, quote='"', escape='"', multiLine=True).csv(path).collect()), key=str)
+
+
+def _by_ranges(spark, path):
+    return sorted(map(tuple, csv.load_table(spark, path, ABC, multi_line=True).collect()), key=str)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_ranges_cut_anywhere_read_as_the_whole_file(spark, cut_at, end):
+    """Every byte is a cut: within quotes, doubled quotes, line ends and characters of several bytes."""
+    text = end.join(['a,b,c', f'1,"x{end}y ""z""{end}{end}end","{end}"', '2,,""', '"""",éü,""""""', '3,"p,q",', '', f'4,"日本{end}語",end']) + end
+    d = _file(text)
+    want = _by_spark(spark, d)
+    assert len(want) == 5
+    for n in (1, 2, 3, 7, 1000):
+        cut_at(n)
+        got = _by_ranges(spark, d)
+        if end == "\r\n":                                                       # Spark's reader makes LF of a field's line ends
+            assert any("\r\n" in v for r in got for v in r if v)
+            got = [tuple(v and v.replace("\r\n", "\n") for v in r) for r in got]
+        assert got == want, n
+
+
+def test_random_files(spark, cut_at):
+    rng = random.Random(8)
+    field = lambda: "".join(rng.choice(['a', '1', ',', '""', "\n", "é", " "]) for _ in range(rng.randint(0, 6)))
+    d = None
+    for i in range(3):                                                          # files of a folder, each with its header
+        text = "a,b,c\n" + "".join(",".join(f'"{field()}"' if rng.random() < 0.7 else str(rng.randint(0, 99)) for _ in range(3)) + "\n" for _ in range(60))
+        d = _file(text if i else text[:-1], f"t{i}.csv", d)
+    want = _by_spark(spark, d)
+    assert len(want) == 180
+    for n in (37, 400):
+        cut_at(n)
+        assert _by_ranges(spark, d) == want
+        lines = {(r.file[-6:], r.line) for r in csv.split_records(spark, d).collect()}
+        assert len(lines) == 180 and min(n for _, n in lines) == 2
+
+
+def test_a_file_is_read_by_many_tasks(spark, cut_at):
+    d = _file("a,b,c\n" + '"x\ny",2,3\n' * 500)
+    cut_at(500)
+    read = csv.split_records(spark, d)
+    assert read.count() == 500
+    assert spark.read.option("lineSep", "\n").text(d).rdd.getNumPartitions() > 4
+
+
+def test_rejected_values_by_type(spark):
+    kinds = {"i": T.IntegerType(), "y": T.ByteType(), "m": T.DecimalType(5, 2), "d": T.DateType(), "t": T.TimestampNTZType(), "s": T.StringType(), "x": T.DoubleType(), "b": T.BooleanType()}
+    schema = T.StructType([T.StructField(c, k) for c, k in kinds.items()])
+    good = "1,2,3.25,2018-01-02,2018-01-02 03:04:05,any,1e3,true"
+    bad = {"i": "1x", "y": "300", "m": "1234.5", "d": "2018-13-01", "t": "noon", "x": "1,5", "b": "perhaps"}
+    lines = ["i,y,m,d,t,s,x,b", good]
+    for c, v in bad.items():
+        lines.append(",".join(f'"{v}"' if k == c else x for k, x in zip(kinds, good.split(","))))
+    lines += [good, '1,2,3.25,2018-01-02,2018-01-02 03:04:05,"two', 'lines",1e3,nope', "1,2", good + ",more", ",,,,,,,", '9 9,2,x,2018-01-02,2018-01-02 03:04:05,"",1,true']
+    d = _file("\n".join(lines) + "\n")
+    null = tuple(kinds)
+    got = sorted((r.line, r.column, r.value, r.reason) for r in csv.rejected_values(spark, d, schema, null).fillna("", ["column"]).collect())
+    first = [(3 + i, c, v, f"not {kinds[c].simpleString()}") for i, (c, v) in enumerate(bad.items())]
+    at = 3 + len(bad)
+    assert got == sorted([*first, (at + 1, "b", "nope", "not boolean"), (at + 3, "", "1,2", "not 8 fields"), (at + 4, "", good + ",more", "not 8 fields"),
+                          (at + 6, "i", "9 9", "not int"), (at + 6, "m", "x", "not decimal(5,2)")])
+    rows = csv.load_table(spark, d, schema, null, multi_line=True, strict=False)
+    assert rows.filter(csv.UNPARSED).count() == len({line for line, *_ in got})
+    counts = csv.validate_counts({"t": (rows, 14)}).first()
+    assert (counts.rows_loaded, counts.rows_rejected, counts.matches) == (3, 11, False)
+    assert counts.rows_loaded + counts.rows_rejected == counts.expected
+    with pytest.raises(Exception, match="line|CAST|cast"):
+        csv.load_table(spark, d, schema, null, multi_line=True).collect()
+
+
+def test_files_without_newlines_in_fields_lose_nothing(spark):
+    d = _file("a,b,c\n1,2,3\n4,5,6")
+    assert csv.load_table(spark, d, ABC, multi_line=True).count() == 2
+    assert csv.load_table(spark, _file("a,b,c\n"), ABC, multi_line=True).count() == 0
+    assert csv.split_records(spark, d).select(F.max("line")).first()[0] == 3
+
+
 def test_a_value_that_does_not_parse_fails_the_validation(spark):
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType())])
     d = _file("id,n\na,1\nb,notanumber\nc,\n")

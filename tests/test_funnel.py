@@ -1,7 +1,11 @@
 """Nested funnel, stage timing and lateness operators on hand-made frames."""
 
+import random
 from datetime import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from churnlens.functions.dates import whole_days
 from churnlens.operators import funnel
 
@@ -84,3 +88,33 @@ def test_quantiles_of_value_counts(spark):
                                   "cohort_month string, cohort_size long, month_index long, active_customers long, is_observable long")
     r = present.heatmap_scale(cells).first()
     assert (r.scale_max, r.mean_month1_pct, r.cohorts_with_month1) == (1.346, 1.346, 1)
+
+
+@pytest.mark.parametrize("bits", [12, 24, 60])
+def test_quantiles_do_not_depend_on_the_steps(spark, bits):
+    """Wide, negative, tied and lone values against sorted lists, with and without groups."""
+    rng = random.Random(bits)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.randint(-2 ** 40, 2 ** 40), rng.randint(0, 5000), 4095, 4096, -1]), rng.random() < 0.3) for _ in range(900)]
+    rows += [("one", 2 ** 50, True), ("none", None, True)]
+    df = spark.createDataFrame(rows, "k string, v long, f boolean")
+
+    def want(of):
+        vs, n = sorted(v for v, _ in of), len(of)
+        return n, (vs[(n + 1) // 2 - 1] + vs[(n + 2) // 2 - 1]) / 2, float(vs[(n + 1) // 2 - 1]), float(vs[-(-9 * n // 10) - 1]), sum(vs), sum(f for _, f in of)
+
+    got = {r.k: (r.n, r.median, r.low_median, r.p90, r.total, r.flagged) for r in funnel.value_quantiles(df, ["k"], "v", "f", bits).collect()}
+    assert got == {k: want([(v, f) for x, v, f in rows if x == k]) for k in ("a", "b", None, "one")}
+    r = funnel.value_quantiles(df, [], "v", "f", bits).first()
+    assert (r.n, r.median, r.low_median, r.p90, r.total, r.flagged) == want([(v, f) for _, v, f in rows if v is not None])
+    empty = funnel.value_quantiles(df.limit(0), [], "v", "f", bits).collect()
+    assert [(e.n, e.median, e.total) for e in empty] == [(0, None, None)]
+    assert funnel.value_quantiles(df.limit(0), ["k"], "v", "f", bits).count() == 0
+
+
+def test_wide_quantiles_order_only_cells(spark):
+    """A group with 2^16 different values: no window, and at most 2^12 counts of it in one list."""
+    df = spark.range(1 << 16).select((F.col("id") * 3).alias("v"))
+    q = funnel.value_quantiles(df, [], "v")
+    assert "Window" not in q._jdf.queryExecution().executedPlan().toString()
+    r = q.first()
+    assert (r.n, r.low_median, r.p90) == (1 << 16, 3.0 * ((1 << 15) - 1), 3.0 * (-(-9 * (1 << 16) // 10) - 1))

@@ -55,6 +55,25 @@ def test_scratch_is_removed_at_the_end(spark):
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     before = session._PATHS.pop(spark.sparkContext.applicationId)
+    kept = [dict(c) for c in session._CACHES]
     session._PATHS[spark.sparkContext.applicationId] = [path]              # other tests still read theirs
     assert fs.exists(fs_path) and remove_scratch(spark) == 1 and not fs.exists(fs_path)
     session._PATHS[spark.sparkContext.applicationId] = [p for p in before if p != path]
+    for cache, old in zip(session._CACHES, kept):
+        cache.update(old)
+
+
+def test_queries_work_after_the_scratch_is_removed(spark):
+    """What was loaded is forgotten with its files and loaded anew."""
+    cache = session.scratch_cache()
+    app = spark.sparkContext.applicationId
+    cache[app, "mine"], cache["another application", "its"] = 1, 2
+    old, kept = session._PATHS.pop(app, []), {id(c): dict(c) for c in session._CACHES}
+    try:
+        assert session.remove_scratch(spark) == 0 and cache == {("another application", "its"): 2}
+        assert not any(k[0] == app for c in session._CACHES for k in c)
+    finally:                                                               # other tests still read theirs
+        session._PATHS[app] = old
+        for c in session._CACHES:
+            c.update({k: v for k, v in kept[id(c)].items() if c is not cache})
+        session._CACHES.remove(cache)

@@ -1,0 +1,38 @@
+"""Tables of the catalog that are replaced in one step."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from churnlens.sources import sinks
+
+
+def test_a_table_is_replaced_and_read_by_name(spark):
+    t = sinks.replace_table(spark.range(5).withColumn("k", F.lit("a")), "ctas_replaced", ["id"])
+    assert t.count() == 5 and spark.table("ctas_replaced").columns == ["id", "k"]
+    for n in (6, 7, 8):
+        sinks.replace_table(spark.range(n), "ctas_replaced")
+        assert spark.sql("SELECT count(*) FROM ctas_replaced").first()[0] == n
+    assert sinks.table_versions(spark, "ctas_replaced") == [3, 4]               # the newest, and one that readers may still use
+
+
+def test_a_rewrite_of_a_table_by_itself(spark):
+    sinks.replace_table(spark.range(5), "ctas_itself")
+    assert sinks.replace_table(spark.table("ctas_itself").filter("id > 2"), "ctas_itself").count() == 2
+
+
+def test_a_failed_rewrite_leaves_the_old_table(spark):
+    sinks.replace_table(spark.range(5), "ctas_failed")
+    bad = spark.range(10).select(F.when(F.col("id") > 8, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.replace_table(bad, "ctas_failed")
+    assert [r.id for r in spark.table("ctas_failed").orderBy("id").collect()] == [0, 1, 2, 3, 4]
+    assert sinks.replace_table(spark.range(3), "ctas_failed").count() == 3
+
+
+def test_the_planner_has_the_statistics(spark):
+    t = sinks.replace_table(spark.range(1000), "ctas_counted", ["id"])
+    stats = t._jdf.queryExecution().optimizedPlan().stats()
+    assert 0 < int(str(stats.sizeInBytes())) < 100_000                          # the files' size, not a guess
+    version = sinks.table_versions(spark, "ctas_counted")[-1]
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED ctas_counted__v{version:06d}").collect()}
+    assert "1000 rows" in described["Statistics"]
