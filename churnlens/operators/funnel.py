@@ -180,9 +180,9 @@ def funnel_timing(df: DataFrame, transitions: Sequence[tuple[str, str, str]], ap
     ).orderBy("step_no").drop("step_no")
 
 
-def unforced_counts(orders: DataFrame, reviews: DataFrame, delivered: str) -> DataFrame:
-    """Delivered orders, orders with any review row, and reviewed-but-not-delivered."""
-    reviewed = reviews.select("order_id").distinct().withColumn("_has", F.lit(True))
+def unforced_counts(orders: DataFrame, reviewed: DataFrame, delivered: str) -> DataFrame:
+    """Delivered orders, orders with any review row, and reviewed-but-not-delivered; ``reviewed`` holds each reviewed order once."""
+    reviewed = reviewed.select("order_id").withColumn("_has", F.lit(True))
     j = orders.select("order_id", delivered).join(reviewed, "order_id", "left")
     has = F.col("_has").isNotNull()
     return j.agg(

@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,19 @@ def person_orders(t: Tables, valid: bool = True, ts_not_null: bool = True,
     return o.join(c, "customer_id")
 
 
+def per_order(t: Tables, facts: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``of`` a fact table, which groups it by order, part by part: ordinary orders are bucketed, so grouping them and joining
+    the result with bucketed orders takes no shuffle, and hot orders are partially aggregated where they are read."""
+    parts = [of(p) for p in t.by_order(facts)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def order_value(t: Tables) -> DataFrame:
     """(order_id, order_revenue): price + freight per order, partially aggregated."""
-    return (t.order_items.groupBy("order_id")
-            .agg(F.sum(F.col("price") + F.col("freight_value")).alias("order_revenue")))
+    return per_order(t, "order_items", lambda items: items.groupBy("order_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("order_revenue")))
 
 
 def translated_categories(products: DataFrame, translation: DataFrame, fallback: str = "unknown",
@@ -80,10 +91,9 @@ def order_scores(t: Tables) -> DataFrame:
     An order's mean score is ``score_sum / score_n``; operators keep the two
     integers so later averages stay exact.
     """
-    return (t.order_reviews.filter(F.col("review_score").isNotNull())
-            .groupBy("order_id")
-            .agg(F.sum(F.col("review_score").cast("bigint")).alias("score_sum"),
-                 F.count(F.lit(1)).alias("score_n")))
+    return per_order(t, "order_reviews", lambda reviews: (
+        reviews.filter(F.col("review_score").isNotNull()).groupBy("order_id")
+        .agg(F.sum(F.col("review_score").cast("bigint")).alias("score_sum"), F.count(F.lit(1)).alias("score_n"))))
 
 
 def first_by(df: DataFrame, group: str, order: list[str], payload: list[str],

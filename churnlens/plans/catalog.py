@@ -21,7 +21,7 @@ from churnlens.functions.dates import calendar_days_col, whole_days_col, whole_m
 from churnlens.functions.numeric import avg_exact_col, int_round_col, pct_col, round_col, to_fixed_col
 from churnlens.functions.sql import register_functions
 from churnlens.operators import cohort, funnel, present, profile, rfm
-from churnlens.operators.model import (TS, first_by, order_scores, order_value, person_orders, snapshot,
+from churnlens.operators.model import (TS, first_by, order_scores, order_value, per_order, person_orders, snapshot,
                                        translated_categories, value_by_category)
 from churnlens.session import scratch_cache, scratch_path
 from churnlens.sources import binding, csv, sinks
@@ -65,8 +65,8 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 def _funnel_base(t: Tables) -> DataFrame:
     """Orders with a purchase time and their earliest review creation time."""
-    reviewed = (t.order_reviews.filter(F.col("review_creation_date").isNotNull())
-                .groupBy("order_id").agg(F.min("review_creation_date").alias("t_reviewed")))
+    reviewed = per_order(t, "order_reviews", lambda reviews: (
+        reviews.filter(F.col("review_creation_date").isNotNull()).groupBy("order_id").agg(F.min("review_creation_date").alias("t_reviewed"))))
     return t.orders.filter(F.col(TS).isNotNull()).join(reviewed, "order_id", "left")
 
 
@@ -365,7 +365,8 @@ def q_funnel_timing(spark, sf_dir):
 @register("review_anomaly")
 def q_review_anomaly(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return funnel.unforced_counts(t.orders, t.order_reviews, "order_delivered_customer_date")
+    reviewed = per_order(t, "order_reviews", lambda reviews: reviews.select("order_id").distinct())
+    return funnel.unforced_counts(t.orders, reviewed, "order_delivered_customer_date")
 
 
 @register("gmv_by_status")

@@ -66,14 +66,25 @@ def scratch_cache() -> dict:
     return _CACHES[-1]
 
 
+_NAMES: dict[str, dict[str, str]] = {}
+
+
+def scratch_name(spark: SparkSession, name: str, kind: str = "TABLE") -> str:
+    """Note that the catalog's ``name`` stands on files in ``scratch_path``s, so that ``remove_scratch`` drops it too."""
+    _NAMES.setdefault(spark.sparkContext.applicationId, {})[name] = kind
+    return name
+
+
 def remove_scratch(spark: SparkSession) -> int:
-    """Delete what this application has written to ``scratch_path``s; returns how many paths there were.
+    """Delete what this application has written to ``scratch_path``s, and the catalog's names for it; returns how many paths there were.
 
     Frames that were read from them can't be used any more; a query called afterwards loads its tables anew. Checkpoints
     belong to Spark (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     app = spark.sparkContext.applicationId
     paths = _PATHS.pop(app, [])
+    for name, kind in _NAMES.pop(app, {}).items():
+        spark.sql(f"DROP {kind} IF EXISTS {name}")
     for cache in _CACHES:
         for key in [k for k in cache if k[0] == app]:
             del cache[key]

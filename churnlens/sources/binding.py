@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.session import scratch_cache, scratch_path
+from churnlens.sources import sinks
 from churnlens.sources.model import Tables
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -205,6 +206,23 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                   products=products, category_translation=translation, order_payments=payments, sellers=sellers)
 
 
+#: Tables of which all joins go by the order id: stored bucketed by it.
+FACTS = ("orders", "order_items", "order_reviews")
+
+
+def store_by_order(df: DataFrame, name: str, path: str) -> list[DataFrame]:
+    """A fact table's ordinary orders in a table bucketed by order id, and the hot ones - with more rows than an average
+    bucket - in splittable files beside it, if there are any."""
+    from churnlens.operators.ranking import split_hot_groups
+
+    cold, hot = split_hot_groups(df, "order_id")
+    parts = [sinks.write_bucketed(cold, name, "order_id")]
+    if hot is not None:
+        sinks.write_table(hot, path)
+        parts.append(df.sparkSession.read.schema(df.schema).parquet(path))
+    return parts
+
+
 _LOADED: dict[tuple, Tables] = scratch_cache()
 _LOAD_LOCK = threading.Lock()
 
@@ -224,7 +242,8 @@ def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
     Like the reference's load-once-then-query workflow, the bound tables are
     written once per Spark application and input folder to the session's
     checkpoint folder (shared storage on a cluster); every query then scans
-    them with column pruning instead of re-deriving the binding. The scan
+    them with column pruning instead of re-deriving the binding. Facts are bucketed by order id, so
+    orders join what is known of each of them without a shuffle of either. The scan
     DataFrames are kept too, so later queries do not infer the Parquet schemas
     again (the analogue of looking up a catalog table).
     """
@@ -236,14 +255,18 @@ def model_tables(spark: SparkSession, sf_dir: str) -> Tables:
             base = scratch_path(spark, "model")
             paths = {name: f"{base}/{name}" for name in lazy.as_dict()}
 
-            def write(item):
+            def write(item) -> list[DataFrame]:
                 name, df = item
-                df.write.mode("overwrite").parquet(paths[name])
+                if name in FACTS:
+                    return store_by_order(df, name, paths[name])
+                sinks.write_table(df, paths[name])
+                return [spark.read.schema(df.schema).parquet(paths[name])]
 
             # independent writes: submitted together so the scheduler overlaps them
             with ThreadPoolExecutor(max_workers=len(paths)) as pool:
-                list(pool.map(write, lazy.as_dict().items()))
-            loaded = Tables(**{name: spark.read.parquet(path) for name, path in paths.items()})
+                written = dict(zip(paths, pool.map(write, lazy.as_dict().items())))
+            loaded = Tables(**{name: parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) for name, parts in written.items()},
+                            parts={name: written[name] for name in FACTS})
             _LOADED[key] = loaded
     return loaded
 

@@ -7,7 +7,7 @@ Any source that produces these columns can feed every operator.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -129,7 +129,10 @@ SCHEMAS = {
 
 @dataclass
 class Tables:
-    """The frames the operators read. Key columns may be strings or integers."""
+    """The frames the operators read. Key columns may be strings or integers.
+
+    ``parts`` may hold a table's rows again in parts with no order in common: the ordinary orders bucketed by order id, and the hot ones.
+    """
 
     orders: DataFrame
     customers: DataFrame
@@ -139,6 +142,11 @@ class Tables:
     category_translation: DataFrame
     order_payments: DataFrame | None = None
     sellers: DataFrame | None = None
+    parts: dict[str, list[DataFrame]] = field(default_factory=dict)
+
+    def by_order(self, name: str) -> list[DataFrame]:
+        """A fact table's parts, or the table whole. What is computed within orders may be computed part by part."""
+        return self.parts.get(name) or [getattr(self, name)]
 
     def as_dict(self) -> dict[str, DataFrame]:
         """The tables that there are, by name; no analysis needs payments or sellers, but both are loaded and checked."""

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.session import scratch_path
+from churnlens.session import scratch_name, scratch_path
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
@@ -29,14 +30,24 @@ def replace_table(df: DataFrame, name: str, columns: list[str] | None = None) ->
     spark = df.sparkSession
     versions = table_versions(spark, name)
     new = f"{name}__v{max(versions, default=0) + 1:06d}"
-    df.write.format("parquet").option("path", scratch_path(spark, name)).saveAsTable(new)
+    df.write.format("parquet").option("path", scratch_path(spark, name)).saveAsTable(scratch_name(spark, new))
     spark.sql(f"ANALYZE TABLE {new} COMPUTE STATISTICS" + (f" FOR COLUMNS {', '.join(columns)}" if columns else ""))
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {new}")
+    spark.sql(f"CREATE OR REPLACE VIEW {scratch_name(spark, name, 'VIEW')} AS SELECT * FROM {new}")
     for v in versions[:-1]:
         spark.sql(f"DROP TABLE IF EXISTS {name}__v{v:06d}")
     return spark.table(name)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """A table of the catalog whose rows stand in ``buckets`` files by ``key``: joins and groups of such tables by the key, with as many
+    buckets, need no shuffle. A bucket is read by one task, so keep hot keys elsewhere (``ranking.split_hot_groups``)."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = scratch_name(spark, f"{name}_{uuid.uuid4().hex}")
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def table_versions(spark: SparkSession, name: str) -> list[int]:
     """The versions of a replaceable table that the catalog has, oldest first."""
     tables = (re.fullmatch(re.escape(name) + r"__v(\d{6,})", r["tableName"]) for r in spark.sql(f"SHOW TABLES LIKE '{name}__v*'").collect())
