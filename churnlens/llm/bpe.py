@@ -185,13 +185,14 @@ def segments(text: str) -> list[str]:
 
     The first piece stands as it is; the others lack their leading space.
     """
-    if _SPACES.search(text) is None:
+    if ODD_SPACES.search(text) is None:
         return text.split(" ")
     return _CUT.split(text)
 
 
 _CUT = re.compile(r" (?=\S)")
-_SPACES = re.compile(r" (?:\s|$)")
+#: A space that no visible character follows.
+ODD_SPACES = re.compile(r" (?:\s|$)")
 _ENDS = frozenset(".,;:!?")
 
 

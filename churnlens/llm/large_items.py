@@ -156,11 +156,11 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = text_ids(conf.value), TaskContext.get().partitionId(), [0] * (window + 1)
-        for batch in small(batches):
+        for batch in small(batches, 512):
             key_type = batch.schema.field(0).type
             cols: list[list] = [[] for _ in names]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = (encode(text) if text else b"") + end
+            for key, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist())):
+                ids += end
                 for i, (a, b) in enumerate(cut(len(ids) // 4, window)):
                     for c, v in zip(cols, (key, i, a, b - a, zlib.crc32(ids[4 * a:4 * b]), task, seen[b - a])):
                         c.append(v)
@@ -181,5 +181,5 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             sequence, offset = places(plan.value, own[3].to_numpy(), before.to_numpy() + nth.to_numpy())
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(offset)], [*names[:5], "sequence_id", "offset"])
 
-    return (made.join(before, ["length", "task"]).select(*names[:5], "before", "nth")
+    return (made.join(before.hint("merge"), ["length", "task"]).select(*names[:5], "before", "nth")
             .mapInArrow(placed, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
