@@ -99,10 +99,10 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, task = text_ids(conf.value), Packer(window, open_windows), TaskContext.get().partitionId()
         key_type, seq = None, task << 36
-        for batch in small(batches):
+        for batch in small(batches, 512):
             key_type, done = batch.schema.field(0).type, []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = (encode(text) if text else b"") + end
+            for key, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist())):
+                ids += end
                 done.extend(packer.add(key, 0, ids, len(ids) // 4))
             yield _rows(list(enumerate(done, seq)), key_type, True, task)
             seq += len(done)
