@@ -122,7 +122,8 @@ def _passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     recurring = stored(found.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
                                                    (F.min("stretch") != F.max("stretch")).alias("mixed"))
                        .filter("first < last").select("phrase", "first", "mixed"), "recurring")
-    places = stored(found.join(recurring, "phrase"), "places")
+    # a row that is stored many times is one from here on: what it shares with others is joined and listed once
+    places = stored(found.join(recurring, "phrase").distinct(), "places")
     whole = places.filter("not mixed and doc_id > first").select("doc_id", "start", "n", "first", "stretch")
     mixed_places = places.filter("mixed").drop("first", "mixed")
     known = stored(mixed_places.groupBy("phrase", "stretch").agg(F.min("doc_id").alias("first")), "stretches")
@@ -132,7 +133,7 @@ def _passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     earliest = stored(each.groupBy("phrase", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                       .filter("first < last").drop("last"), "earliest")
     single = (each.join(earliest, ["phrase", "hash"]).filter("doc_id > first")
-              .select("doc_id", "start", F.lit(1).cast("long").alias("n"), "first", F.col("hash").alias("stretch")))
+              .select("doc_id", "start", F.lit(1).cast("long").alias("n"), "first", F.col("hash").alias("stretch")).distinct())
     return whole.unionByName(copied).unionByName(single)
 
 
@@ -207,7 +208,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = plain.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
     passages = _passages(texts, window, phrase)
     by_doc = (passages.groupBy(F.col("doc_id").alias("_id"))
-              .agg(F.collect_list(F.struct("start", "n", "first", "stretch")).alias("_p"))         # bounded by the text
+              .agg(F.collect_list(F.struct("start", "n", "first", "stretch")).alias("_p"))         # bounded by the id's different texts
               .select("_id", F.col("_p.start").alias("_start"), F.col("_p.n").alias("_n"), F.col("_p.first").alias("_first"), F.col("_p.stretch").alias("_stretch")))
     rows = plain.join(by_doc, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left").drop("_id")
     at, key, width = names.index(text_col), names.index(id_col), len(names)

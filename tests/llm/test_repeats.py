@@ -90,3 +90,15 @@ def test_rows_of_one_id_lose_only_what_their_own_words_repeat(spark):
     alone = [r for r in rows if r[0] != 7] + [(8, "x " + " ".join(other[:49]))]
     got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in repeats.cut_repeats(docs(spark, alone)).collect()}
     assert got[5, 100] == got[8, 50] == 0 and got[5, 90] == 60 and got[5, 150] == 130
+
+
+def test_an_id_in_many_rows_is_compared_once(spark):
+    """Copies of a row add no passages, so the work grows with the rows, and each copy loses what one would."""
+    p, q = prose(1, 120), prose(2, 90)
+    rows = [(1, " ".join(p + q)), (5, " ".join(prose(3, 40) + p + prose(4, 60))), (9, " ".join(q[:70] + prose(5, 30)))]
+    many = rows + [rows[1]] * 60 + [rows[0]] * 30
+    found = [repeats._passages(docs(spark, r), 50, 16).count() for r in (rows, many)]
+    assert found[0] == found[1] > 0
+    want = brute(rows, 50)
+    got = [(r["doc_id"], r["text"]) for r in repeats.cut_repeats(docs(spark, many)).collect()]
+    assert len(got) == len(many) and all(t == want[d] for d, t in got)
