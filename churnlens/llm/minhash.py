@@ -105,14 +105,14 @@ def _buckets(reps: DataFrame, rows: int, sides: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(rep, members): full sets of the representatives asked for; a row for each row that has the id."""
+    """(rep, members): full sets of the representatives asked for; a row for each different set that rows with the id have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "members"])
 
     # by merging at every size: how many representatives are asked for has no bound, and the plan is the same on small tables
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, members binary")
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, members binary").distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
