@@ -117,7 +117,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     if lengths is None:
         return spark.createDataFrame([], schema)
     dim, total = lengths
-    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
+    # a vector that an id has in many rows is one candidate
+    rows, asked = rows.filter(F.size("v") == dim).distinct(), asked.filter(F.size("v") == dim).distinct()
     # codebooks: a bounded sample, the vectors whose ids have the smallest hashes
     share = min(1.0, 0.9 * sample / total)
     some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 1_000_000 * share).limit(sample).toPandas()
@@ -160,7 +161,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         by_line[line] = n
     parts = zip(_parts(by_cell.reshape(-1, columns).sum(1)), _parts(by_line))
     splits = F.broadcast(spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(parts)], "line int, entry_parts long, query_parts long"))
-    part = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of))
+    part = lambda of: F.pmod(F.xxhash64("vec_id", "v"), F.col(of))  # noqa: E731   an id in many rows is dealt out by its vectors
     all_of = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
     left = (entries.withColumn("line", F.floor(F.col("cell") / columns).cast("int")).withColumn("cell", F.col("cell") % columns).join(splits, "line")
             .select("line", part("entry_parts").alias("e"), all_of("query_parts").alias("q"), "vec_id", "v", "cell"))

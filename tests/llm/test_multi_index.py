@@ -105,3 +105,16 @@ def test_copies_do_not_use_up_the_probed_share(spark):
     want = brute(rows, {7}, 10)[7][0]
     got = [result(mi.search(df, query, centroids=4, probed=0.6))[7][0] for df in (plain, copies)]
     assert all(len(set(g) & set(want)) >= 7 and len(g) == 10 for g in got)
+
+
+def test_an_id_with_a_third_of_all_rows_is_dealt_out(spark, monkeypatch):
+    """As copies, and with many vectors of its own: results are those of brute force, and no part holds the id whole."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 4)).astype(np.float32))]
+    own = [(7, v.tolist()) for v in rng.normal(size=(45, 4)).astype(np.float32)]
+    df, queries = spark.createDataFrame([*rows, *own, *[rows[11]] * 60], SCHEMA), spark.createDataFrame([*rows[:60:10], *[rows[20]] * 30], SCHEMA)
+    monkeypatch.setattr(mi, "PART", 16)
+    got = result(mi.search(df, queries, centroids=3, probed=1.0))
+    at = lambda v: np.array(v, np.float32).astype(float)
+    near = lambda q, x: sorted((min(float(np.sqrt(((at(x) - at(v)) ** 2).sum())) for i, v in [*rows, *own] if i == j), j) for j in range(90) if j != q)[:10]
+    assert {q: ids for q, (ids, _) in got.items()} == {q: [j for _, j in near(q, x)] for q, x in rows[:60:10]}
