@@ -8,8 +8,7 @@ after it, so a page is never compared with a copy of itself. The lines of a pair
 longest common subsequence, and open lines that both pages share are deleted, whether or not the
 page has an article element. What such an element holds is kept as it is: two pages may rightly
 carry the same article. A page's text is its article's and the open lines that are left, in page
-order. A page with an article element but no other page to compare with gives the larger of the
-two: its article alone, or, if more text than that stands in open lines, both.
+order; a page with no other to compare with keeps all of both.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -131,8 +131,49 @@ def lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
+#: Pairs of equal lines that are looked at one by one; more are halved first.
+FEW_MATCHES = 200_000
+
+
 def shared(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Positions in ``a`` and in ``b`` of a longest common subsequence (Hunt and Szymanski: by increasing runs)."""
+    """Positions in ``a`` and in ``b`` of a longest common subsequence.
+
+    Equal ends are cut off. What is left goes by its pairs of equal lines if these are few; pages with many repeated lines are halved
+    (Hirschberg), with the lengths of all prefixes from bit vectors, so the time is that of n x m / 64 steps and the memory linear.
+    """
+    left: list[int] = []
+    right: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()                            # a[i:n] and b[j:m]; parts come in order
+        while i < n and j < m and a[i] == b[j]:
+            left.append(i)
+            right.append(j)
+            i, j = i + 1, j + 1
+        end = n
+        while i < end and j < m and a[end - 1] == b[m - 1]:
+            end, m = end - 1, m - 1
+        if end < n:                                        # the equal end comes after what lies between
+            todo.append((end, n, m, m + n - end))
+        x, y = a[i:end], b[j:m]
+        if not x or not y:
+            continue
+        times = Counter(y)
+        if sum(times[v] for v in x) <= FEW_MATCHES or len(x) == 1:
+            for p, q in _by_matches(x, y):
+                left.append(i + p)
+                right.append(j + q)
+            continue
+        half = len(x) // 2
+        ahead = _lengths(x[:half], y)
+        behind = _lengths(x[half:][::-1], y[::-1])[::-1]
+        cut = int((ahead + behind).argmax())
+        todo += [(i + half, end, j + cut, m), (i, i + half, j, j + cut)]
+    return left, right
+
+
+def _by_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Longest common subsequence by its pairs of equal lines (Hunt and Szymanski: by increasing runs)."""
     where = defaultdict(list)
     for j, x in enumerate(b):
         where[x].append(j)
@@ -147,12 +188,26 @@ def shared(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                 links.append(node)
             else:
                 tails[k], links[k] = j, node
-    node, left, right = links[-1] if links else None, [], []
+    node, out = links[-1] if links else None, []
     while node:
-        left.append(node[0])
-        right.append(node[1])
+        out.append(node[:2])
         node = node[2]
-    return left[::-1], right[::-1]
+    return out[::-1]
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each prefix of ``b``: a bit of ``b`` is cleared where the length grows."""
+    places: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        places[x] |= 1 << j
+    full = (1 << len(b)) - 1
+    flat = full
+    for x in a:
+        both = flat & places.get(x, 0)
+        if both:
+            flat = ((flat + both) | (flat - both)) & full
+    bits = np.unpackbits(np.frombuffer(flat.to_bytes((len(b) + 7) // 8, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
 def host_of(url: Column) -> Column:
@@ -229,9 +284,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     done = rows.filter("size(loose) = 0").select("page_id", "url", F.coalesce("main", F.lit("")).alias("text"))
     # stored before it is joined, so that the rows of a page with many copies can be dealt out anew
     gone = _shared_lines(rows)
-    kept = F.expr("transform(filter(arrays_zip(loose, loose_at), x -> not array_contains(gone, x.loose_at)), x -> x.loose)")
-    whole = F.array_join("loose", "\n")
-    text = (F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n"))
-            .when(2 * F.length("main") >= F.length(whole), F.col("main")).otherwise(whole))
-    diffed = rows.filter("size(loose) > 0").join(gone, ["host", "digest"], "left").select("page_id", "url", text.alias("text"))
-    return done.unionByName(diffed)
+    diffed = rows.filter("size(loose) > 0").join(gone, ["host", "digest"], "left").select("page_id", "url", "loose", "loose_at", "gone")
+
+    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            kept = []
+            for texts, at, out in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                out = set(out or ())
+                kept.append("\n".join(t for t, i in zip(texts, at) if i not in out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["page_id", "url", "text"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    return done.unionByName(diffed.mapInArrow(left_over, f"page_id {kind}, url string, text string"))

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from churnlens.llm import catalog, html_text
 
@@ -46,7 +47,8 @@ def test_lines():
 
 def test_article_lines_stay_though_shared_and_chrome_goes(spark):
     page = "<nav>m</nav><article><h1>Same</h1><p>copied text</p><div class='comments'>nice</div></article><p>beside"
-    assert texts(spark, [(1, "http://h/a", page), (2, "http://h/b", page)]) == {1: "Same\ncopied text", 2: "Same\ncopied text"}
+    assert texts(spark, [(1, "http://h/a", page), (2, "http://h/b", page)]) == \
+        {1: "Same\ncopied text\nbeside", 2: "Same\ncopied text\nbeside"}    # copies have no other page to compare with
 
 
 def test_pages_without_an_article_lose_what_their_neighbours_share(spark):
@@ -79,11 +81,11 @@ def test_query_against_the_article_element(spark):
 def test_open_lines_beside_an_article_element_are_decided_by_the_neighbours(spark):
     page = lambda i: f"<div>Site name</div><p>body {i}</p><article>teaser {i}</article><p>more {i}</p><div>Contact us</div>"
     rows = [(i, f"http://h/{i:02d}", page(i)) for i in range(20)]
-    # nothing to compare with: the article alone, unless more text stands beside it
+    # nothing to compare with: nothing says that what stands beside the article is no part of the text
     rows += [(50, "http://a/", "<p>beside<main>the text of the page</main>"), (51, "http://b/", "<p>the text of the page<main class='main'>card</main>")]
     got = texts(spark, rows)
     assert all(got[i] == f"body {i}\nteaser {i}\nmore {i}" for i in range(20))
-    assert got[50] == "the text of the page" and got[51] == "the text of the page\ncard"
+    assert got[50] == "beside\nthe text of the page" and got[51] == "the text of the page\ncard"
 
 
 def test_copies_keep_their_text(spark):
@@ -94,3 +96,57 @@ def test_copies_keep_their_text(spark):
     assert all(got[10 * i + c] == f"own text {i}" for i in range(8) for c in range(4)) and got[100] == "own text 3"
     assert got[101] == got[102] == "Site name\nown text 1\nContact us"          # no other page to compare with
     assert got[103] == ""
+
+
+def test_halved_alignments_are_as_long(monkeypatch):
+    monkeypatch.setattr(html_text, "FEW_MATCHES", 3)
+    test_alignment_is_a_longest_common_subsequence()
+    rng = random.Random(6)
+    for n in (40, 150):
+        a, b = ([rng.choice("aaab") for _ in range(n)] for _ in range(2))
+        left, right = html_text.shared(a, b)
+        assert [a[i] for i in left] == [b[j] for j in right] and len(left) == lcs(a, b)
+        assert left == sorted(set(left)) and right == sorted(set(right))
+
+
+def test_many_equal_lines_are_aligned_in_seconds():
+    """Two tables of 50,000 rows, nearly all alike."""
+    rng = random.Random(7)
+    a, b = ([rng.choice([0] * 50 + [1, 2]) for _ in range(50_000)] for _ in range(2))
+    began = time.process_time()
+    left, right = html_text.shared(a, b)
+    assert time.process_time() - began < 60
+    assert [a[i] for i in left] == [b[j] for j in right] and left == sorted(set(left)) and right == sorted(set(right))
+    assert len(left) >= 0.96 * 50_000
+    left, right = html_text.shared([0] * 50_000, [0] * 40_000 + [1])
+    assert len(left) == 40_000
+
+
+def test_pairing_and_deletion_against_brute_force(spark):
+    """Copies reduced, neighbours by path within a host, open lines shared with either one deleted."""
+    rng = random.Random(11)
+    blocks = [f"line {i}" for i in range(12)]
+    rows = []
+    for i in range(120):
+        page = [rng.choice(blocks) for _ in range(rng.randint(1, 6))] if i % 10 else ["the same page", "twice"]
+        article = rng.random() < 0.3
+        body = "".join(f"<p>{b}</p>" for b in page) + (f"<article><p>{rng.choice(blocks)}</p></article><p>{rng.choice(blocks)}</p>" if article else "")
+        rows.append((i, f"https://h{i % 3}/{rng.random():.9f}?x={i}", body))
+    hosts = {}
+    for i, url, body in rows:
+        path = url.split("/", 3)[3].split("?")[0]
+        hosts.setdefault(url.split("/")[2], {}).setdefault(tuple(t for t, _ in html_text.lines(body)), []).append((path, i))
+    want = {}
+    for of in hosts.values():
+        order = sorted((min(copies), page) for page, copies in of.items())
+        gone = [set() for _ in order]
+        for k in range(1, len(order)):
+            left, right = html_text.shared(list(order[k][1]), list(order[k - 1][1]))
+            gone[k].update(left)
+            gone[k - 1].update(right)
+        for (_, page), out in zip(order, gone):
+            for _, i in of[page]:
+                kinds = [k for _, k in html_text.lines(rows[i][2])]
+                want[i] = "\n".join(t for j, (t, k) in enumerate(zip(page, kinds)) if k == html_text.ARTICLE or j not in out)
+    assert sum(len(t) for t in want.values()) < sum(len(t) for of in hosts.values() for page, c in of.items() for t in page for _ in c)
+    assert texts(spark, rows) == want
