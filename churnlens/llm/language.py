@@ -12,6 +12,7 @@ shortest code for the whole text wins.
 from __future__ import annotations
 
 import functools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +30,26 @@ ORDER = 2
 TRAIN_DOCS = 600
 #: Bytes of a text that are looked up at once.
 CHUNK = 1 << 20
+#: Runs of bytes, over all languages, that a task holds before it adds them up.
+WAITING = 1 << 21
+#: Standard deviations by which a text's mean code length may differ from its language's by chance.
+CHANCE = 4.0
 UNDETERMINED = "und"
 
+
 def grams(data: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the runs of ``order`` + 1 bytes of a text that starts after zero bytes."""
     return np.unique(_codes(data, order), return_counts=True)
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of several texts as those of one."""
+    code, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    n = np.zeros(len(code), np.int64)
+    np.add.at(n, place, np.concatenate([n for _, n in parts]))
+    return code, n
+
+
 def _codes(data: bytes, order: int) -> np.ndarray:
     """At each byte: that byte and the ``order`` before it, as one number; ``data`` starts with ``order`` more bytes."""
     raw = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
@@ -49,17 +63,16 @@ def _count(rows: DataFrame, order: int) -> DataFrame:
     """(lang, gram, n) over all texts of (text, lang): counted within tasks, then added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held, waiting = defaultdict(list), 0
         for batch in small(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                code, n = grams(b"\0" * order + text.encode(), order)
-                if lang not in held:
-                    held[lang] = np.zeros(256 ** (order + 1), np.int32)
-                held[lang][code] += n.astype(np.int32)
-        for lang, all_n in held.items():
-            code = np.flatnonzero(all_n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code, pa.int64()), pa.array(all_n[code], pa.int64())],
-                                             ["lang", "gram", "n"])
+                held[lang].append(grams(b"\0" * order + text.encode(), order))
+                waiting += len(held[lang][-1][0])
+            if waiting > WAITING:                          # only runs that were met take room
+                held, waiting = defaultdict(list, {x: [added(parts)] for x, parts in held.items()}), 0
+        for lang, parts in held.items():
+            code, n = added(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -89,13 +102,23 @@ def ppm_bits(code: np.ndarray, n: np.ndarray, order: int, contexts: np.ndarray)
 
 
 @dataclass
-class Model:
-    """Frozen statistics: per language the bits of each byte after each context."""
+class Trees:
+    """One language's frozen statistics: the bits of each byte after each context that it has, and after each shorter one."""
+
+    row_of: np.ndarray      # by context
+    bits: np.ndarray        # rows * 256
+    mean: float             # bits of a byte of the language's own texts, and how much they vary
+    spread: float
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        return self.bits[(self.row_of[code >> 8] << 8) + (code & 255)]
 
+
+@dataclass
+class Model:
     langs: list[str]
     order: int
-    row_of: np.ndarray      # by context
-    bits: np.ndarray        # (rows * 256, languages)
+    trees: list[Trees]
 
     def code_lengths(self, text: str) -> np.ndarray:
         """Bits of the whole text, by language."""
@@ -103,29 +126,41 @@ class Model:
         out = np.zeros(len(self.langs))
         for i in range(0, len(data) - self.order, CHUNK):
             code = _codes(data[i:i + CHUNK + self.order], self.order)
-            out += self.bits[(self.row_of[code >> 8] << 8) + (code & 255)].sum(0, dtype=np.float64)
+            out += [t.of(code).sum(dtype=np.float64) for t in self.trees]
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its posterior probability, all languages alike before; a tie goes to the first by name."""
+    def judge(self, text: str | None) -> tuple[str, float, float | None]:
+        """Language, its posterior probability (all languages alike before; a tie goes to the first by name), and the surprise: the
+        bits a byte of the text takes beyond one of the language's own texts, less what chance may add to a text so short."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, None
         bits = self.code_lengths(text)
         best = int(bits.argmin())
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+        own, n = self.trees[best], len(text.encode())
+        return (self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()),
+                float(bits[best] / n - own.mean - CHANCE * own.spread / n ** 0.5))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
     """``counts``: per language the codes of runs of ``order`` + 1 bytes and their counts."""
-    langs = sorted(counts)
-    contexts = np.unique(np.concatenate([[0], *[counts[x][0] // 256 for x in langs]])).astype(np.int64)
-    # a context that no language has met gives what the next shorter one gives: one row for each of those
+    langs, trees = sorted(counts), []
+    # a context that a language hasn't met gives what the next shorter one gives: one row for each of those
     shorter = np.arange(256 ** max(order - 1, 0))
-    row_of = np.tile(shorter, 256 ** order // len(shorter)).astype(np.int32)
-    row_of[contexts] = len(shorter) + np.arange(len(contexts))
-    bits = [np.concatenate([ppm_bits(*counts[x], max(order - 1, 0), shorter), ppm_bits(*counts[x], order, contexts)]) for x in langs]
-    table = np.stack(bits, -1) if langs else np.zeros((len(shorter) + len(contexts), 256, 0))
-    return Model(langs, order, row_of, table.reshape(256 * len(table), len(langs)).astype(np.float32))
+    for lang in langs:
+        code, n = counts[lang]
+        contexts = np.unique(code // 256).astype(np.int64)
+        row_of = np.tile(shorter, 256 ** order // len(shorter)).astype(np.int32)
+        row_of[contexts] = len(shorter) + np.arange(len(contexts))
+        bits = np.concatenate([ppm_bits(code, n, max(order - 1, 0), shorter), ppm_bits(code, n, order, contexts)]).astype(np.float32).ravel()
+        own = Trees(row_of, bits, 0.0, 0.0)
+        each, total = own.of(code.astype(np.int64)).astype(np.float64), max(1.0, float(n.sum()))
+        own.mean = float((n * each).sum() / total)
+        own.spread = max(0.0, float((n * each * each).sum() / total) - own.mean ** 2) ** 0.5
+        trees.append(own)
+    return Model(langs, order, trees)
 
 
 def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -151,13 +186,13 @@ def _model(order: int, broadcast) -> Model:
 
 def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred``, ``score`` for every whole text, whatever its length.
+    """All columns of ``docs`` plus ``lang_pred``, ``score`` and ``surprise`` (see ``Model.judge``) for every whole text, whatever its length.
 
-    Null texts, texts without a letter (empty ones too) and models without a language give ``und`` with score 0. Repeated
-    rows get the same answer; ties between languages go to the first by name; an empty table stays empty; columns of
-    ``docs`` named like the two are replaced, all others are kept.
+    Null texts, texts without a letter (empty ones too) and models without a language give ``und`` with score 0 and a null surprise.
+    Repeated rows get the same answer; ties between languages go to the first by name; an empty table stays empty; columns of
+    ``docs`` named like the three are replaced, all others are kept.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "surprise")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(counts)   # bounded, see train()
@@ -165,12 +200,12 @@ def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]], o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(order, sent)
         for batch in small(batches):
-            found = [model.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()),
-                                              pa.array([s for _, s in found], pa.float64())], [*names, "lang_pred", "score"])
+            found = [model.judge(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]],
+                                             [*names, "lang_pred", "score", "surprise"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}lang_pred string, score double")
+    return rows.mapInArrow(run, f"{fields}lang_pred string, score double, surprise double")
 
 
 def held_out(doc_id: Column) -> Column:

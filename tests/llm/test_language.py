@@ -1,4 +1,6 @@
 import math
+import random
+import string
 import zlib
 
 import numpy as np
@@ -75,7 +77,7 @@ def test_code_lengths_are_those_of_the_trees():
 
 def test_probabilities_of_a_context_add_up():
     m = model({"x": ["abracadabra abra é"]}, 2)
-    p = np.exp2(-m.bits.reshape(-1, 256).astype(float))
+    p = np.exp2(-m.trees[0].bits.reshape(-1, 256).astype(float))
     assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
@@ -116,3 +118,35 @@ def test_held_out_accuracy_of_the_query(spark):
     got = [r for r in catalog.op7_language(spark, SF).collect()]
     right = [r["lang_pred"] == lang[r["doc_id"]] for r in got if r["held_out"]]
     assert len(got) == len(lang) and sum(right) / len(right) > 0.97
+
+
+def test_surprise_tells_texts_of_no_language_from_short_ones(spark):
+    rng = random.Random(2)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"]]
+    clean = [t for _, t, _ in rows if any(map(str.isalpha, t))]
+    words = [w for t in clean for w in t.split()[:2] if any(map(str.isalpha, w))]
+    gibberish = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (12, 40, 300, 5000)]
+    other = ["Ничего не понимаю, но всё это очень интересно", "これは日本語の文章です。とても短いです。"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(clean + words + gibberish + other)], LANGS)
+    got = {r["doc_id"]: r["surprise"] for r in language.predict(df, language.train(spark.createDataFrame(rows, LANGS))).collect()}
+    n = len(clean) + len(words)
+    assert max(got[i] for i in range(n)) < 5 < min(got[i] for i in range(n, len(got)))
+
+
+def test_many_languages_take_room_only_for_what_they_hold():
+    """Fifty made-up languages, each with its own letters, three bytes each."""
+    rng = random.Random(9)
+    texts = {f"l{k:02d}": "".join(chr(0x4E00 + 300 * k + rng.randrange(250)) + rng.choice(["", " "]) for _ in range(4000)) for k in range(50)}
+    m = model({x: [t] for x, t in texts.items()}, 2)
+    assert sum(t.bits.nbytes + t.row_of.nbytes for t in m.trees) < 100e6
+    assert all(m.predict(t[2000:2050])[0] == x for x, t in texts.items())
+
+
+def test_runs_are_added_up_in_parts(spark, monkeypatch):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("abra cadabra", "x"), ("the cat", "y"), ("abra", "x")] * 7)]
+    df = spark.createDataFrame(rows, LANGS).repartition(2)
+    whole = sorted(map(tuple, language._count(df.select("text", "lang"), 2).collect()))
+    monkeypatch.setattr(language, "WAITING", 3)
+    assert sorted(map(tuple, language._count(df.select("text", "lang"), 2).collect())) == whole
+    code, n = language.added([language.grams(b"\0\0" + t.encode(), 2) for _, t, x in rows if x == "x"])
+    assert [(c, k) for x, c, k in whole if x == "x"] == list(zip(code.tolist(), n.tolist()))
