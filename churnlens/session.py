@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -53,10 +56,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the scratch folder."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for made in getattr(_SCOPES, "open", ()):
+        made.append(path)
     return path
 
 
 _PATHS: dict[str, list[str]] = {}
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths that this thread takes within are deleted at its end: for steps whose result is stored elsewhere by then."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", ()), made := []]
+    try:
+        yield
+    finally:
+        _SCOPES.open = _SCOPES.open[:-1]
+        delete_scratch(spark, made)
+
+
+def delete_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    known = _PATHS.get(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in known:
+            known.remove(p)
 _CACHES: list[dict] = []
 
 
@@ -88,8 +116,5 @@ def remove_scratch(spark: SparkSession) -> int:
     for cache in _CACHES:
         for key in [k for k in cache if k[0] == app]:
             del cache[key]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    delete_scratch(spark, paths)
     return len(paths)

@@ -13,21 +13,22 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import language, minhash, packing, pii, repeats
 from churnlens.llm.catalog import VOCABULARY
-from churnlens.llm.common import read, stored
+from churnlens.llm.common import read
+from churnlens.session import delete_scratch, scratch_path, scratch_scope
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Documents whose language is less probable than this are rejected.
-SURE_LANGUAGE = 0.5
+#: Documents whose text takes so many bits a byte more than texts of its likeliest language are in none of them.
+MOST_SURPRISE = 5.0
 #: Words of the near-duplicate stage's shingles; the query op9_minhash has its own number.
 SHINGLE_WORDS = 5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (or text), and those between languages. Learns from documents not held out."""
+    """Drops documents without a letter (or text), and those in no language that was learnt. Learns from documents not held out."""
     known = docs.filter(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     found = language.predict(docs, language.train(known))
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= SURE_LANGUAGE)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("surprise") <= MOST_SURPRISE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +66,16 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """A stage's own tables go when its result is stored, and its input when it has been read: two results at most are kept."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        delete_scratch(spark, before)
+        before = [path]
     return docs
 
 

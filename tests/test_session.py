@@ -1,5 +1,7 @@
 """Scratch folder rules: the session's checkpoint dir, a local temporary folder only in local mode."""
 
+import threading
+
 import pytest
 
 from churnlens import session
@@ -77,3 +79,29 @@ def test_queries_work_after_the_scratch_is_removed(spark):
         for c in session._CACHES:
             c.update({k: v for k, v in kept[id(c)].items() if c is not cache})
         session._CACHES.remove(cache)
+
+
+def test_scratch_of_a_scope_goes_with_it(spark):
+    """Only what the scope's own thread has written, and what was there before stays."""
+    exists = lambda p: (at := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    made = {}
+
+    def write(name):
+        made[name] = scratch_path(spark, name)
+        spark.range(3).write.parquet(made[name])
+
+    write("before")
+    with pytest.raises(ValueError), session.scratch_scope(spark):
+        write("within")
+        with session.scratch_scope(spark):
+            write("inner")
+        assert exists(made["within"]) and not exists(made["inner"])
+        other = threading.Thread(target=write, args=("elsewhere",))
+        other.start()
+        other.join()
+        raise ValueError
+    assert [exists(made[n]) for n in ("before", "within", "elsewhere")] == [True, False, True]
+    paths = session._PATHS[spark.sparkContext.applicationId]
+    assert made["before"] in paths and made["within"] not in paths
+    session.delete_scratch(spark, [made["before"], made["elsewhere"]])
+    assert not exists(made["before"]) and made["elsewhere"] not in paths
