@@ -1,6 +1,8 @@
+import random
 import re
 
 import corpus_pipeline as cp
+from churnlens import session
 from churnlens.llm.common import stored
 
 from .helpers import SF, prose
@@ -65,3 +67,24 @@ def test_near_duplicates_are_judged_by_five_words(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], COLUMNS)
     kept = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == {d for d, (_, c) in near(texts.items(), k=5).items() if c == d} == {1, 2}
+
+
+def test_language_stage_drops_what_is_in_no_language(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(n)) for n in (60, 900)]
+    short = [t.split()[0] for t in (r["text"] for r in docs.filter("text is not null").limit(30).collect()) if t.split()[:1] and t.split()[0].isalpha()]
+    extra = spark.createDataFrame([(10 ** 6 + i, t, None, "s", len(t)) for i, t in enumerate(noise + short)], COLUMNS)
+    kept = {r["doc_id"] for r in cp.keep_known_languages(spark, docs.unionByName(extra), SF).collect()}
+    assert not kept & {10 ** 6, 10 ** 6 + 1} and kept >= {10 ** 6 + len(noise) + i for i in range(len(short))}
+
+
+def test_run_keeps_two_results_at_most(spark, monkeypatch):
+    """Each stage's tables are gone when the next one runs, and its result after that."""
+    held = []
+    trace = lambda f: lambda *a: (held.append(list(session._PATHS[spark.sparkContext.applicationId])), f(*a))[1]
+    monkeypatch.setattr(cp, "STAGES", [(name, trace(f)) for name, f in cp.STAGES])
+    before = set(session._PATHS.get(spark.sparkContext.applicationId, []))
+    assert cp.run(spark, SF).count() > 0
+    assert [len(set(h) - before) for h in held] == [1, 2, 2, 2, 2]
+    assert len(set(session._PATHS[spark.sparkContext.applicationId]) - before) == 1
