@@ -165,6 +165,13 @@ def _csv_load(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, strict
     return csv.load_table(spark, path, SCHEMAS[name], EMPTY_AS_NULL.get(name, ()), name == "order_reviews", strict)
 
 
+def csv_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The CSV copies of all model tables, by name; independent writes, submitted together so the scheduler overlaps them."""
+    items = list(tables(spark, sf_dir).as_dict().items())
+    with ThreadPoolExecutor(max_workers=len(items)) as pool:
+        return dict(zip((name for name, _ in items), pool.map(lambda it: _csv_path(spark, sf_dir, *it), items)))
+
+
 @register("load_csv")
 def q_load_csv(spark, sf_dir):
     return _csv_load(spark, sf_dir, "order_reviews", tables(spark, sf_dir).order_reviews)
@@ -174,9 +181,8 @@ def q_load_csv(spark, sf_dir):
 def q_load_validation(spark, sf_dir):
     """Rows loaded from each table's CSV, every value parsed, against the rows of the driver table it stems from."""
     items = list(tables(spark, sf_dir).as_dict().items())
-    # the exports are independent jobs: submitted together so the scheduler overlaps them
-    with ThreadPoolExecutor(max_workers=len(items)) as pool:
-        loaded = list(pool.map(lambda it: _csv_load(spark, sf_dir, *it, strict=False), items))
+    csv_files(spark, sf_dir)
+    loaded = [_csv_load(spark, sf_dir, name, df, strict=False) for name, df in items]
     source = {name: binding.read_driver_table(spark, sf_dir, t) for name, t in binding.SOURCE_OF.items()}
     source["category_translation"] = len(binding.CATEGORY_TRANSLATION_ROWS)
     return csv.validate_counts({name: (back, source[name]) for (name, _), back in zip(items, loaded)})
