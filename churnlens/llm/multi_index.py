@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import small, stored
+from churnlens.llm.common import shuffle_width, small, stored
 
 #: Centroids of each half.
 CENTROIDS = 192
@@ -118,7 +118,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         return spark.createDataFrame([], schema)
     dim, total = lengths
     # a vector that an id has in many rows is one candidate
-    rows, asked = rows.filter(F.size("v") == dim).distinct(), asked.filter(F.size("v") == dim).distinct()
+    rows = rows.filter(F.size("v") == dim).distinct()
+    asked = asked.filter(F.size("v") == dim).distinct().repartition(shuffle_width(spark))      # few bytes, but much work each
     # codebooks: a bounded sample, the vectors whose ids have the smallest hashes
     share = min(1.0, 0.9 * sample / total)
     some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 1_000_000 * share).limit(sample).toPandas()
