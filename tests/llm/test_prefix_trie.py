@@ -4,7 +4,6 @@ import re
 import zlib
 from collections import defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from churnlens.llm import catalog, prefix_trie
@@ -54,9 +53,8 @@ def some(seed, convs=60, words=3, longest=7):
             for c in range(convs) for t in range(rng.randint(1, longest))]
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_random_conversations(spark, seed):
-    same(spark, some(seed, words=1 + seed))
+def test_random_conversations(spark):
+    same(spark, some(0, words=1) + [(100 + c, t, r, x) for c, t, r, x in some(1, convs=30, words=2)])
 
 
 def test_deep_chains_and_hot_groups(spark, monkeypatch):
