@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import only, small, stored
+from churnlens.llm.common import only, shuffle_width, small, stored
 from churnlens.llm.graph import components
 from churnlens.llm.words import hashes, mixed, window_hashes
 
@@ -101,18 +101,27 @@ def _buckets(reps: DataFrame, rows: int, sides: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.repeat(batch.column(0).to_numpy(), sides * sides))], ["key", "rep"])
 
-    return reps.select("rep", "signature").mapInArrow(run, "key long, rep long")
+    # few bytes, but many rows come of each
+    return reps.select("rep", "signature").repartition(shuffle_width(reps.sparkSession)).mapInArrow(run, "key long, rep long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(rep, members): full sets of the representatives asked for; a row for each different set that rows with the id have."""
+    """(rep, members): full sets of the representatives asked for; a row for each row that has the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "members"])
 
     # by merging at every size: how many representatives are asked for has no bound, and the plan is the same on small tables
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, members binary").distinct()
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, members binary")
+
+
+def _different_sets(docs: DataFrame, ids: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    """(rep, members): a row for each different set that rows with the id have. Sets are moved only for ids in several rows."""
+    many = stored(signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if many.isEmpty():
+        return _sets(docs, ids, k)
+    return _sets(docs, ids.join(many, "doc_id", "left_anti"), k).unionByName(_sets(docs, ids.join(many, "doc_id", "left_semi"), k).distinct())
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
@@ -219,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = stored(star, "star")
     pairs = stored(_likely(pairs.unionByName(star).distinct(), reps, similarity).distinct(), "pairs")
     ids = pairs.unionByName(star).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_sets(docs, ids, k), "sets")
+    sets = stored(_different_sets(docs, ids, signed, k), "sets")
     links = stored(_confirmed(pairs, sets, similarity), "links")
     more = _cluster_links(star, components(links), sets, similarity)
     joined = components(links.unionByName(more)).select(F.col("id").alias("rep"), "component")

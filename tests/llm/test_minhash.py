@@ -124,7 +124,8 @@ def test_an_id_in_many_rows_is_compared_once(spark):
     a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
     rows = [(1, " ".join(a)), (2, " ".join(a + ["end"])), (3, " ".join(b)), (3, " ".join(c)), (4, " ".join(c + ["end"])), (5, " ".join(["start"] + b))]
     many = rows * 25
-    sets = [minhash._sets(docs(spark, r), spark.createDataFrame([(i,) for i in range(1, 6)], "doc_id long"), 4).count() for r in (rows, many)]
-    assert sets == [6, 6]
+    ids = spark.createDataFrame([(i,) for i in range(1, 6)], "doc_id long")
+    sets = [minhash._different_sets(docs(spark, r), ids, docs(spark, r), 4).count() for r in (rows, many, rows[:2])]
+    assert sets == [6, 6, 2]
     got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs(spark, many)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)}
