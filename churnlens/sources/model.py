@@ -7,6 +7,9 @@ Any source that produces these columns can feed every operator.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -161,3 +164,40 @@ class Tables:
             df.createOrReplaceTempView(prefix + name)
             names.append(prefix + name)
         return names
+
+
+class StoredTables(Tables):
+    """Tables of which each is written when it is first asked for, so that a query loads only what it reads.
+
+    ``write`` stores one of the tables ``names`` and returns it in parts, as ``Tables.parts`` has them.
+    """
+
+    def __init__(self, names: Iterable[str], write: Callable[[str], list[DataFrame]]):
+        self._write, self._written, self._locks = write, {}, {name: threading.Lock() for name in names}
+
+    def by_order(self, name: str) -> list[DataFrame]:
+        with self._locks[name]:
+            if name not in self._written:
+                self._written[name] = self._write(name)
+            return self._written[name]
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        # independent writes: submitted together so the scheduler overlaps them
+        with ThreadPoolExecutor(max_workers=len(self._locks)) as pool:
+            list(pool.map(self.by_order, self._locks))
+        return super().as_dict()
+
+    def _whole(self, name: str) -> DataFrame | None:
+        if name not in self._locks:
+            return None
+        parts = self.by_order(name)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    orders = property(lambda self: self._whole("orders"))
+    customers = property(lambda self: self._whole("customers"))
+    order_items = property(lambda self: self._whole("order_items"))
+    order_reviews = property(lambda self: self._whole("order_reviews"))
+    products = property(lambda self: self._whole("products"))
+    category_translation = property(lambda self: self._whole("category_translation"))
+    order_payments = property(lambda self: self._whole("order_payments"))
+    sellers = property(lambda self: self._whole("sellers"))
