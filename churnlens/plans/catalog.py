@@ -137,55 +137,46 @@ _CSV_FILES: dict[tuple, str] = scratch_cache()
 _CSV_LOCK = threading.Lock()
 
 
-def _csv_export(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> str:
-    """Model table ``name`` as reference-style CSV (header, double quotes, embedded
-    newlines) in the scratch folder: the stand-in for the reference's raw CSV
-    files, written once per application and input folder like the Parquet model."""
+def _csv_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Model table ``name`` as reference-style CSV (header, double quotes, embedded newlines) in the scratch folder: the stand-in for
+    the reference's raw CSV files, written once per application and input folder. It comes straight from the driver tables, as
+    raw files are there before any model is; declared columns that the binding does not fill are empty in the file."""
     key = (spark.sparkContext.applicationId, binding.fingerprint(spark, sf_dir), name)
     with _CSV_LOCK:
         path = _CSV_FILES.get(key)
     if path is None:
+        df = binding.fixtures(spark, sf_dir)[name]()
         path = scratch_path(spark, f"csv-{name}")
-        sinks.write_csv_table(df, path)
+        sinks.write_csv_table(df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast("string").alias(f.name) for f in SCHEMAS[name].fields]), path)
         with _CSV_LOCK:
             _CSV_FILES[key] = path
     return path
 
 
-def _csv_path(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> str:
-    """The CSV copy of model table ``name``; declared columns that the binding does not fill are empty in the file."""
-    have = set(df.columns)
-    whole = df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast("string").alias(f.name) for f in SCHEMAS[name].fields])
-    return _csv_export(spark, sf_dir, name, whole)
-
-
-def _csv_load(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, strict: bool = True) -> DataFrame:
+def _csv_load(spark: SparkSession, sf_dir: str, name: str, strict: bool = True) -> DataFrame:
     """Load the CSV copy of model table ``name`` with its declared schema (L1); only reviews hold newlines."""
-    path = _csv_path(spark, sf_dir, name, df)
-    return csv.load_table(spark, path, SCHEMAS[name], EMPTY_AS_NULL.get(name, ()), name == "order_reviews", strict)
+    return csv.load_table(spark, _csv_path(spark, sf_dir, name), SCHEMAS[name], EMPTY_AS_NULL.get(name, ()), name == "order_reviews", strict)
 
 
 def csv_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The CSV copies of all model tables, by name; independent writes, submitted together so the scheduler overlaps them."""
-    items = list(tables(spark, sf_dir).as_dict().items())
-    with ThreadPoolExecutor(max_workers=len(items)) as pool:
-        return dict(zip((name for name, _ in items), pool.map(lambda it: _csv_path(spark, sf_dir, *it), items)))
+    names = list(binding.fixtures(spark, sf_dir))
+    with ThreadPoolExecutor(max_workers=len(names)) as pool:
+        return dict(zip(names, pool.map(lambda name: _csv_path(spark, sf_dir, name), names)))
 
 
 @register("load_csv")
 def q_load_csv(spark, sf_dir):
-    return _csv_load(spark, sf_dir, "order_reviews", tables(spark, sf_dir).order_reviews)
+    return _csv_load(spark, sf_dir, "order_reviews")
 
 
 @register("load_validation")
 def q_load_validation(spark, sf_dir):
     """Rows loaded from each table's CSV, every value parsed, against the rows of the driver table it stems from."""
-    items = list(tables(spark, sf_dir).as_dict().items())
-    csv_files(spark, sf_dir)
-    loaded = [_csv_load(spark, sf_dir, name, df, strict=False) for name, df in items]
+    loaded = {name: _csv_load(spark, sf_dir, name, strict=False) for name in csv_files(spark, sf_dir)}
     source = {name: binding.read_driver_table(spark, sf_dir, t) for name, t in binding.SOURCE_OF.items()}
     source["category_translation"] = len(binding.CATEGORY_TRANSLATION_ROWS)
-    return csv.validate_counts({name: (back, source[name]) for (name, _), back in zip(items, loaded)})
+    return csv.validate_counts({name: (back, source[name]) for name, back in loaded.items()})
 
 
 #: Columns declared too narrowly on purpose, so that their values can't be loaded.
@@ -196,10 +187,10 @@ WRONG_TYPES = {"order_payments": {"payment_value": T.DecimalType(7, 2)},
 @register("load_rejected")
 def q_load_rejected(spark, sf_dir):
     """What a load with wrongly declared columns rejects, by column."""
-    t, out = tables(spark, sf_dir).as_dict(), []
+    out = []
     for name, wrong in WRONG_TYPES.items():
         schema = T.StructType([T.StructField(f.name, wrong.get(f.name, f.dataType)) for f in SCHEMAS[name].fields])
-        bad = csv.rejected_values(spark, _csv_path(spark, sf_dir, name, t[name]), schema, EMPTY_AS_NULL.get(name, ()))
+        bad = csv.rejected_values(spark, _csv_path(spark, sf_dir, name), schema, EMPTY_AS_NULL.get(name, ()))
         out.append(bad.groupBy(F.lit(name).alias("table_name"), F.col("column").alias("column_name"), "reason").agg(
             F.count(F.lit(1)).alias("n_values"), F.min("value").alias("min_value"), F.max("value").alias("max_value")))
     return out[0].unionByName(out[1])

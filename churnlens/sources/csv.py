@@ -12,8 +12,11 @@ same: see ``split_records``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,41 +28,97 @@ UNPARSED = "_unparsed"
 _FORMAT = {"sep": ",", "quote": '"', "escape": '"'}
 
 
+#: A range of a file that one task reads: its path and where it begins in it.
+_RANGE = ["file", "block"]
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """(range, lines): batches cut where another range begins. A task reads a range's lines in order and one range after the other."""
+    for batch in batches:
+        if batch.num_rows:
+            files, blocks = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+            cuts = (np.flatnonzero((np.diff(files) != 0) | (np.diff(blocks) != 0)) + 1).tolist()
+            for i, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                yield (batch.column(0)[i].as_py(), int(blocks[i])), batch.slice(i, end - i)
+
+
+def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, parity, ends_0, ends_1) of each range: its parity, and how many records end in it if it begins outside or inside a field."""
+    own, parity, ends = None, 0, [0, 0]
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([v]) for v in (*own, parity, *ends)], [*_RANGE, "parity", "ends_0", "ends_1"])
+    for key, lines in _by_range(batches):
+        if key != own:
+            if own:
+                yield row()
+            own, parity, ends = key, 0, [0, 0]
+        state = (parity + np.cumsum(lines.column(2).to_numpy())) % 2
+        inside = int(state.sum())
+        parity, ends = int(state[-1]), [ends[0] + len(state) - inside, ends[1] + inside]
+    if own:
+        yield row()
+
+
+def _gather(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(file, line, record, text): the records that begin and end in one range, or else (not ``whole``) each range's part of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, line, record, cut, held = None, 0, 0, 0, False, None
+
+        def made(first: Sequence[int], number: Sequence[int], text: pa.Array) -> pa.RecordBatch:
+            cols = [pa.repeat(pa.scalar(own[0]), len(text)), pa.array(first, pa.int64()), pa.array(number, pa.int64()), text]
+            return pa.RecordBatch.from_arrays(cols, ["file", "line", "record", "text"])
+
+        def left() -> Iterator[pa.RecordBatch]:
+            if own and not whole and len(held):                    # goes on in the next range
+                yield made([line - len(held)], [record], pc.binary_join(pa.array([held.to_pylist()], pa.list_(pa.string())), "\n"))
+
+        for key, lines in _by_range(batches):
+            value, odd, inside, records, before = lines.columns[2:]
+            if key != own:
+                yield from left()
+                own, state, line, record = key, inside[0].as_py(), before[0].as_py() + 1, records[0].as_py()
+                cut, held = state == 1, value.slice(0, 0)
+            at = line - len(held)                                  # the line of the first value
+            held = pa.concat_arrays([held, value])
+            states = (state + np.cumsum(odd.to_numpy())) % 2
+            state, line = int(states[-1]), line + len(states)
+            bounds = np.concatenate([[0], np.flatnonzero(states == 0) + 1 + len(held) - len(states)]).astype(np.int32)
+            if len(bounds) > 1:
+                texts = pc.binary_join(pa.ListArray.from_arrays(bounds, held), "\n")
+                take = slice(int(cut), None) if whole else slice(0, int(cut))
+                texts, bounds, held = texts[take], bounds[:-1].astype(np.int64), held.slice(int(bounds[-1]))
+                if len(texts):
+                    yield made(at + bounds[take], record + np.arange(len(bounds))[take], texts)
+                record, cut = record + len(bounds), False
+        yield from left()
+
+    return run
+
+
 def split_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, record): a file's CSV records as text, and the lines (from 1) they begin at; headers and empty records are left out.
 
     Tasks read byte ranges of a file by lines, so none knows at first whether its range begins within a quoted field. But a doubled
-    quote counts twice, so that is settled by parity: an odd number of quotes before a line puts it inside a field. Each range sends its
-    parity and how many records would end in it, begun inside a field or not; running over the ranges of a file (one
-    row each) these give every range its state and the number of its first record. Lines then number themselves within their
-    range. A line that is a record is passed on; only lines of longer records are brought together, by record. Quotes must
+    quote counts twice, so that is settled by parity: an odd number of quotes before a line puts it inside a field. A first reading
+    gives each range's parity and how many records end in it, begun inside a field or not; running over the ranges of a file (one
+    row each) these give every range its state and the number of its first record. They are few enough to be sent to every
+    task of a second reading, which makes records of lines where it reads them. Only what crosses a range's bounds - two parts a range
+    - is shuffled and brought together, by record. Quotes must
     stand in quoted fields only; lines end in LF or CR LF, and within a field they stay as they are in the file.
     """
-    block, before = ["file", "block"], lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    nothing = F.lit(0).cast("long")
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0).cast("long"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-        "value", (quotes % 2).alias("odd"))
-    within = Window.partitionBy(*block).orderBy("at")
-    lines = lines.withColumn("parity", F.sum("odd").over(upto(within)) % 2).withColumn("nth", F.row_number().over(within))
-    ranges = lines.groupBy(*block).agg((F.sum("odd") % 2).alias("parity"), F.count(F.lit(1)).alias("lines"),
-                                       F.count_if(F.col("parity") == 0).alias("ends_0"), F.count_if(F.col("parity") == 1).alias("ends_1"))
-    along = before(Window.partitionBy("file").orderBy("block"))
-    ranges = ranges.withColumn("inside", F.coalesce(F.sum("parity").over(along), nothing) % 2)
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", (quotes % 2).alias("odd"))
+    ranges = lines.select(*_RANGE, "odd").mapInArrow(_count_ends, "file string, block long, parity long, ends_0 long, ends_1 long")
+    ranges = ranges.withColumn("inside", before("parity") % 2)
     ends = F.when(F.col("inside") == 0, F.col("ends_0")).otherwise(F.col("ends_1"))
-    ranges = ranges.select(*block, "inside", F.coalesce(F.sum(ends).over(along), nothing).alias("records"),
-                           F.coalesce(F.sum("lines").over(along), nothing).alias("lines"))
-    closes = (F.col("inside") + F.col("parity")) % 2 == 0
-    opens = (F.col("inside") + F.col("parity") + F.col("odd")) % 2 == 0            # the state before the line
-    placed = lines.join(ranges, block).select(
-        "file", "value", (F.col("lines") + F.col("nth")).alias("line"), (opens & closes).alias("whole"),
-        (F.col("records") + F.coalesce(F.sum(closes.cast("long")).over(before(within)), nothing)).alias("record"))
-    single = placed.filter("whole").select("file", "line", "record", F.col("value").alias("text"))
-    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
-    longer = placed.filter("not whole").groupBy("file", "record").agg(F.min("line").alias("line"), parts.alias("parts")).select(
-        "file", "line", "record", F.array_join(F.col("parts.value"), "\n").alias("text"))
+    ranges = ranges.select(*_RANGE, "inside", before(ends).alias("records"), before(F.col("ends_0") + F.col("ends_1")).alias("lines"))
+    placed = lines.join(F.broadcast(ranges), _RANGE).select(*_RANGE, "value", "odd", "inside", "records", "lines")
+    single, parts = (placed.mapInArrow(_gather(whole), "file string, line long, record long, text string") for whole in (True, False))
+    longer = parts.groupBy("file", "record").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("parts")).select(
+        "file", "line", "record", F.array_join(F.col("parts.text"), "\n").alias("text"))
     return (single.unionByName(longer).filter("record > 0")
             .select("file", "line", F.regexp_replace("text", "\r$", "").alias("record")).filter("record <> ''"))
 

@@ -6,6 +6,8 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnlens.session import scratch_name, scratch_path
 
@@ -61,6 +63,7 @@ def export_csv(df: DataFrame, path: str, null_text: str = "NULL") -> None:
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:
-    """Write a table in the reference's CSV layout (header, double-quote enclosed)."""
-    (df.write.mode("overwrite").option("header", True).option("quote", '"')
+    """Write a table in the reference's CSV layout (header, double-quote enclosed; times as 2017-10-02 10:56:33, with a fraction if they have one)."""
+    times = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))}
+    (df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in times else F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").option("header", True).option("quote", '"')
        .option("escape", '"').csv(path))

@@ -164,3 +164,36 @@ def test_geolocation_loads_with_its_declared_schema(spark):
     assert df.schema["geolocation_lat"].dataType == T.DecimalType(11, 8)
     assert [str(r.geolocation_lat) for r in df.collect()] == ["-23.54562128"] * 2
     assert csv.validate_counts({"geolocation": (csv.load_table(spark, d, SCHEMAS["geolocation"], strict=False), 2)}).first().matches
+
+
+def test_lines_are_not_shuffled(spark, cut_at):
+    """What is read of a file reaches an exchange only as a row a range, or as the parts of records that cross a range's bounds."""
+    d = _file("a,b,c\n" + '"x\ny",2,3\n' * 500)
+    plan = csv.load_table(spark, d, ABC, multi_line=True)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    scans = [i for i, line in enumerate(plan) if "FileScan text" in line]
+    assert scans
+    for i in scans:
+        above, at = [], depth(plan[i])
+        for line in reversed(plan[:i]):
+            if depth(line) < at:
+                above.append(line)
+                at = depth(line)
+        kinds = [next((k for k in ("MapInArrow", "Exchange") if k in line), "") for line in above]
+        assert "MapInArrow" in kinds and "Exchange" not in kinds[:kinds.index("MapInArrow")], above
+    cut_at(400)
+    assert csv.split_records(spark, d).filter("record = '\"x\ny\",2,3'").count() == 500
+
+
+def test_a_record_over_many_ranges(spark, cut_at):
+    """A field that is longer than several ranges, batches of few lines, and a file that ends within a field."""
+    d = _file("a,b,c\n" + '1,"' + "line\n" * 300 + '",3\n4,5,6\n7,"open\nend')
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for n in (64, 100_000):
+            cut_at(n)
+            rows = sorted((r.line, r.record) for r in csv.split_records(spark, d).collect())
+            assert rows == [(2, '1,"' + "line\n" * 300 + '",3'), (303, "4,5,6"), (304, '7,"open\nend')]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
