@@ -110,10 +110,12 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "members"])
+            sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
+            bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], ["rep", "members"])
 
     # by merging at every size: how many representatives are asked for has no bound, and the plan is the same on small tables
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, members binary")
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "rep long, members array<long>")
 
 
 def _different_sets(docs: DataFrame, ids: DataFrame, signed: DataFrame, k: int) -> DataFrame:
@@ -149,17 +151,12 @@ def _likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar."""
+    """Pairs (a, b) whose full sets are similar. Compared pair by pair in Spark: batches of pairs, each with two sets of any size, would have no bound."""
     first = sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a"))
     second = sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity)
-                  for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    size = lambda c: F.size(c).cast("long")
+    both = pairs.join(second, "b").join(first, "a").select("a", "b", (size("set_a") + size("set_b")).alias("n"), size(F.array_intersect("set_a", "set_b")).alias("both"))
+    return both.filter(100 * F.col("both") >= similarity * (F.col("n") - F.col("both"))).select("a", "b")
 
 
 def _cluster_links(star: DataFrame, found: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -190,9 +187,9 @@ def _cluster_links(star: DataFrame, found: DataFrame, sets: DataFrame, similarit
             return c
 
         x, y = group[group["left"]], group[~group["left"]]
-        other = [(rep, c, np.frombuffer(m, np.uint64)) for rep, c, m in zip(y["rep"], y["component"], y["members"])]
+        other = [(rep, c, np.asarray(m, np.int64).view(np.uint64)) for rep, c, m in zip(y["rep"], y["component"], y["members"])]
         for rep, c, m in zip(x["rep"], x["component"], x["members"]):
-            mine = np.frombuffer(m, np.uint64)
+            mine = np.asarray(m, np.int64).view(np.uint64)
             for rep_b, c_b, theirs in other:
                 if root(c) != root(c_b) and linked(mine, theirs, similarity):
                     same[root(c)] = root(c_b)

@@ -129,3 +129,12 @@ def test_an_id_in_many_rows_is_compared_once(spark):
     assert sets == [6, 6, 2]
     got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs(spark, many)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)}
+
+
+def test_sets_are_compared_pair_by_pair(spark):
+    """In no batch of pairs, whose sets together have no bound; exact at the limit, for each of the sets of a repeated id."""
+    sets = spark.createDataFrame([(1, list(range(10))), (2, list(range(8))), (3, list(range(7))), (4, list(range(-5, 0))), (4, list(range(9)))], "rep long, members array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3)], "a long, b long")
+    found = minhash._confirmed(pairs, sets, 80)
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 4), (2, 3)]
+    assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
